@@ -54,7 +54,7 @@ class Shingler:
 
     def __init__(self, width: int = SHINGLE, most: int = 1_000_000):
         self.width, self.most, self.words = width, most, {}
-        self.powers = [np.uint64(int(x)) for x in _constants(width)[0]]
+        self.powers = _constants(width)[0]
 
     def __call__(self, text: str) -> np.ndarray:
         import xxhash
@@ -73,10 +73,10 @@ class Shingler:
                     table[w] = xxhash.xxh64_intdigest(w)
             h = np.fromiter(map(table.__getitem__, found), np.uint64, len(found))
         if len(h) < self.width:  # the whole sequence is the one shingle; its length is part of it
-            x = np.uint64(len(h))
-            for v in h:
-                x = _mix((x * self.powers[0] + v).reshape(1))[0]
-            return np.array([x], np.uint64)
+            x = np.array([len(h)], np.uint64)
+            for i in range(len(h)):
+                x = _mix(x * self.powers[:1] + h[i : i + 1])
+            return x
         n = len(h) - self.width + 1
         x = np.zeros(n, np.uint64)
         for i, p in enumerate(self.powers):
