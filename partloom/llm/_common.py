@@ -26,8 +26,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of a narrow table: its rows are written to the shared folder, so lost executors cost nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    shared_dir(spark)
+    kept = df.checkpoint(eager=True)
+    # A checkpoint keeps its origin's size estimate and constraints. In a loop of joins these multiply every round until the driver's memory is full;
+    # a frame over the same checkpointed rows starts without them, and adaptive execution goes by the real sizes.
+    rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
+    return DataFrame(rows, spark)
 
 
 def let(value: Column, body) -> Column:
