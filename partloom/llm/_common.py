@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -32,7 +33,12 @@ def settle(df: DataFrame) -> DataFrame:
     # A checkpoint keeps its origin's size estimate and constraints. In a loop of joins these multiply every round until the driver's memory is full;
     # a frame over the same checkpointed rows starts without them, and adaptive execution goes by the real sizes.
     rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    return DataFrame(rows, spark)
+    out = DataFrame(rows, spark)
+    del df, kept
+    # Shuffle files go when the driver's garbage is collected; in a loop of small jobs that would come too late.
+    gc.collect()
+    spark._jvm.System.gc()
+    return out
 
 
 def let(value: Column, body) -> Column:

@@ -17,7 +17,8 @@ def _pointed(sym: DataFrame) -> DataFrame:
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node, root for every node of ``edges``; root is the least node reachable. Ids may be of any ordered type. Rows with a null end are ignored.
 
-    Each round halves long paths at least; stars, the usual case here, end in two.  Rounds write their edges to the shared folder.
+    Each round halves long paths at least; stars, the usual case here, end in two.  Rounds write their edges to the shared folder
+    and let go of the shuffle files of the round before.
     """
     nodes = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null")
     seen = nodes.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct()
@@ -25,11 +26,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     mark = None
     while True:
         # Large star: what is greater than a node points at the least of its surroundings.
-        sym = now.unionByName(now.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        large = _pointed(sym).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst").distinct()
+        both = F.explode(F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))).alias("e")
+        sym = now.select(both).select(F.col("e.x").alias("src"), F.col("e.y").alias("dst"))
+        large = _pointed(sym).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
         # Small star: a node and what it points at point at the least of these.
-        pointed = _pointed(large)
-        small = pointed.select("src", F.col("m").alias("dst")).unionByName(pointed.select(F.col("dst").alias("src"), F.col("m").alias("dst"))).where("src <> dst").distinct()
+        ends = F.explode(F.array("src", "dst")).alias("x")
+        small = _pointed(large).select(ends, "m").where("x <> m").select(F.col("x").alias("src"), F.col("m").alias("dst")).distinct()
         now = settle(small)
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
         if state == mark:
