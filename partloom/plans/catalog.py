@@ -1,6 +1,472 @@
-"""Registered queries of the graph engine and their SQL."""
+"""Registered queries of the graph engine, and their SQL on the same tables.
+
+Graphs: PS parts and suppliers, CP customers and parts, SS suppliers that share parts. Partitions: id mod 4 unless said otherwise.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..operators import connectivity, graph, metrics, ratings, scoring
+from ..sources import tables
+from . import edge, node
+from .config import PartitionConfig, alpha_gamma
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+K = 4
+
+PS = """uedges AS (SELECT l_partkey AS u, (SELECT count(*) FROM part) + l_suppkey AS v, count(*) AS w FROM lineitem GROUP BY 1, 2),
+nodes AS (SELECT p_partkey AS node_id FROM part UNION ALL SELECT (SELECT count(*) FROM part) + s_suppkey FROM supplier),
+edges AS (SELECT u AS src, v AS dst, w FROM uedges UNION ALL SELECT v, u, w FROM uedges),
+ab AS (SELECT src, dst, w, src % 4 AS own, dst % 4 AS other FROM edges),
+deg AS (SELECT n.node_id, count(e.src) AS d, coalesce(sum(e.w), 0) AS wd FROM nodes n LEFT JOIN edges e ON e.src = n.node_id GROUP BY 1),
+eid AS (SELECT u, v, floor(v / 512.0)::INT AS batch, row_number() OVER (ORDER BY floor(v / 512.0), CASE WHEN floor(u / 512.0) = floor(v / 512.0) THEN u ELSE v END, CASE WHEN floor(u / 512.0) = floor(v / 512.0) THEN v ELSE u END) - 1 AS edge_id FROM uedges),
+ep AS (SELECT u, v, edge_id, floor(edge_id * 4.0 / (SELECT count(*) FROM uedges))::INT AS block FROM eid)"""
+
+
+def query(sql: str | None = None, prelude: str = PS):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = f"WITH {prelude} {sql}" if prelude else sql
+        return f
+
+    return keep
+
+
+class _Graph:
+    def __init__(self, spark: SparkSession, sf_dir: str, kind=tables.part_supplier):
+        self.uedges, self.nodes = kind(spark, sf_dir)
+        self.edges = graph.symmetrize(self.uedges)
+        self.assign = graph.assign_blocks(self.nodes, F.pmod("node_id", F.lit(K)))
+
+
+def _chunked(g: _Graph, batch: int = 512) -> DataFrame:
+    m = g.uedges.count()
+    return graph.edge_ids(g.uedges, batch).withColumn("block", F.floor(F.col("edge_id") * float(K) / m).cast("int"))
+
+
+# -- quality ------------------------------------------------------------------------------------------------------
+@query("SELECT (sum(CASE WHEN own <> other THEN w ELSE 0 END) // 2)::BIGINT AS edge_cut FROM ab")
+def edge_cut(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.edge_cut(g.edges, g.assign)
+
+
+@query("SELECT (sum(CASE WHEN own <> other THEN 1 ELSE 0 END) // 2)::BIGINT AS edge_cut FROM ab")
+def edge_cut_count(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.edge_cut(g.edges, g.assign, weighted=False)
+
+
+@query("SELECT round(sum(CASE WHEN own <> other THEN 1 ELSE 0 END) / count(*), 6) AS cut_ratio FROM ab")
+def cut_ratio(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.cut_ratio(g.edges, g.assign)
+
+
+@query("SELECT coalesce(sum(CASE WHEN own = 1 AND other = 2 THEN w END), 0)::BIGINT AS cut FROM ab")
+def pairwise_cut(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.pairwise_cut(g.edges, g.assign, 1, 2)
+
+
+@query("SELECT own::INT AS block, sum(w)::BIGINT AS cut FROM ab WHERE own <> other GROUP BY 1")
+def block_cut(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.block_cut(g.edges, g.assign)
+
+
+@query("SELECT max(c) / ceil(sum(c) / 4.0) AS balance FROM (SELECT count(*) AS c FROM nodes GROUP BY node_id % 4)")
+def balance(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.balance(g.assign, g.nodes, K)
+
+
+@query("SELECT max(c) / ceil(sum(c) / 4.0) AS balance FROM (SELECT count(*) AS c FROM ab GROUP BY own)")
+def balance_edges(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.balance_edges(g.edges, g.assign, K)
+
+
+_VOLUME = "vol AS (SELECT own, count(*) AS volume FROM (SELECT DISTINCT src, own, other FROM ab WHERE own <> other) GROUP BY 1), allv AS (SELECT b::INT AS block, coalesce(volume, 0)::BIGINT AS volume FROM range(4) t(b) LEFT JOIN vol ON own = b)"
+
+
+@query("SELECT block, volume FROM allv", f"{PS}, {_VOLUME}")
+def communication_volume(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.communication_volume(g.edges, g.assign, K)
+
+
+@query("SELECT max(volume) AS max_volume, min(volume) AS min_volume, sum(volume)::BIGINT AS total_volume FROM allv", f"{PS}, {_VOLUME}")
+def communication_summary(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.communication_summary(g.edges, g.assign, K)
+
+
+@query("SELECT count(DISTINCT src) AS boundary_nodes FROM ab WHERE own <> other")
+def boundary_nodes(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.boundary_nodes(g.edges, g.assign)
+
+
+@query("SELECT DISTINCT src AS node_id, own::INT AS block FROM ab WHERE own <> other AND own IN (0, 1) AND other IN (0, 1)")
+def boundary_around_blocks(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.boundary(g.edges, g.assign, (0, 1))
+
+
+@query("SELECT own::INT AS lhs, other::INT AS rhs, sum(w)::BIGINT AS weight FROM ab WHERE own < other GROUP BY 1, 2")
+def quotient_graph(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.quotient_graph(g.edges, g.assign)
+
+
+@query("SELECT DISTINCT own::INT AS block, other::INT AS neighbour FROM ab WHERE own <> other")
+def quotient_neighbours(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.quotient_neighbours(g.edges, g.assign)
+
+
+@query("SELECT (node_id % 4)::INT AS block, count(*) AS load, count(*) AS n_nodes FROM nodes GROUP BY 1")
+def block_loads(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.block_table(g.assign, g.nodes, K)
+
+
+@query("SELECT count(*) AS separator_weight FROM nodes WHERE node_id % 4 = 3")
+def separator_weight(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.separator_weight(g.assign, g.nodes, 3)
+
+
+@query("SELECT max(CASE WHEN b <> 3 THEN c END) / ceil(sum(c) / 3.0) AS balance FROM (SELECT node_id % 4 AS b, count(*) AS c FROM nodes GROUP BY 1)")
+def separator_balance(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.separator_balance(g.assign, g.nodes, K, 3)
+
+
+@query("SELECT trunc(((SELECT sum(0.01 * c * sqrt(c)) FROM (SELECT count(*) AS c FROM nodes GROUP BY node_id % 4)) - (SELECT sum(w) FROM ab WHERE own = other)) / 2)::BIGINT AS objective")
+def fennel_objective(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.fennel_objective(g.edges, g.nodes, g.assign, K, 0.01)
+
+
+@query("SELECT count(DISTINCT node_id % 4) = 4 AS every_block_used FROM nodes")
+def has_all_blocks(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.has_all_blocks(g.assign, K)
+
+
+@query("""SELECT sum(CASE WHEN nb > 1 THEN 1 ELSE 0 END)::BIGINT AS vertex_cut, sum(nb - 1)::BIGINT AS replicas, round(sum(nb) / (SELECT count(*) FROM nodes), 9) AS replication_factor,
+ (SELECT max(c) / ceil(sum(c) / 4.0) FROM (SELECT count(*) AS c FROM ep GROUP BY block)) AS balance FROM (SELECT n, count(*) AS nb FROM (SELECT u AS n, block FROM ep UNION SELECT v, block FROM ep) GROUP BY n)""")
+def edge_partition_metrics(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.edge_partition_metrics(_chunked(g), g.nodes.count(), K).withColumn("replication_factor", F.round("replication_factor", 9))
+
+
+# -- relations ----------------------------------------------------------------------------------------------------
+@query("SELECT node_id, d AS degree, wd::BIGINT AS weighted_degree FROM deg")
+def degrees(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.degrees(g.edges, g.nodes)
+
+
+@query("SELECT max(wd)::BIGINT AS max_weighted_degree FROM deg")
+def max_weighted_degree(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.max_weighted_degree(g.edges, g.nodes)
+
+
+@query("SELECT src AS node_id, string_agg(dst || ':' || w, ' ' ORDER BY dst) AS nbrs FROM edges GROUP BY 1")
+def adjacency(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.adjacency(g.edges, g.nodes).where("size(nbrs) > 0").select("node_id", F.array_join(F.transform("nbrs", lambda x: F.concat_ws(":", x["dst"].cast("string"), x["w"].cast("string"))), " ").alias("nbrs"))
+
+
+@query("SELECT floor(src / 512.0)::INT AS batch, CASE WHEN floor(dst / 512.0) > floor(src / 512.0) THEN 'ghost' WHEN floor(dst / 512.0) < floor(src / 512.0) THEN 'quotient' ELSE 'local' END AS kind, count(*) AS arcs FROM edges GROUP BY 1, 2")
+def edge_classes(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.classify(g.edges, 512).groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("arcs"))
+
+
+@query("""SELECT (src - 1024)::BIGINT AS src, (dst - 1024)::BIGINT AS dst, w::BIGINT AS weight FROM edges WHERE src >= 1024 AND src < 1536 AND dst >= 1024 AND dst < src
+ UNION ALL SELECT src - 1024, (-1 - dst % 4)::BIGINT, sum(w)::BIGINT FROM edges WHERE src >= 1024 AND src < 1536 AND dst < 1024 GROUP BY 1, 2""")
+def batch_model(spark, sf):
+    g = _Graph(spark, sf)
+    return node.batch_models(g.edges, g.assign, 1024, 1536, False)
+
+
+@query("SELECT edge_id, u, v, batch FROM eid")
+def edge_ids(spark, sf):
+    return graph.edge_ids(_Graph(spark, sf).uedges, 512).select("edge_id", "u", "v", "batch")
+
+
+@query("""SELECT batch, least(edge_id, nx) AS lo, greatest(edge_id, nx) AS hi, count(*) AS weight FROM (
+ SELECT batch, edge_id, coalesce(lead(edge_id) OVER w, first_value(edge_id) OVER w) AS nx, count(*) OVER (PARTITION BY batch, x) AS d, row_number() OVER w AS i
+ FROM (SELECT batch, edge_id, u AS x, v AS o FROM eid UNION ALL SELECT batch, edge_id, v, u FROM eid) WINDOW w AS (PARTITION BY batch, x ORDER BY o)) WHERE d > 2 OR (d = 2 AND i = 1) GROUP BY 1, 2, 3""")
+def split_links(spark, sf):
+    return graph.split_links(graph.edge_ids(_Graph(spark, sf).uedges, 512))
+
+
+@query("SELECT sum(d)::BIGINT AS split_nodes, (3 * sum(d) - 2 * sum(CASE WHEN d <= 2 THEN 1 ELSE 0 END))::BIGINT AS split_edges FROM deg WHERE d > 0")
+def split_sizes(spark, sf):
+    return graph.split_sizes(_Graph(spark, sf).edges)
+
+
+@query("SELECT n AS node_id, string_agg(block::VARCHAR, ',' ORDER BY block) AS blocks FROM (SELECT u AS n, block FROM ep UNION SELECT v, block FROM ep) GROUP BY n")
+def replicas_full(spark, sf):
+    return graph.replicas(_chunked(_Graph(spark, sf))).select("node_id", F.array_join(F.transform("blocks", lambda b: b.cast("string")), ",").alias("blocks"))
+
+
+@query("SELECT n AS node_id, arg_max(block, edge_id) AS block FROM (SELECT u AS n, block, edge_id FROM ep UNION ALL SELECT v, block, edge_id FROM ep) GROUP BY n")
+def replicas_minimal(spark, sf):
+    return graph.replicas(_chunked(_Graph(spark, sf)), minimal=True)
+
+
+@query("SELECT e.edge_id, r.block FROM eid e JOIN (SELECT u AS n, block FROM ep UNION SELECT v, block FROM ep) r ON r.n = least(e.u, e.v)")
+def past_blocks(spark, sf):
+    e = _chunked(_Graph(spark, sf))
+    return graph.past_blocks(e, graph.replicas(e))
+
+
+@query()
+def past_blocks_sampled(spark, sf):
+    e = _chunked(_Graph(spark, sf))
+    return graph.past_blocks(e, graph.replicas(e), sample=2, seed=3)
+
+
+@query("SELECT (src // 7)::BIGINT AS src, (dst // 7)::BIGINT AS dst, sum(w)::BIGINT AS weight FROM edges WHERE src // 7 <> dst // 7 GROUP BY 1, 2")
+def contraction(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.contract(g.edges, g.nodes, g.nodes.select("node_id", F.floor(F.col("node_id") / 7).alias("cluster")))[0]
+
+
+@query("SELECT (node_id // 7)::BIGINT AS node_id, count(*) AS weight FROM nodes GROUP BY 1")
+def contraction_nodes(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.contract(g.edges, g.nodes, g.nodes.select("node_id", F.floor(F.col("node_id") / 7).alias("cluster")))[1]
+
+
+@query("SELECT node_id, (dense_rank() OVER (ORDER BY f) - 1)::INT AS cluster FROM (SELECT node_id, min(node_id) OVER (PARTITION BY node_id % 5, node_id % 3) AS f FROM nodes)")
+def ensemble_clustering(spark, sf):
+    n = _Graph(spark, sf).nodes
+    return graph.ensemble(n.select("node_id", F.pmod("node_id", F.lit(5)).alias("cluster")), n.select("node_id", F.pmod("node_id", F.lit(3)).alias("cluster")))
+
+
+@query("SELECT node_id AS id, ((node_id // 7) % 4)::INT AS block FROM nodes")
+def coarse_projection(spark, sf):
+    n = _Graph(spark, sf).nodes
+    mapping = n.select("node_id", F.floor(F.col("node_id") / 7).alias("cluster"))
+    return graph.project(mapping.select(F.col("cluster").alias("id"), F.pmod("cluster", F.lit(K)).cast("int").alias("block")).distinct(), mapping)
+
+
+@query("""SELECT a.i AS src, b.i AS dst, w::BIGINT AS weight FROM edges JOIN (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM nodes WHERE node_id % 4 IN (0, 1)) a ON a.node_id = src
+ JOIN (SELECT node_id, row_number() OVER (ORDER BY node_id) - 1 AS i FROM nodes WHERE node_id % 4 IN (0, 1)) b ON b.node_id = dst""")
+def block_pair_subgraph(spark, sf):
+    g = _Graph(spark, sf)
+    return graph.extract_blocks(g.edges, g.assign, [0, 1])[0]
+
+
+def _fnv_sql(x: str) -> str:
+    h = "2166136261::BIGINT"
+    for i in range(8):
+        h = f"((xor({h}, (({x})::BIGINT >> {8 * i}) & 255) * 16777619) & 4294967295)"
+    return h
+
+
+@query(f"SELECT node_id, {_fnv_sql('node_id')} AS hash FROM nodes")
+def fnv_hash(spark, sf):
+    return _Graph(spark, sf).nodes.select("node_id", graph.fnv32(F.col("node_id")).alias("hash"))
+
+
+@query("""SELECT u::BIGINT AS u, v::BIGINT AS v, 1::BIGINT AS weight FROM (SELECT j AS u, x AS v FROM e UNION ALL SELECT c + i, x FROM e)""",
+       "m AS (SELECT DISTINCT l_suppkey AS i, l_partkey AS j FROM lineitem), c AS (SELECT (SELECT count(*) FROM part) AS c, (SELECT count(*) FROM supplier) AS r), e AS (SELECT i, j, c.c AS c, c.c + c.r + row_number() OVER (ORDER BY i, j) - 1 AS x FROM m, c)")
+def matrix_graph(spark, sf):
+    r = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    m = r("lineitem").select((F.col("l_suppkey") + 1).alias("i"), (F.col("l_partkey") + 1).alias("j")).distinct()
+    return graph.matrix_graph(m, r("supplier").count(), r("part").count())[0]
+
+
+# -- ratings ------------------------------------------------------------------------------------------------------
+_RATING_SQL = {
+    "expansion_star": "w", "expansion_star_2": "w * w", "inner_outer": "w / (su + sv - w)", "addx": "1 / (du + dv)", "multx": "1 / sqrt(du * dv)", "max": "1 / greatest(du, dv)", "log": "CASE WHEN du * dv = 1 THEN 'inf'::DOUBLE ELSE 1 / ln(du * dv) END",
+    "r1": "1 / (du * dv)", "r2": "1 / (du * dv)", "r3": "1 / (du + dv + 2)", "r4": "du * dv", "r5": "(du + dv) / 2", "r6": "1 / (2 * (du + dv))", "r7": "w / (du * dv)", "r8": "w * du * dv", "realweight": "w",
+}
+
+
+def _rating(name: str) -> Callable:
+    def run(spark, sf):
+        g = _Graph(spark, sf)
+        return ratings.rate(g.edges, g.nodes, (name,)).select("src", "dst", F.round(name, 9).alias("rating"))
+
+    run.__name__ = f"rating_{name}"
+    return run
+
+
+for _name, _expr in _RATING_SQL.items():
+    query(f"SELECT src, dst, round(({_expr})::DOUBLE, 9) AS rating FROM (SELECT src, dst, w::DOUBLE AS w, a.d::DOUBLE AS du, b.d::DOUBLE AS dv, a.wd::DOUBLE AS su, b.wd::DOUBLE AS sv FROM edges JOIN deg a ON a.node_id = src JOIN deg b ON b.node_id = dst)")(_rating(_name))
+for _name in ("pseudogeom", "expansion_star_2_algdist"):
+    query()(_rating(_name))
+
+
+# -- scores -------------------------------------------------------------------------------------------------------
+def _snapshot(g: _Graph) -> DataFrame:
+    """Vertices of id mod 3 = 0 are assigned (block id mod 4), of 1 queued, of 2 unseen."""
+    r = F.pmod("node_id", F.lit(3))
+    return g.nodes.where(r < 2).select(F.col("node_id").alias("id"), F.when(r == 0, F.pmod("node_id", F.lit(K)).cast("int")).alias("block"), F.when(r == 0, "assigned").otherwise("queued").alias("status"))
+
+
+_SNAP = PS + ", s AS (SELECT src AS node_id, count(*)::DOUBLE AS d, sum(CASE WHEN dst % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN dst % 3 = 1 THEN 1 ELSE 0 END)::DOUBLE AS b FROM edges GROUP BY 1), mx AS (SELECT src AS node_id, max(c)::DOUBLE AS mx FROM (SELECT src, dst % 4, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) GROUP BY 1)"
+_SCORE_SQL = {"anr": "a / d", "haa": "pow(least(d / 10000, 1), 2) + 0.75 * (1 - least(d / 10000, 1)) * a / d", "nss": "(a + b) / d", "cbs": "least(d / 10000, 1) + 2 * a / d", "cbsq": "least(pow(d / 10000, 2), 1) + 2 * a / d", "cms": "coalesce(mx, 0) / d"}
+
+
+def _score(kind: str) -> Callable:
+    def run(spark, sf):
+        g = _Graph(spark, sf)
+        return scoring.buffer_scores(g.edges, g.nodes, _snapshot(g), PartitionConfig(score=kind)).where("degree > 0").select("node_id", F.round("score", 9).alias("score"))
+
+    run.__name__ = f"buffer_score_{kind}"
+    return run
+
+
+for _name, _expr in _SCORE_SQL.items():
+    query(f"SELECT node_id, round({_expr}, 9) AS score FROM s LEFT JOIN mx USING (node_id)", _SNAP)(_score(_name))
+
+
+@query("SELECT src, (dst % 4)::INT AS block, count(*)::DOUBLE AS gain FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2")
+def neighbour_blocks(spark, sf):
+    g = _Graph(spark, sf)
+    return scoring.neighbour_blocks(g.edges, _snapshot(g))
+
+
+_LOADS = [(0, 10, 30), (1, 30, 30), (2, 20, 30), (3, 10, 30)]
+
+
+@query("""SELECT node_id, arg_max(block, (sc, -block))::INT AS block FROM (SELECT n.node_id, l.b AS block, coalesce(c, 0) - 0.9 * sqrt(l.ld) AS sc FROM nodes n CROSS JOIN (VALUES (0, 10), (2, 20), (3, 10)) l(b, ld)
+ LEFT JOIN (SELECT src, dst % 4 AS b, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) g ON g.src = n.node_id AND g.b = l.b) GROUP BY 1""")
+def best_blocks(spark, sf):
+    g = _Graph(spark, sf)
+    return scoring.best_blocks(g.nodes, scoring.neighbour_blocks(g.edges, _snapshot(g)), spark.createDataFrame(_LOADS, "block int, load long, cap long"), 0.9)
+
+
+@query("SELECT 0 AS block", "")
+def lightest_block(spark, sf):
+    return scoring.lightest_block(spark.createDataFrame(_LOADS, "block int, load long, cap long"))
+
+
+@query("SELECT node_id AS id, (node_id % 4)::INT AS block, row_number() OVER (PARTITION BY node_id % 4 ORDER BY node_id) AS load FROM nodes")
+def running_load(spark, sf):
+    g = _Graph(spark, sf)
+    return scoring.running_load(g.assign, g.nodes)
+
+
+# -- partitions ---------------------------------------------------------------------------------------------------
+_SS = """pr AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), ue AS (SELECT a.s AS u, b.s AS v FROM pr a JOIN pr b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= {shared}),
+n AS (SELECT count(*) AS n FROM supplier), par AS (SELECT n, 1.5 * (SELECT count(*) FROM ue) * 2 / pow(n, 1.5) AS ag, ceil(1.03 * n / 4.0) AS cap FROM n),
+nb AS (SELECT v AS id, list(u) AS ns FROM ue GROUP BY v),
+run(i, blk, ld) AS (SELECT 0, []::INT[], [0, 0, 0, 0] UNION ALL
+ SELECT i + 1, list_append(blk, b), list_transform(ld, lambda x, j: x + CASE WHEN j = b + 1 THEN 1 ELSE 0 END) FROM (
+  SELECT i, blk, ld, coalesce((SELECT arg_max(q.b, (q.g - par.ag * sqrt(q.l), -q.b)) FROM (SELECT t.b AS b, ld[t.b + 1] AS l, len(list_filter(coalesce(ns, []), lambda z: blk[z + 1] = t.b)) AS g FROM range(4) t(b)) q, par WHERE q.l < par.cap), 0)::INT AS b
+  FROM run LEFT JOIN nb ON nb.id = run.i WHERE i < (SELECT n FROM n)))"""
+
+
+@query("SELECT (j - 1)::BIGINT AS id, blk[j] AS block FROM (SELECT blk FROM run ORDER BY i DESC LIMIT 1), range(1, (SELECT n + 1 FROM n)) t(j)", "RECURSIVE " + _SS.format(shared=140))
+def direct_fennel(spark, sf):
+    u, nodes = tables.supplier_supplier(spark, sf)
+    u = u.withColumn("weight", F.lit(1).cast("long"))
+    return node.partition(graph.symmetrize(u), nodes, PartitionConfig(k=K, batch_size=1))
+
+
+def _baseline(kind: str) -> Callable:
+    def run(spark, sf):
+        g = _Graph(spark, sf)
+        return node.baseline(g.edges, g.nodes, kind, K)
+
+    run.__name__ = f"baseline_{kind}"
+    return run
+
+
+query(f"SELECT node_id AS id, ({_fnv_sql('node_id')} % 4)::INT AS block FROM nodes")(_baseline("hashing"))
+query("SELECT node_id AS id, floor(node_id * 4 / (SELECT count(*) FROM nodes))::INT AS block FROM nodes")(_baseline("chunking"))
+query("SELECT node_id AS id, (node_id % 4)::INT AS block FROM nodes")(_baseline("balanced"))
+query()(_baseline("greedy"))
+query()(_baseline("ldg"))
+
+
+def _partition(name: str, run: Callable, **options) -> None:
+    """Partitions that no SQL expresses; tests hold their invariants and, for the kernels, hand-made cases."""
+
+    def q(spark, sf):
+        g = _Graph(spark, sf)
+        one = g.edges.withColumn("weight", F.lit(1).cast("long"))
+        return run(one, g.nodes, PartitionConfig(k=K, **options))
+
+    q.__name__ = name
+    query()(q)
+
+
+_partition("node_batches", node.partition, batch_size=512)
+_partition("node_batches_joined", node.partition_batched, batch_size=1024)
+_partition("node_restream", node.partition, batch_size=512, passes=2)
+_partition("node_balance_edges", node.partition, batch_size=512, balance_edges=True)
+_partition("node_model_ghosts", node.partition, batch_size=512, model_ghosts=True)
+_partition("node_soft_ghosts", node.partition, batch_size=128, buffer_size=256, ghosts=True)
+_partition("node_distributed", node.partition_distributed)
+for _s in ("haa", "anr", "cms", "nss", "cbs", "cbsq"):
+    _partition(f"node_buffered_{_s}", node.partition, batch_size=128, buffer_size=256, score=_s)
+_partition("edge_minimal", edge.partition, batch_size=512)
+_partition("edge_full", edge.partition, batch_size=512, minimal_mode=False)
+_partition("edge_sampled", edge.partition, batch_size=512, minimal_mode=False, past_subset_size=2)
+_partition("edge_restream", edge.partition, batch_size=512, passes=2)
+
+
+# -- connectivity -------------------------------------------------------------------------------------------------
+_COMP = """RECURSIVE ue AS (SELECT DISTINCT s_suppkey AS u, (s_suppkey * 7 + 3) % 41 AS v FROM supplier WHERE s_suppkey < 41 AND s_suppkey % 4 < 2 AND s_suppkey <> (s_suppkey * 7 + 3) % 41),
+sy AS (SELECT u, v FROM ue UNION SELECT v, u FROM ue), r(x, y) AS (SELECT u, u FROM sy UNION SELECT r.x, sy.v FROM r JOIN sy ON sy.u = r.y)"""
+
+
+@query("SELECT x AS node_id, min(y) AS component FROM r GROUP BY x", _COMP)
+def components(spark, sf):
+    s, n = F.col("s_suppkey"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(41))
+    u = spark.read.parquet(f"{sf}/supplier.parquet").where((s < 41) & (s % 4 < 2) & (s != n)).select(s.alias("u"), n.alias("v"))
+    return connectivity.components(u)
+
+
+_REACH = """RECURSIVE a AS (SELECT DISTINCT s_suppkey AS u, (s_suppkey * 7 + 3) % 41 AS v FROM supplier WHERE s_suppkey < 41 UNION SELECT s_suppkey, (s_suppkey + 5) % 41 FROM supplier WHERE s_suppkey < 20),
+ns AS (SELECT u AS x FROM a UNION SELECT v FROM a), r(x, y) AS (SELECT x, x FROM ns UNION SELECT r.x, a.v FROM r JOIN a ON a.u = r.y)"""
+
+
+@query("SELECT p.x AS node_id, min(p.y) AS component FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x", _REACH)
+def strong_components(spark, sf):
+    s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey")
+    a = s.where("s_suppkey < 41").select(F.col("s_suppkey").alias("src"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(41)).alias("dst")).union(s.where("s_suppkey < 20").select("s_suppkey", F.pmod(F.col("s_suppkey") + 5, F.lit(41))))
+    nodes = a.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
+    return connectivity.strong_components(a, nodes)
+
+
+@query()
+def penalised_cut(spark, sf):
+    g = _Graph(spark, sf)
+    return metrics.penalised_cut(g.edges, g.assign, K)
+
+
+@query("SELECT n_nationkey + 5 AS node_id, 1 AS layer FROM nation UNION ALL SELECT r_regionkey, 0 FROM region", "")
+def topological_layers(spark, sf):
+    nation = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("src"), (F.col("n_nationkey") + 5).cast("int").alias("dst"))
+    region = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("int").alias("node_id"))
+    return connectivity.topological_layers(nation, region.union(nation.select("dst")))
+
+
+@query("SELECT u::BIGINT AS u, v::BIGINT AS v, w::BIGINT AS weight FROM ue2", "ue2 AS (SELECT o_custkey AS u, (SELECT count(*) FROM customer) + l_partkey AS v, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")
+def customer_part_edges(spark, sf):
+    u, _ = tables.customer_part(spark, sf)
+    return u.select(F.col("u").cast("long"), F.col("v").cast("long"), "weight")
+
+
+def scale_factor(n: int, m: int) -> float:
+    return alpha_gamma(n, m, K)
