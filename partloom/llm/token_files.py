@@ -13,8 +13,10 @@ renamed, so that a task run again leaves one complete file.
 from __future__ import annotations
 
 import bisect
+import os
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -33,28 +35,53 @@ WORD_TABLE = 2_000_000
 
 
 class WordEncoder:
-    """ids of whole texts as bytes. White space splits words for this tokenizer whatever stands around it, so each distinct word is encoded once
-    by the library and kept in a table of bounded size."""
+    """ids of whole texts as bytes. White space splits words for this tokenizer whatever stands around it, and ASCII letters are lowered before anything looks at them, so
+    each distinct lower-case word is encoded once by the library and kept in a table of bounded size.  Marks at a word's end behind an ASCII letter or digit are a
+    piece of their own, so the word without them and the marks are looked up apart."""
+
+    MARKS = b".,;:!?"
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         self.tokenizer = Tokenizer.from_file(local_copy(path))
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
         self.table: dict[bytes, bytes] = {}
 
+    def _learn(self, words: list[bytes]) -> None:
+        table, marks, whole, parts = self.table, self.MARKS, {}, []
+        for w in words:
+            if w not in table:
+                core = w.rstrip(marks)
+                if len(core) < len(w) and core[-1:].isalnum():
+                    parts.append((w, core, w[len(core) :]))
+                    whole[core] = whole[w[len(core) :]] = None
+                else:
+                    whole[w] = None
+        new = [w for w in whole if w not in table]
+        for w, e in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
+            table[w] = array(self.code, e.ids).tobytes()
+        for w, core, end in parts:
+            table[w] = table[core] + table[end]
+
+    def batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, little-endian."""
+        table = self.table
+        if len(table) > WORD_TABLE:
+            table.clear()
+        split = [t.encode().lower().split() for t in texts]
+        new: dict[bytes, None] = {}
+        for words in split:
+            new.update(dict.fromkeys(w for w in words if w not in table))
+        if new:
+            self._learn(list(new))
+        return [b"".join(map(table.__getitem__, words)) for words in split]
+
     def __call__(self, text: str) -> bytes:
-        words, table = text.encode().split(), self.table
-        try:
-            return b"".join(map(table.__getitem__, words))
-        except KeyError:
-            if len(table) > WORD_TABLE:
-                table.clear()
-            new = [w for w in dict.fromkeys(words) if w not in table]
-            for w, e in zip(new, self.tokenizer.encode_batch([w.decode() for w in new], add_special_tokens=False), strict=True):
-                table[w] = np.array(e.ids, self.kind).tobytes()
-            return b"".join(map(table.__getitem__, words))
+        return self.batch([text])[0]
 
 
 @lru_cache(maxsize=2)
@@ -140,7 +167,7 @@ def write_token_files(
         end = np.array([end_id], encoder.kind).tobytes()
         for batch in batches:
             places = [0 if i is None else bisect.bisect_right(edges, i) for i in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), batch.column(0), pa.array([encoder(t) + end for t in batch.column(1).to_pylist()], pa.binary())], ["file", "id", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array(places, pa.int32()), batch.column(0), pa.array([ids + end for lo in range(0, batch.num_rows, 256) for ids in encoder.batch(batch.column(1).slice(lo, 256).to_pylist())], pa.binary())], ["file", "id", "ids"])
 
     rows = docs.select(docs[id_col].alias("id"), text_of(docs, text_col).alias("t")).mapInArrow(encode, f"file int, id {kind}, ids binary")
     rows = rows.repartition(files, "file").sortWithinPartitions("file", F.col("id").asc_nulls_first(), "ids")
