@@ -92,7 +92,7 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     shards = sainte_lague(shards, ["source", "quota"], "words", "quota", ["shard"])
     # A shard gives three times its words at most; going round the tape, whole turns count for every document.
     give = F.least(F.col("seats") * block_words, F.col("words") * MAX_REPEAT)
-    shards = shards.select(F.col("source").alias("s"), F.col("shard").alias("h"), F.floor(give / F.col("words")).cast("long").alias("turns"), (give % F.col("words")).cast("long").alias("rest"))
+    shards = shards.withColumn("tape", F.greatest(F.lit(1), F.col("words"))).select(F.col("source").alias("s"), F.col("shard").alias("h"), F.floor(give / F.col("tape")).cast("long").alias("turns"), (give % F.col("tape")).cast("long").alias("rest"))
     tape = Window.partitionBy("source", "shard").orderBy("dealt", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.coalesce(F.sum("size").over(tape), F.lit(0)))
     out = placed.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
