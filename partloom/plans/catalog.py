@@ -470,3 +470,10 @@ def customer_part_edges(spark, sf):
 
 def scale_factor(n: int, m: int) -> float:
     return alpha_gamma(n, m, K)
+
+
+@query("SELECT date_trunc('day', ts) AS start, user_id, event_type, count(*) AS weight FROM events GROUP BY 1, 2, 3", "")
+def windowed_event_edges(spark, sf):
+    from ..streaming.stream import windowed_edges
+
+    return windowed_edges(spark.read.parquet(f"{sf}/events.parquet"))
