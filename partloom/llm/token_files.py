@@ -6,7 +6,7 @@ behind the last id.  All batches but the last have ``BATCH_ROWS`` sequences, so
 is a view, without copying.  Beside each file lies an index (document, first id, number of ids).
 
 Writing.  Texts become ids before the one shuffle, which carries binary ids to the file of their document range, sorted by id within it.  The ranges'
-edges come from a bounded sample of the ids (``EDGE_SAMPLE`` rows of least hash); they shape file sizes only.  A file is written under a task's own name and then
+edges come from a sample of the distinct ids by hash (``EDGE_SAMPLE`` expected at any size of table); they shape file sizes only.  A file is written under a task's own name and then
 renamed, so that a task run again leaves one complete file.
 """
 
@@ -158,8 +158,9 @@ def write_token_files(
     folder = f"{folder or shared_dir(spark).rstrip('/') + '/token-files-' + uuid.uuid4().hex}"
     path, files = path or tokenizer_path("word_bpe_49k.json"), files or shuffle_partitions(spark)
     kind = dict(docs.dtypes)[id_col]
-    sample = docs.select(docs[id_col].alias("id")).where("id is not null").orderBy(F.xxhash64("id")).limit(EDGE_SAMPLE)
-    ids = sorted(r[0] for r in sample.collect())
+    share = min(1.0, EDGE_SAMPLE / max(1, docs.count()))
+    chosen = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+    ids = sorted(r[0] for r in docs.select(docs[id_col].alias("id")).where(F.col("id").isNotNull() & chosen).distinct().collect())
     edges = sorted({ids[len(ids) * i // files] for i in range(1, files)}) if ids else []
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
