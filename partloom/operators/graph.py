@@ -137,6 +137,12 @@ def project(assign: DataFrame, mapping: DataFrame) -> DataFrame:
     return mapping.join(assign.select(F.col("id").alias("cluster"), "block"), "cluster").select(F.col("node_id").alias("id"), "block")
 
 
+def project_separator(assign: DataFrame, mapping: DataFrame, separator: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(blocks of all vertices, the vertices of the separator) after projection to the finer graph."""
+    fine = project(assign, mapping)
+    return fine, fine.where(F.col("block") == separator).select(F.col("id").alias("node_id"))
+
+
 def extract_blocks(edges: DataFrame, assign: DataFrame, blocks: list[int]) -> tuple[DataFrame, DataFrame]:
     """(edges, mapping): the subgraph of the given blocks, renumbered densely in id order; mapping has node_id, new_id, block."""
     inside = assign.where(F.col("block").isin(*blocks)).select(F.col("id").alias("node_id"), "block")

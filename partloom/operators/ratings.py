@@ -12,7 +12,6 @@ from . import graph
 from ..functions.tables import settle
 
 c = F.col
-RATINGS: dict[str, Column] = {}
 
 
 def _table() -> dict[str, Column]:
@@ -77,4 +76,4 @@ def algebraic_distance(edges: DataFrame, nodes: DataFrame, starts: int = 3, swee
 
 def by_rating(edges: DataFrame, nodes: DataFrame, name: str = "expansion_star_2") -> DataFrame:
     """Undirected pairs by falling rating, then ids."""
-    return rate(edges.where("src < dst"), nodes, (name,)).orderBy(F.desc(name), "src", "dst") if name in ("realweight",) else rate(edges, nodes, (name,)).where("src < dst").orderBy(F.desc(name), "src", "dst")
+    return rate(edges, nodes, (name,)).where("src < dst").orderBy(F.desc(name), "src", "dst")

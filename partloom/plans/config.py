@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass, replace
 
 GAMMA = 1.5
 SCORES = ("anr", "haa", "cms", "nss", "cbs", "cbsq")
 DYNAMICS = ("original", "double", "linear", "quadratic", "midlinear", "midquadratic", "midconstant", "edgecut")
 ORDERS = ("natural", "degree", "random")
 STOP_RULES = ("multibfs", "multiple_k", "strong", "simple", "separator")
-BASELINES = ("fennel", "hashing", "chunking", "balanced", "ldg", "greedy")
 
 
 @dataclass(frozen=True)
@@ -56,7 +55,6 @@ class PartitionConfig:
     dynamic_alpha: bool = False
     num_split_edges: int = -1
     reps: int = 1
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self):
         if self.k < 1:

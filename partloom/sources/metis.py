@@ -45,7 +45,7 @@ def read_header(spark: SparkSession, path: str) -> dict:
     """nodes, edges, fmt and whether the file is binary (by its suffix)."""
     check_input(path)
     if path.endswith((".bin", ".parhip")):
-        from .parhip import read_header as binary
+        from .binary_graph import read_header as binary
 
         return binary(path)
     first = spark.read.text(path).where(~F.col("value").startswith("%")).limit(1).select(numbers(F.col("value")).alias("x")).first()
@@ -81,7 +81,7 @@ def read_graph(spark: SparkSession, path: str, validate: bool = False) -> tuple[
     """(edges, nodes, header) of a text or binary file; ``validate`` holds the counts against the header."""
     header = read_header(spark, path)
     if header["binary"]:
-        from .parhip import read_graph as binary
+        from .binary_graph import read_graph as binary
 
         edges, nodes = binary(spark, path)
     else:

@@ -80,7 +80,8 @@ def solve_epoch(adj: DataFrame, epoch: int, cfg: PartitionConfig, n: int, m: int
     """One micro-batch (node_id, targets) as one batch; earlier epochs' folders hold what is assigned. Memory of the task: the batch's arcs and k anchors."""
     spark, k = adj.sparkSession, cfg.k
     ids = adj.agg(F.min("node_id").alias("lo"), F.max("node_id").alias("hi")).first()
-    if ids["lo"] is None:
+    if ids["lo"] is None:  # an empty epoch has a folder too
+        spark.createDataFrame([], "id long, block int").write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
         return
     lo, hi = ids["lo"], ids["hi"] + 1
     arcs = adj.select(F.col("node_id").alias("src"), F.explode("targets").alias("dst"))

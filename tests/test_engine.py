@@ -17,7 +17,7 @@ from partloom.kernel.multilevel import Solver, contract, objective
 from partloom.operators import connectivity, graph, metrics, ratings, scoring
 from partloom.plans import catalog, edge, node, registry, run
 from partloom.plans.config import PartitionConfig, alpha_gamma, capacity, dynamics_weight
-from partloom.sources import metis, parhip, sinks
+from partloom.sources import binary_graph, metis, sinks
 from partloom.streaming import stream
 
 SF = "/root/testdata/sf0.001"
@@ -263,6 +263,14 @@ def test_max_flow():
     assert f.solve(0, 3) == (5, [0])
 
 
+def test_separator_projection_and_empty_epoch(spark, tmp_path):
+    coarse = spark.createDataFrame([(0, 2), (1, 0)], "id long, block int")
+    fine, inside = graph.project_separator(coarse, spark.createDataFrame([(0, 0), (1, 0), (2, 1)], "node_id long, cluster long"))
+    assert blocks(fine) == [2, 2, 0] and sorted(r["node_id"] for r in inside.collect()) == [0, 1]
+    stream.solve_epoch(spark.createDataFrame([], "node_id long, targets array<long>"), 0, PartitionConfig(), 3, 2, str(tmp_path))
+    assert spark.read.parquet(f"{tmp_path}/epoch=0").count() == 0
+
+
 def test_cycles_have_no_order(spark):
     with pytest.raises(ValueError, match="cycle"):
         connectivity.topological_layers(spark.createDataFrame([(0, 1), (1, 0)], "src long, dst long"), spark.range(2).withColumnRenamed("id", "node_id"))
@@ -300,9 +308,9 @@ def test_files_round_trip(spark, g9, tmp_path):
         out = f"{tmp_path}/out{weighted}"
         sinks.write_metis(e, n, out, weighted)
         assert sorted(map(tuple, metis.read_graph(spark, out)[0].collect())) == want
-    parhip.write_graph(f"{tmp_path}/g.bin", [[b for a, b, _ in want if a == v] for v in range(9)])
+    binary_graph.write_graph(f"{tmp_path}/g.bin", [[b for a, b, _ in want if a == v] for v in range(9)])
     e2, n2, header = metis.read_graph(spark, f"{tmp_path}/g.bin", validate=True)
-    assert header["binary"] and sorted(map(tuple, e2.collect())) == want and parhip.read_adjacency(spark, f"{tmp_path}/g.bin", 2, 5, rows=2).count() == 3
+    assert header["binary"] and sorted(map(tuple, e2.collect())) == want and binary_graph.read_adjacency(spark, f"{tmp_path}/g.bin", 2, 5, rows=2).count() == 3
     a = clique_split(spark)
     sinks.write_partition(a, f"{tmp_path}/part")
     back, k = metis.read_partition(spark, f"{tmp_path}/part")
