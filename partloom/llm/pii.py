@@ -16,8 +16,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -60,14 +62,15 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
         out += [(0, m.start(), m.end()) for m in _emails(text)]
     if not MARK.search(text):
         return out
-    out += [(1, m.start(), m.end()) for m in IP.finditer(text) if all(int(x) <= 255 for x in m[0].split("."))]
+    out += [(1, m.start(), m.end()) for m in _ADDRESS.finditer(text) if all(len(y := x.lstrip("0")) <= 3 and int(y or 0) <= 255 for x in m[0].split("."))]
     out += [(2, m.start(), m.end()) for m in CARD.finditer(text) if len(m[0]) >= 13 and 13 <= len(d := _digits(m[0])) <= 19 and luhn(d)]
     if "+" in text:
         out += [(3, m.start(), m.end()) for m in PHONE.finditer(text) if 9 <= len(_digits(m[0])) <= 15]
     return out
 
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+#: What IP matches: a match never starts inside a run of digits, nor gives digits of one back, so a long run is read once.
+_ADDRESS = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 
 
 def _emails(text: str) -> Iterator[re.Match]:
@@ -291,12 +294,24 @@ def decode(region: str, before: str, weights: np.ndarray) -> list[tuple[int, int
     return out[::-1]
 
 
+def regions(text: str) -> Iterator[re.Match]:
+    """What REGION.finditer gives, found from its digits and at-signs, so that a long word without one is read once and not from each of its places."""
+    at = 0
+    while mark := MARK.search(text, at):
+        start = mark.start()
+        while start > at and not text[start - 1].isspace():
+            start -= 1
+        m = REGION.match(text, start)
+        yield m
+        at = m.end()
+
+
 def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
     """The field's entities in a whole text; a longer region is decoded in pieces that end at white space where it has any."""
     out = []
     if not MARK.search(text):
         return out
-    for m in REGION.finditer(text):
+    for m in regions(text):
         lo, end = m.start(), m.end()
         if "@" not in m[0] and sum("0" <= c <= "9" for c in m[0]) < 7:
             continue  # too few digits for any type
@@ -312,7 +327,9 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)
-    extra = [x for x in field_spans(text, weights) if not any(a < x[2] and x[1] < b for a, b in taken)]
+    starts, reach = [a for a, _ in taken], list(accumulate((b for _, b in taken), max))
+    # Of the patterns' spans that start before this one's end, does any reach beyond its start?
+    extra = [x for x in field_spans(text, weights) if not ((i := bisect_left(starts, x[2])) and reach[i - 1] > x[1])]
     return base, sorted(set(base) | set(extra))
 
 

@@ -163,6 +163,16 @@ def test_pii_base_and_added(docs, empty):
 @given(st.text(alphabet=st.sampled_from("a1.@-+ (b2"), max_size=40))
 def test_pii_base_property(t):
     assert [(pii.KINDS[k], a, b) for k, a, b in pii.base_spans(t)] == private_spans(t)
+    assert [m.span() for m in pii.regions(t)] == [m.span() for m in pii.REGION.finditer(t)]
+    base, found = pii.all_spans(t, pii.trained())
+    extra = [x for x in pii.field_spans(t, pii.trained()) if not any(a < x[2] and x[1] < b for _, a, b in base)]
+    assert found == sorted({*base, *extra})
+
+
+@pytest.mark.parametrize("t", ["a" * 1_000_000 + " 12345678", "1" * 200_000, "1" * 5000 + ".1.1.1", "0" * 5000 + "1.1.1.1", "@" * 100_000, "a@" * 10_000])
+def test_pii_long_words_are_read_once(t):
+    base, found = pii.all_spans(t, pii.trained())
+    assert set(base) <= set(found) and [k for k, _, _ in base] == ([1] if t[0] == "0" else [])
 
 
 def test_pii_field_on_held_out_regions():
