@@ -68,9 +68,9 @@ class Model:
         return sums / np.sqrt(sizes)[:, None]
 
 
-def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
-    presence = Presence()
-    rows = [(p, label) for t, label in zip(texts, labels, strict=True) if (p := presence(t)) is not None]
+def fit(places: list[np.ndarray | None], labels: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
+    """Learn from each training text's places; those without a letter (None) are left out."""
+    rows = [(p, label) for p, label in zip(places, labels, strict=True) if p is not None]
     languages = sorted({label for _, label in rows})
     if not rows:
         return Model([], np.zeros((len(ORDERS) * BUCKETS, 0), np.float32))
@@ -90,8 +90,11 @@ def fit(texts: list[str], labels: list[str], landmarks: int = LANDMARKS, ridge:
     return Model(languages, (marks @ (root @ solved).astype(np.float32)).astype(np.float32))
 
 
-def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train: Column, rows: int = TRAIN_ROWS) -> list[tuple[str, str]]:
-    """(text, label) of at most ``rows`` labelled rows, equally many of each language where it has as many, by least hash of the id."""
+def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: str, train: Column, rows: int = TRAIN_ROWS) -> list[tuple[np.ndarray | None, str]]:
+    """(places, label) of at most ``rows`` labelled rows, equally many of each language where it has as many, by least hash of id and text.
+
+    Whole texts become presence vectors where they lie; what travels is one bit a place, so the driver's share is bounded whatever the texts' lengths.
+    """
     labelled = docs.where(train & docs[lang_col].isNotNull() & docs[text_col].isNotNull()).select(F.xxhash64(docs[id_col], docs[text_col]).alias("h"), docs[lang_col].alias("lang"), docs[text_col].alias("text"))
     counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(rows).collect()}
     if not counts:
@@ -101,11 +104,27 @@ def training_sample(docs: DataFrame, *, id_col: str, text_col: str, lang_col: st
     span = float(1 << 64)
     bound = {x: -(2.0**63) + span * min(1.0, (share + 4 * share**0.5 + 8) / n) for x, n in counts.items()}
     low = F.coalesce(F.element_at(F.create_map(*[F.lit(y) for x in bound.items() for y in x]), F.col("lang")), F.lit(-(2.0**63)))
-    taken: dict[str, list[tuple[int, str]]] = {}
-    for r in labelled.where(F.col("h").cast("double") <= low).collect():
-        taken.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    merged = sorted((h, t, x) for x, found in taken.items() for h, t in sorted(found)[:share])
-    return [(t, x) for _, t, x in merged]
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        presence = Presence()
+        for batch in batches:
+            bits = [_bits(presence(t)) for t in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(bits, pa.binary())], ["h", "lang", "bits"])
+
+    taken: dict[str, list[tuple[int, bytes]]] = {}
+    for r in labelled.where(F.col("h").cast("double") <= low).mapInArrow(seen, "h long, lang string, bits binary").collect():
+        taken.setdefault(r["lang"], []).append((r["h"], bytes(r["bits"])))
+    merged = sorted((h, b, x) for x, found in taken.items() for h, b in sorted(found)[:share])
+    return [(np.flatnonzero(np.unpackbits(np.frombuffer(b, np.uint8))) if b else None, x) for _, b, x in merged]
+
+
+def _bits(places: np.ndarray | None) -> bytes:
+    """One bit a place; nothing for a text without a letter."""
+    if places is None:
+        return b""
+    flags = np.zeros(len(ORDERS) * BUCKETS, bool)
+    flags[places] = True
+    return np.packbits(flags).tobytes()
 
 
 def predict(docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -138,6 +157,6 @@ def held_out(id_column: Column) -> Column:
 def learn_and_predict(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", rows: int = TRAIN_ROWS) -> DataFrame:
     """One row per row of ``docs``: id, held_out, lang_pred, score. Learns only from rows that aren't held out and have a language."""
     sample = training_sample(docs, id_col=id_col, text_col=text_col, lang_col=lang_col, train=~held_out(docs[id_col]), rows=rows)
-    model = fit([t for t, _ in sample], [x for _, x in sample])
+    model = fit([p for p, _ in sample], [x for _, x in sample])
     out = predict(docs, model, id_col=id_col, text_col=text_col)
     return out.select(id_col, held_out(F.col(id_col)).alias("held_out"), "lang_pred", "score")
