@@ -3,11 +3,12 @@
 Targets come by water-filling: a source gets words in proportion to its weight, but three times its own size at most; what
 is left over is shared again among the others.  The words are dealt in blocks of equal size.  A source's quota of blocks is what the
 method of highest quotients gives it: with the block itself as divisor that is its target over the block, rounded, for the house of
-all quotas together.  Each source is cut into shards by a seeded hash, and its quota is apportioned to
-its shards by highest quotients again, with their sizes as weights and the source's quota as the house.  A shard's documents lie on
+all quotas together.  Each source is cut into shards of one expected size by a seeded hash, and the shards into about as many groups as a group has shards;
+its quota is apportioned to the groups and theirs to the shards by highest quotients again, with sizes as weights and the quota above as the house.  A shard's documents lie on
 a tape in seeded order; the quota takes the tape's blocks from the start, going round again where it exceeds the tape.
 
-Only (id, source, size) travels.  A hot source is spread over many shards; no window holds more than a shard.
+Only (id, source, size) travels.  A hot source is spread over shards in proportion to its size: a window over documents holds one shard, and
+one over shards or groups the square root of their number.
 """
 
 from __future__ import annotations
@@ -20,7 +21,6 @@ from ._common import WORD_RE, settle
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
 SHARD_WORDS = 250_000
-MAX_SHARDS = 1024
 MAX_REPEAT = 3
 
 
@@ -84,12 +84,16 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     rows = settle(rows.withColumn("dealt", F.xxhash64(F.lit(seed), F.col("id"), F.col("source"))))
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
     sources = sources.withColumn("quota", F.floor(F.col("target") / block_words + 0.5).cast("long"))
-    n_shards = F.least(F.lit(MAX_SHARDS), F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(SHARD_WORDS))))).cast("int")
-    sources = settle(sources.withColumn("n_shards", n_shards).select(F.col("source").alias("s"), "source_size", "target", "quota", "n_shards"))
+    n_groups = F.greatest(F.lit(1), F.ceil(F.sqrt(F.ceil(F.col("source_size") / F.lit(float(SHARD_WORDS)))))).cast("long")
+    n_shards = n_groups * F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(SHARD_WORDS)) / n_groups)).cast("long")
+    sources = settle(sources.select(F.col("source").alias("s"), "source_size", "target", "quota", n_groups.alias("n_groups"), n_shards.alias("n_shards")))
     placed = rows.join(sources, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    placed = settle(placed.withColumn("shard", F.pmod(F.col("dealt"), F.col("n_shards")).cast("int")))
-    shards = placed.groupBy("source", "shard", "quota").agg(F.sum("size").alias("words"))
-    shards = sainte_lague(shards, ["source", "quota"], "words", "quota", ["shard"])
+    placed = settle(placed.withColumn("shard", F.pmod("dealt", "n_shards")).withColumn("group", F.col("shard") % F.col("n_groups")).drop("n_shards", "n_groups"))
+    shards = placed.groupBy("source", "quota", "group", "shard").agg(F.sum("size").alias("words"))
+    groups = sainte_lague(shards.groupBy("source", "quota", "group").agg(F.sum("words").alias("words")), ["source", "quota"], "words", "quota", ["group"])
+    groups = groups.select(F.col("source").alias("s"), F.col("group").alias("g"), F.col("seats").alias("house"))
+    shards = shards.join(groups, F.col("source").eqNullSafe(F.col("s")) & (F.col("group") == F.col("g"))).drop("s", "g")
+    shards = sainte_lague(shards, ["source", "group", "house"], "words", "house", ["shard"])
     # A shard gives three times its words at most; going round the tape, whole turns count for every document.
     give = F.least(F.col("seats") * block_words, F.col("words") * MAX_REPEAT)
     shards = shards.withColumn("tape", F.greatest(F.lit(1), F.col("words"))).select(F.col("source").alias("s"), F.col("shard").alias("h"), F.floor(give / F.col("tape")).cast("long").alias("turns"), (give % F.col("tape")).cast("long").alias("rest"))

@@ -241,7 +241,9 @@ def fill(sizes, weights):
         full |= over
 
 
-def test_mixing(spark, docs, empty):
+@pytest.mark.parametrize("shard_words", [250_000, 3000])
+def test_mixing(spark, docs, empty, monkeypatch, shard_words):
+    monkeypatch.setattr(mixing, "SHARD_WORDS", shard_words)  # the smaller one makes some thirty shards of the hot source, in groups
     rng = random.Random(3)
     data = [(i, " ".join("w" for _ in range(rng.randint(0, 400))), rng.choice(["a", "a", "a", "b", "c", "d", None])) for i in range(900)] + [(5000, None, "e"), (5001, "x y", "f")]
     d = spark.createDataFrame(data, "doc_id long, text string, source string")
