@@ -6,8 +6,8 @@ gaps between them (what ``split`` leaves) tile the text, so places are running s
 The battery looks at every token of ``MIN_TOKEN`` or more characters of the usual alphabets.  It infers the encoding from the characters
 (hex, base32, base64), then tests three things that coding a random string gives and language does not: chi-squared of the character counts
 against a uniform alphabet, the number of runs of a character class (letters in the first half of the alphabet against the others) and the
-serial correlation of neighbouring characters' ranks.  The null hypothesis is that the token is language: its p-value is the chance of so
-even a count under the chi-squared law that letters of prose follow (its mean and spread grow with length), combined with those of the other
+serial correlation of neighbouring characters' ranks.  The null hypothesis is that the token is language: chi-squared is then as great as
+two characters of language in that encoding are alike (its mean and spread grow with length), and how far it falls short is combined with the other
 two by Stouffer's rule.  Tokens are judged by Benjamini and Hochberg's rule, each stratum of length by itself, as the number
 of tokens falls steeply with length; the corpus enters only as a table of counts of stratum by p-value bin, a few hundred rows at any size.
 """
@@ -25,11 +25,13 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_TOKEN = 24
 TOKEN = r"[A-Za-z0-9+/_=-]{24,}"
-#: Sum of squared letter shares of prose in the languages served; a uniform alphabet of 26 has 0.038.
-PROSE_EVENNESS = 0.068
+#: By size of the inferred alphabet (hex, base32, base64), the chance that two characters of language agree: numbers written with ten digits, and prose, whose letters have
+#: a sum of squared shares of 0.068.  Random strings have one over the alphabet.
+EVENNESS = {16: 0.1, 32: 0.068, 64: 0.068}
 STRATA = (24, 28, 32, 40, 48, 64, 96)
 FDR = 1e-3
 BINS = 64
+SPAN_BLOCK = 256
 
 
 def places(text: Column, pattern: str, kind: str, keep=None, group: int | None = None) -> Column:
@@ -40,8 +42,7 @@ def places(text: Column, pattern: str, kind: str, keep=None, group: int | None =
     k = KINDS.index(kind)
 
     def tile(found: Column, gaps: Column, parts: Column) -> Column:
-        idx = F.sequence(F.lit(0), F.size(found) - 1)
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,p:string>>").alias("out"))
+        n = F.size(found)
 
         def step(acc: Column, i: Column) -> Column:
             s = acc["at"] + F.length(F.get(gaps, i))
@@ -49,7 +50,18 @@ def places(text: Column, pattern: str, kind: str, keep=None, group: int | None =
             one = F.struct(s.alias("s"), F.lit(k).alias("k"), e.alias("e"), F.get(parts, i).alias("p"))
             return F.struct(e.alias("at"), F.concat(acc["out"], F.array(one)).alias("out"))
 
-        return F.aggregate(idx, zero, step, lambda acc: acc["out"])
+        # Appending copies what has gathered, so matches gather in blocks with places of their own, and the blocks are moved to theirs.
+        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,k:int,e:int,p:string>>").alias("out"))
+        block = lambda b: F.aggregate(F.sequence(b * SPAN_BLOCK, F.least((b + 1) * SPAN_BLOCK, n) - 1), zero, step)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / SPAN_BLOCK).cast("int")), block)
+
+        def moved(blocks: Column) -> Column:
+            start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+            before = F.aggregate(blocks, start, lambda a, x: F.struct((a["at"] + x["at"]).alias("at"), F.concat(a["out"], F.array(a["at"])).alias("out")), lambda a: a["out"])
+            shift = lambda x, o: F.transform(x["out"], lambda y: F.struct((y["s"] + o).alias("s"), y["k"].alias("k"), (y["e"] + o).alias("e"), y["p"].alias("p")))
+            return F.flatten(F.zip_with(blocks, before, shift))
+
+        return let(blocks, moved)
 
     find = lambda g: F.regexp_extract_all(text, F.lit(pattern), F.lit(g))
     spans = let(find(0), lambda found: let(F.split(text, pattern, -1), lambda gaps: let(find(group) if group else found, lambda parts: tile(found, gaps, parts))))
@@ -71,7 +83,7 @@ def upper_tail(z: Column) -> Column:
 
 
 def battery(token: Column) -> Column:
-    """struct(alphabet, n, z_even, z_runs, z_serial, z): the larger z, the less like language."""
+    """struct(alphabet, n, chi2, z_even, z_runs, z_serial, z): the larger z, the less like language."""
 
     def of(chars: Column) -> Column:
         n = F.size(chars).cast("double")
@@ -98,9 +110,12 @@ def battery(token: Column) -> Column:
 
         def combine(q: Column, switches: Column, s: Column) -> Column:
             pairs = n * (n - 1)
-            # Repeats among pairs of characters: prose has PROSE_EVENNESS of them, a uniform alphabet 1 / alphabet.
-            even = (q - n) / pairs
-            z_even = (F.lit(PROSE_EVENNESS) - even) / F.sqrt(2 * PROSE_EVENNESS / pairs + 4 * 0.0009 / n)
+            # Chi-squared of the counts against a uniform alphabet, and its mean and spread if the token is language: greater, the more alike two characters are.
+            same = F.when(alphabet == 16, EVENNESS[16]).when(alphabet == 32, EVENNESS[32]).otherwise(EVENNESS[64])
+            chi2 = alphabet * q / n - n
+            mean = alphabet * (1 + (n - 1) * same) - n
+            spread = alphabet * (n - 1) * F.sqrt(2 * same / pairs + 4 * 0.0009 / n)
+            z_even = (mean - chi2) / spread
             # Class switches: prose words of one token switch seldom, at most once in eight places.
             rate = F.lit(0.125)
             z_runs = (switches / (n - 1) - rate) / F.sqrt(rate * (1 - rate) / (n - 1))
@@ -111,7 +126,7 @@ def battery(token: Column) -> Column:
             z_serial = F.lit(2.0) - F.abs(r) * F.sqrt(n)
             # Hex has no upper against lower switches to speak of but digits, which prose hasn't.
             z = (z_even + z_runs + F.least(z_serial, F.lit(1.0))) / F.lit(3**0.5)
-            return F.struct(alphabet.alias("alphabet"), n.cast("int").alias("n"), z_even.alias("z_even"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), z.alias("z"))
+            return F.struct(alphabet.alias("alphabet"), n.cast("int").alias("n"), chi2.alias("chi2"), z_even.alias("z_even"), z_runs.alias("z_runs"), z_serial.alias("z_serial"), z.alias("z"))
 
         return let(counts, lambda q: let(moved, lambda sw: let(sums, lambda s: combine(q, sw, s))))
 

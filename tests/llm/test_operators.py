@@ -13,6 +13,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from partloom.llm import bpe, components, exact_dedup, html_text, langid, mixing, near_dedup, pii, quality, secrets, token_files
 
@@ -133,6 +134,24 @@ def test_secrets_base(docs, empty):
     assert secrets.scan(empty).count() == 0
 
 
+def test_secrets_places_beyond_a_block(spark):
+    rng = random.Random(4)
+    many = "\n".join(f"{'é' * rng.randint(0, 3)} token={'x' * rng.randint(4, 9)} {rng.randbytes(rng.randint(10, 14)).hex()} AKIA{'Z' * rng.randint(14, 18)}" for _ in range(1500))
+    (row,) = secrets.scan(spark.createDataFrame([(1, many)], "doc_id long, text string")).collect()
+    want = secret_spans(many)
+    assert [tuple(x) for x in row["base"]] == want and min(Counter(x[1] for x in want).values()) > 2 * secrets.SPAN_BLOCK
+
+
+def test_secrets_chi_squared_by_encoding(spark):
+    rng = random.Random(5)
+    tokens = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("0123456789ABCDEF", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 44))]
+    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b")).collect()
+    for r, size in zip(got, (16, 32, 64), strict=True):
+        n, counts = len(r["t"]), Counter(r["t"])
+        assert r["b"]["alphabet"] == size and r["b"]["chi2"] == pytest.approx(sum((c - n / size) ** 2 for c in counts.values()) / (n / size) + (size - len(counts)) * n / size)
+        assert r["b"]["z"] > 3
+
+
 def test_secrets_battery_finds_random_tokens_only(spark):
     rng = random.Random(2)
     alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
@@ -269,8 +288,6 @@ def test_mixing(spark, docs, empty, monkeypatch, shard_words):
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=9), st.integers(0, 40))
 def test_highest_quotients(spark_session, weights, house):
-    from pyspark.sql import functions as F
-
     rows = spark_session.createDataFrame([("g", i, w, house) for i, w in enumerate(weights)], "g string, shard int, words long, quota long")
     got = {r["shard"]: r["seats"] for r in mixing.sainte_lague(rows, ["g"], "words", "quota", ["shard"]).select("shard", F.col("seats")).collect()}
     if not sum(weights):
