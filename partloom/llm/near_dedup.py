@@ -8,8 +8,10 @@
 * Tables.  A pair that shares (A_i, B_j) shares A_i and B_j; keys that one class alone has are dropped from each collection before the product is formed, which
   for most documents leaves nothing to form.  In each table a class is linked to the table's least class only: a star, no pairs.
 * Clusters.  Components of these stars are closed under meeting in a table, so all candidate pairs lie inside clusters.
-* Verification.  A cluster's classes, with their full sets, are dealt to chunks by a hash, and each pair of chunks is one task of bounded size.
-  A task compares signatures (all candidates that could reach the threshold, five standard deviations allowed), then full sets, and skips what it has
+* Verification.  In a cluster of more than ``chunk`` classes each class is first compared in full with the stars it shares most tables with, in groups of bounded size.
+  What these links connect is a part; the cluster's largest part needs no comparing within itself, which is all of the cluster if its texts are alike.
+  The classes left over, with their full sets, are dealt to chunks by a hash, and so are those of the largest part; each pair of chunks of which one is left over is one task of bounded size.
+  A task compares signatures (all candidates that could reach the threshold, five standard deviations allowed), then full sets, and skips what is
   already connected: it emits a spanning forest of the links it confirmed, which loses no connection.
 * Components of the confirmed links are the groups.
 """
@@ -29,6 +31,8 @@ from .components import components
 
 SHINGLE = 5
 CHUNK = 1024
+#: Stars that a class of a large cluster is compared with before the rest is compared exhaustively.
+STARS = 4
 _M64 = (1 << 64) - 1
 
 
@@ -133,12 +137,12 @@ def _shared(classes: DataFrame, column: str) -> DataFrame:
 
 
 def candidate_stars(classes: DataFrame) -> DataFrame:
-    """node, star for every table of the product in which a class meets another: the table's least class is the star."""
+    """node, star, tables: in each table of the product in which a class meets another the table's least class is the star; tables counts those of a node and its star."""
     both = _shared(classes, "a_keys").join(_shared(classes, "b_keys"), "node")
     tables = both.select("node", F.explode("a_keys").alias("x"), "b_keys").select("node", "x", F.explode("b_keys").alias("y"))
     tables = tables.select("node", F.struct(F.xxhash64("x.i", "x.key", "y.i", "y.key").alias("k1"), F.xxhash64("y.key", "x.key", "y.i", "x.i").alias("k2")).alias("k"))
     stars = tables.groupBy("k.k1", "k.k2").agg(F.min("node").alias("star"), F.count(F.lit(1)).alias("n")).where("n > 1").select(F.struct("k1", "k2").alias("k"), "star")
-    return tables.join(stars, "k").where("node <> star").select("node", "star").distinct()
+    return tables.join(stars, "k").where("node <> star").groupBy("node", "star").agg(F.count(F.lit(1)).alias("tables"))
 
 
 class _Forest:
@@ -155,10 +159,18 @@ class _Forest:
         self.up[self.find(x)] = self.find(y)
 
 
-def confirm(nodes: list[bytes], sides: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int, hashes: int = 64) -> list[tuple[bytes, bytes]]:
+def _alike(x: np.ndarray, y: np.ndarray, numerator: int, denominator: int) -> bool:
+    """denominator * |both| >= numerator * |either|."""
+    if denominator * min(len(x), len(y)) < numerator * max(len(x), len(y)):
+        return False
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return denominator * both >= numerator * (len(x) + len(y) - both)
+
+
+def confirm(nodes: list[bytes], sides: np.ndarray, parts: np.ndarray, sets: list[np.ndarray], numerator: int, denominator: int, hashes: int = 64) -> list[tuple[bytes, bytes]]:
     """A spanning forest of the links in one task: pairs with denominator * |both| >= numerator * |either|.
 
-    If both sides are present only pairs between them count (each chunk by itself is another task's).
+    If both sides are present only pairs between them count (each chunk by itself is another task's). Classes of one part are connected already.
     Pairs are ruled out by size and by signature, then compared in full, most alike first.
     """
     n = len(nodes)
@@ -180,6 +192,7 @@ def confirm(nodes: list[bytes], sides: np.ndarray, sets: list[np.ndarray], numer
         others = order[r + 1 : end]
         if two:
             others = others[sides[others] != sides[i]]
+        others = others[parts[others] != parts[i]]
         if not len(others):
             continue
         alike = (sig[others] == sig[i]).sum(axis=1)
@@ -201,31 +214,85 @@ def _settle(found, forest, out, nodes, sets, numerator, denominator) -> None:
     for _, i, j in pairs[np.argsort(-pairs[:, 0], kind="stable")].tolist():
         if forest.find(i) == forest.find(j):
             continue
-        both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-        if denominator * both >= numerator * (len(sets[i]) + len(sets[j]) - both):
+        if _alike(sets[i], sets[j], numerator, denominator):
             forest.join(i, j)
             out.append((nodes[i], nodes[j]))
 
 
-def _verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, numerator: int, denominator: int, chunk: int) -> DataFrame:
-    """a, b: confirmed links between classes. members: node, id (of one document of the class), cluster."""
-    spark = docs.sparkSession
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(F.struct("cluster").alias("k"), F.ceil(F.col("n") / float(chunk)).cast("int").alias("chunks"))
-    placed = settle(members.withColumn("k", F.struct("cluster")).join(sizes, "k").select("node", "id", "cluster", "chunks"))
+def _full_sets(docs: DataFrame, classes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, cluster, n and the whole set (sorted 64-bit hashes) of each class, from the text of one of its documents."""
     texts = docs.select(docs[id_col].alias("doc"), text_of(docs, text_col).alias("t"))
-    full = texts.join(placed, texts["doc"].eqNullSafe(placed["id"])).select("node", "cluster", "chunks", "t")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler()
         for batch in batches:
-            node, cluster, chunks, t = (c.to_pylist() for c in batch.columns)
-            rows = [(n, c, k, s.tobytes()) for n, c, k, x in zip(node, cluster, chunks, t, strict=True) if _digest(s := shingler(x)) == n]  # else another document under this id
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int32(), pa.binary()))], ["node", "cluster", "chunks", "shingles"])
-
-    full = full.mapInArrow(sets, "node binary, cluster binary, chunks int, shingles binary")
-    own = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
-    tasks = full.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    tasks = tasks.select(F.xxhash64("cluster", F.least("own", "other"), F.greatest("own", "other")).alias("task"), "cluster", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "shingles")
+            node, cluster, n, t = (c.to_pylist() for c in batch.columns)
+            rows = [(x, c, k, s.tobytes()) for x, c, k, y in zip(node, cluster, n, t, strict=True) if _digest(s := shingler(y)) == x]  # else another document under this id
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.binary(), pa.binary(), pa.int64(), pa.binary()))], ["node", "cluster", "n", "shingles"])
+
+    return texts.join(classes, texts["doc"].eqNullSafe(classes["id"])).select("node", "cluster", "n", "t").mapInArrow(run, "node binary, cluster binary, n long, shingles binary")
+
+
+def _star_links(held: DataFrame, stars: DataFrame, numerator: int, denominator: int, chunk: int) -> DataFrame:
+    """a, b: confirmed links between classes of large clusters and the ``STARS`` stars they share most tables with. A hot star's classes are dealt to groups of about ``chunk``."""
+    spark = held.sparkSession
+    best = stars.join(held.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.slice(F.sort_array(F.collect_list(F.struct("tables", "star")), asc=False), 1, STARS).alias("best"))
+    pairs = settle(best.select("node", F.explode("best.star").alias("star")))
+    groups = pairs.groupBy("star").agg(F.ceil(F.count(F.lit(1)) / float(chunk)).cast("int").alias("groups"))
+    own = pairs.withColumn("k", F.struct("star")).join(groups.select(F.struct("star").alias("k"), "groups"), "k").select("star", F.pmod(F.xxhash64("node"), F.col("groups")).cast("int").alias("group"), "node")
+    heads = groups.select("star", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), F.col("star").alias("node"))
+    rows = own.unionByName(heads).join(held.select("node", "shingles"), "node")
+    rows = rows.repartition(shuffle_partitions(spark), "star", "group").select("star", "group", "node", "shingles", (F.col("node") != F.col("star")).alias("later")).sortWithinPartitions("star", "group", "later")
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, head_set = None, None, None
+        for batch in batches:
+            links = []
+            for star, group, node, shingles in zip(*(c.to_pylist() for c in batch.columns[:4]), strict=True):
+                if (star, group) != key:
+                    key, head, head_set = (star, group), node, np.frombuffer(shingles, np.uint64)
+                elif node != head == star and _alike(head_set, np.frombuffer(shingles, np.uint64), numerator, denominator):
+                    links.append((node, star))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
+
+    return rows.mapInArrow(check, "a binary, b binary")
+
+
+def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Tasks of pairs of chunks. rows: node, cluster, part, main, shingles; sizes: cluster, rest, bulk (chunks of what is left over and of the largest part).
+
+    A chunk of what is left over meets every chunk, one of the largest part those left over only.
+    """
+    at = rows.withColumn("k", F.struct("cluster")).join(sizes.select(F.struct("cluster").alias("k"), "rest", "bulk"), "k")
+    h = F.xxhash64("node")
+    at = at.withColumn("own", F.when(F.col("main"), F.col("rest") + F.pmod(h, F.greatest("bulk", F.lit(1)))).otherwise(F.pmod(h, F.greatest("rest", F.lit(1)))).cast("int"))
+    at = at.where("rest > 0").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("rest") + F.when(F.col("main"), 0).otherwise(F.col("bulk")) - 1)))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    return at.select(F.xxhash64("cluster", lo, hi).alias("task"), "cluster", lo.alias("lo"), hi.alias("hi"), "own", "node", "part", "shingles")
+
+
+def _verified(docs: DataFrame, members: DataFrame, stars: DataFrame, id_col: str, text_col: str, numerator: int, denominator: int, chunk: int) -> DataFrame:
+    """a, b: confirmed links between classes. members: node, id (of one document of the class), cluster; stars: node, star, tables."""
+    spark = docs.sparkSession
+    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(F.struct("cluster").alias("k"), "n")
+    placed = settle(members.withColumn("k", F.struct("cluster")).join(sizes, "k").select("node", "id", "cluster", "n"))
+    # A small cluster is one task.
+    small = _full_sets(docs, placed.where(F.col("n") <= chunk), id_col, text_col)
+    tasks = small.select(F.xxhash64("cluster", F.lit(0), F.lit(0)).alias("task"), "cluster", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "node", F.col("node").alias("part"), "shingles")
+    large, first = placed.where(F.col("n") > chunk), None
+    if not large.isEmpty():
+        held = settle(_full_sets(docs, large, id_col, text_col))
+        first = settle(_star_links(held, stars, numerator, denominator, chunk))
+        roots = components(first).select(F.col("node").alias("x"), "root")
+        parts = large.select("node", "cluster").distinct().join(roots, F.col("node") == F.col("x"), "left").select("node", "cluster", F.coalesce("root", "node").alias("part"))
+        parts = settle(parts)
+        by_part = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+        main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
+        chunks = lambda x: F.ceil(x / float(chunk)).cast("int")
+        main = settle(main.select("cluster", F.col("top.part").alias("largest"), chunks(F.col("n") - F.col("top.n")).alias("rest"), chunks(F.col("top.n")).alias("bulk")))
+        # Clusters of one part are done.
+        todo = parts.withColumn("k", F.struct("cluster")).join(main.where("rest > 0").select(F.struct("cluster").alias("k"), "largest"), "k").select(F.col("node").alias("x"), "part", (F.col("part") == F.col("largest")).alias("main"))
+        tasks = tasks.unionByName(_dealt(held.join(todo, F.col("node") == F.col("x")).select("node", "cluster", "part", "main", "shingles"), main))
     tasks = tasks.repartition(shuffle_partitions(spark), "task").sortWithinPartitions("cluster", "lo", "hi", "node")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,20 +301,22 @@ def _verified(docs: DataFrame, members: DataFrame, id_col: str, text_col: str, n
         def close() -> Iterator[pa.RecordBatch]:
             if len(rows) > 1:
                 nodes = list(rows)
-                links = confirm(nodes, np.array([rows[x][0] for x in nodes]), [rows[x][1] for x in nodes], numerator, denominator)
+                parts = np.unique([rows[x][1].hex() for x in nodes], return_inverse=True)[1]
+                links = confirm(nodes, np.array([rows[x][0] for x in nodes]), parts, [rows[x][2] for x in nodes], numerator, denominator)
                 if links:
                     yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in links], pa.binary()) for i in (0, 1)], ["a", "b"])
 
         for batch in batches:
-            _, cluster, lo, hi, own, node, shingles = (c.to_pylist() for c in batch.columns)
-            for c, x, y, o, n, s in zip(cluster, lo, hi, own, node, shingles, strict=True):
+            _, cluster, lo, hi, own, node, part, shingles = (c.to_pylist() for c in batch.columns)
+            for c, x, y, o, n, p, s in zip(cluster, lo, hi, own, node, part, shingles, strict=True):
                 if (c, x, y) != key:
                     yield from close()
                     key, rows = (c, x, y), {}
-                rows[n] = (o, np.frombuffer(s, np.uint64))
+                rows[n] = (o, p, np.frombuffer(s, np.uint64))
         yield from close()
 
-    return tasks.mapInArrow(check, "a binary, b binary")
+    links = tasks.mapInArrow(check, "a binary, b binary")
+    return links if first is None else links.unionByName(first)
 
 
 def near_groups(
@@ -263,9 +332,10 @@ def near_groups(
     rows = settle(sketch(docs, id_col, text_col, k, m))
     classes = rows.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("id"), F.first("a_keys").alias("a_keys"), F.first("b_keys").alias("b_keys"))
     classes = settle(classes)
-    clusters = components(candidate_stars(classes), "node", "star")
+    stars = settle(candidate_stars(classes))
+    clusters = components(stars, "node", "star")
     members = clusters.select("node", F.col("root").alias("cluster")).join(classes.select("node", "id"), "node")
-    links = settle(_verified(docs, members, id_col, text_col, numerator, denominator, chunk))
+    links = settle(_verified(docs, members, stars, id_col, text_col, numerator, denominator, chunk))
     roots = components(links, "a", "b").select("node", "root")
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     labels = settle(labels)
