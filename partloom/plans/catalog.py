@@ -419,6 +419,9 @@ _partition("node_soft_ghosts", node.partition, batch_size=128, buffer_size=256,
 _partition("node_distributed", node.partition_distributed)
 for _s in ("haa", "anr", "cms", "nss", "cbs", "cbsq"):
     _partition(f"node_buffered_{_s}", node.partition, batch_size=128, buffer_size=256, score=_s)
+_partition("node_buffered_pulled", node.partition, batch_size=128, buffer_size=256, pull_neighbours=True)
+_partition("node_path_matching", node.partition, batch_size=512, matcher="paths", improve_initial=True)
+_partition("node_bisected", node.partition_bisected)
 _partition("edge_minimal", edge.partition, batch_size=512)
 _partition("edge_full", edge.partition, batch_size=512, minimal_mode=False)
 _partition("edge_sampled", edge.partition, batch_size=512, minimal_mode=False, past_subset_size=2)

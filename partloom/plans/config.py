@@ -9,6 +9,7 @@ GAMMA = 1.5
 SCORES = ("anr", "haa", "cms", "nss", "cbs", "cbsq")
 DYNAMICS = ("original", "double", "linear", "quadratic", "midlinear", "midquadratic", "midconstant", "edgecut")
 ORDERS = ("natural", "degree", "random")
+MATCHERS = ("cluster", "paths", "random")
 STOP_RULES = ("multibfs", "multiple_k", "strong", "simple", "separator")
 
 
@@ -48,6 +49,9 @@ class PartitionConfig:
     batch_imbalance: float = 20.0
     ensembles: int = 1
     cycles: int = 1
+    matcher: str = "cluster"
+    improve_initial: bool = False
+    pull_neighbours: bool = False
     # edge mode
     minimal_mode: bool = True
     past_subset_size: int = -1
@@ -61,7 +65,7 @@ class PartitionConfig:
             raise ValueError("k must be 1 or more")
         if self.score == "gts":
             raise ValueError("score 'gts' has no definition")
-        for value, known, what in ((self.score, SCORES, "score"), (self.dynamics, DYNAMICS, "dynamics"), (self.order, ORDERS, "order"), (self.stop_rule, STOP_RULES, "stop_rule"), (self.sqrt_mode, ("exact", "fast"), "sqrt_mode"), (self.ties, ("lowest", "coin"), "ties")):
+        for value, known, what in ((self.score, SCORES, "score"), (self.dynamics, DYNAMICS, "dynamics"), (self.order, ORDERS, "order"), (self.matcher, MATCHERS, "matcher"), (self.stop_rule, STOP_RULES, "stop_rule"), (self.sqrt_mode, ("exact", "fast"), "sqrt_mode"), (self.ties, ("lowest", "coin"), "ties")):
             if value not in known:
                 raise ValueError(f"{what} {value!r} is not one of {', '.join(known)}")
         if self.passes < 1 or self.batch_size < 0 or self.buffer_size < 0:

@@ -21,6 +21,7 @@ from ..functions.tables import settle
 from ..kernel import batches, fennel
 from ..kernel.buffer import Stream
 from ..kernel.csr import Csr, from_arcs
+from ..kernel.multilevel import recursive_bisection
 from ..operators import graph, scoring
 from .config import PartitionConfig, alpha_gamma, batch_slack, capacity, model_bound
 
@@ -91,6 +92,18 @@ def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataF
     return as_rows(edges, nodes).mapInArrow(run, "id long, block int")
 
 
+def partition_bisected(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
+    """id, block of every vertex by recursive bisection of the whole graph, in one task. For graphs that fit in a task."""
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        g = whole_graph(rows)
+        cap = capacity(float(g.node_w.sum()), cfg.k, cfg.imbalance, True)
+        block = recursive_bisection(g, cfg.k, cap, alpha_gamma, label_rounds=cfg.label_rounds, refine_rounds=cfg.refine_rounds, sqrt_mode=cfg.sqrt_mode, ties=cfg.ties, seed=cfg.seed, matcher=cfg.matcher, improve_initial=cfg.improve_initial)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.n), pa.int64()), pa.array(block, pa.int32())], ["id", "block"])
+
+    return as_rows(edges, nodes).mapInArrow(run, "id long, block int")
+
+
 def baseline(edges: DataFrame, nodes: DataFrame, kind: str, k: int, imbalance: float = 3.0) -> DataFrame:
     """id, block of a one-pass baseline; hashing, chunking and balanced are projections, greedy and LDG stream."""
     ids = nodes.select(F.col("node_id").alias("id"))

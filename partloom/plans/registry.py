@@ -48,4 +48,5 @@ def create(mode: str) -> Algorithm:
 register("node", Algorithm(node.partition, evaluate_nodes))
 register("node_batched", Algorithm(node.partition_batched, evaluate_nodes))
 register("node_distributed", Algorithm(node.partition_distributed, evaluate_nodes))
+register("node_bisected", Algorithm(node.partition_bisected, evaluate_nodes))
 register("edge", Algorithm(edge.partition, evaluate_edges))

@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 
 from partloom.kernel import batches, buffer, edges, fennel, matching
 from partloom.kernel.csr import from_arcs
-from partloom.kernel.multilevel import Solver, contract, objective
+from partloom.kernel.multilevel import Solver, contract, objective, recursive_bisection
 from partloom.operators import connectivity, graph, metrics, ratings, scoring
 from partloom.plans import catalog, edge, node, registry, run
 from partloom.plans.config import PartitionConfig, alpha_gamma, capacity, dynamics_weight
@@ -115,7 +115,7 @@ def to_frames(spark, n, pairs):
     return graph.symmetrize(u).cache(), spark.createDataFrame([(i, 1) for i in range(n)], "node_id long, weight long").cache()
 
 
-@pytest.mark.parametrize("options", [dict(batch_size=40), dict(batch_size=40, passes=3), dict(batch_size=1), dict(batch_size=1, passes=2), dict(batch_size=1, use_queue=False), *[dict(batch_size=20, buffer_size=50, score=s) for s in ("haa", "anr", "cms", "nss", "cbs", "cbsq")], dict(batch_size=1, buffer_size=30), dict(batch_size=20, buffer_size=50, ghosts=True), dict(batch_size=20, buffer_size=50, passes=2), dict(batch_size=40, model_ghosts=True), dict(batch_size=0), dict(batch_size=40, order="random", ties="coin", ensembles=2, cycles=2), dict(batch_size=20, buffer_size=40, bb_ratio=4, d_max=5)])
+@pytest.mark.parametrize("options", [dict(batch_size=40), dict(batch_size=40, passes=3), dict(batch_size=1), dict(batch_size=1, passes=2), dict(batch_size=1, use_queue=False), *[dict(batch_size=20, buffer_size=50, score=s) for s in ("haa", "anr", "cms", "nss", "cbs", "cbsq")], dict(batch_size=1, buffer_size=30), dict(batch_size=20, buffer_size=50, ghosts=True), dict(batch_size=20, buffer_size=50, passes=2), dict(batch_size=40, model_ghosts=True), dict(batch_size=0), dict(batch_size=40, matcher="paths", improve_initial=True), dict(batch_size=40, passes=2, matcher="random"), dict(batch_size=20, buffer_size=50, pull_neighbours=True), dict(batch_size=40, order="random", ties="coin", ensembles=2, cycles=2), dict(batch_size=20, buffer_size=40, bb_ratio=4, d_max=5)])
 def test_node_modes_hold_the_cap(options):
     pairs = random_graph(200, 700, 1)
     g = from_arcs(200, *zip(*pairs, strict=True))
@@ -238,6 +238,28 @@ def test_multilevel_parts():
     assert s.overlay([[0, 0, 1, 1], [5, 6, 6, 6]]) == [0, 1, 2, 2]
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 5, 8])
+def test_bisection_halves_within_the_cap(k):
+    pairs = [(8 * c + i, 8 * c + j) for c in range(8) for i in range(8) for j in range(i)] + [(8 * c, (8 * c + 8) % 64) for c in range(8)]
+    g, cap = from_arcs(64, *zip(*pairs, strict=True)), capacity(64, k, 10.0, True)
+    got = recursive_bisection(g, k, cap, alpha_gamma)
+    sizes = np.bincount(got, minlength=k)
+    assert len(sizes) == k and sizes.min() > 0 and sizes.max() <= cap
+    assert k == 1 or sum(got[a] != got[b] for a, b in pairs) < len(pairs) * (1 - 1 / k)
+    assert len(recursive_bisection(from_arcs(0, [], []), k, 1, alpha_gamma)) == 0
+
+
+def test_improving_a_partition_keeps_the_cap_and_lowers_the_cut():
+    pairs = [(a, b) for a in range(24) for b in range(a) if a // 8 == b // 8] + [(0, 8), (8, 16)]
+    g, bad = from_arcs(24, *zip(*pairs, strict=True)), [v % 3 for v in range(24)]
+    cut = lambda b: sum(b[x] != b[y] for x, y in pairs)
+    for matcher in ("paths", "random"):
+        s = Solver(3, 10, 0.3, anchors=False, cluster_factor=3, matcher=matcher)
+        assert all(m == s.matched(g, bad)[m] and bad[m] == bad[v] for v, m in enumerate(s.matched(g, bad)))
+    better = s.improve(g, list(bad))
+    assert cut(better) <= cut(bad) and np.bincount(better).max() <= 10
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(1, 20), max_size=10))
 def test_path_matching_is_best(rs):
