@@ -7,7 +7,9 @@ are links,
 
 with c characters, t tags, c' link characters, nc other characters, t' all tags, t'' link tags.  The sum of its children's densities chooses the node: the
 largest sum is the text's subtree.  The least density on the path from that node up to the body is the threshold; any other branch at or above it
-gives its own largest-sum subtree too, so that an article in several parts stays whole; an enclosing article or main element is taken as the whole.
+gives its own largest-sum subtree too, and so on in what that leaves of the branch, so that an article in several parts stays whole.  Text that lies beside
+blocks counts as a branch, and headings beside the path belong to it.  Article and main elements choose nothing; they are a weight: a branch that is one or
+lies in one counts up to ``MARKED`` times against the threshold, by the share of its characters outside of links.
 
 Before that, branches that can't be the article are cut: by tag, role and by words of class and id (menus, headers, footers, sidebars, notices, adverts, forms,
 reader comments, hidden ones).
@@ -34,6 +36,8 @@ ENDS_P = frozenset("address article aside blockquote details div dl fieldset fig
 BLOCK = ENDS_P | frozenset("body html li dt dd tr td th caption thead tbody tfoot br option summary".split())
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 INLINE = frozenset("a abbr b bdi bdo big cite code del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var".split())
+RUN = INLINE | {"br", "wbr", "img"}
+MARKS = ("article", "main")
 CUT_TAGS = RAW | frozenset("head nav footer aside form button select input dialog menu object embed canvas audio video map".split())
 CUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar tablist status".split())
 CUT_WORDS = frozenset(
@@ -42,12 +46,14 @@ CUT_WORDS = frozenset(
     "widget widgets related recommended recommendations share sharing social follow newsletter subscribe subscription signup login notice notices notification notifications cookie cookies consent gdpr "
     "alert popup modal overlay disclaimer form search comment comments commentlist disqus respond responses replies reply discussion reactions hidden skip".split()
 )
+#: Weight of article and main elements against the threshold, by the share of text outside of links: their short paragraphs reach it, their lists of links do not.
+MARKED = 32
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "up", "items", "chars", "tags", "link_chars", "link_tags", "density", "total")
+    __slots__ = ("tag", "attrs", "up", "items", "chars", "tags", "link_chars", "link_tags", "density", "total", "inline", "best")
 
     def __init__(self, tag: str, attrs: str, up: Node | None):
         self.tag, self.attrs, self.up, self.items = tag, attrs, up, []
@@ -160,7 +166,7 @@ def _prune(node: Node, inside: bool) -> None:
 
 def _measure(node: Node, in_link: bool) -> None:
     node.chars = node.link_chars = node.link_tags = 0
-    node.tags = 0
+    node.tags, node.inline = 0, node.tag in RUN
     link = in_link or node.tag == "a"
     for x in node.items:
         if isinstance(x, Node):
@@ -169,6 +175,7 @@ def _measure(node: Node, in_link: bool) -> None:
             node.tags += x.tags + 1
             node.link_chars += x.link_chars
             node.link_tags += x.link_tags + (x.tag == "a")
+            node.inline &= x.inline
         else:
             n = len(x.strip())
             node.chars += n
@@ -176,33 +183,71 @@ def _measure(node: Node, in_link: bool) -> None:
                 node.link_chars += n
 
 
+def _density(c: int, tags: int, link_chars: int, link_tags: int, ratio: float) -> float:
+    if not c:
+        return 0.0
+    t, lc, lt, nc = max(1, tags), max(1, link_chars), max(1, link_tags), max(1, c - link_chars)
+    base = math.log(c / nc * lc + ratio * c + math.e)
+    return c / t * math.log(max(1.0 + 1e-9, c / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9)) if base > 0 else 0.0
+
+
 def _densities(node: Node, ratio: float) -> None:
-    c, t = node.chars, max(1, node.tags)
-    if c:
-        lc, lt, nc = max(1, node.link_chars), max(1, node.link_tags), max(1, c - node.link_chars)
-        base = math.log(c / nc * lc + ratio * c + math.e)
-        node.density = c / t * math.log(max(1.0 + 1e-9, c / lc * t / lt)) / math.log(max(base, 1.0 + 1e-9)) if base > 0 else 0.0
-    else:
-        node.density = 0.0
-    node.total = 0.0
+    node.density = _density(node.chars, node.tags, node.link_chars, node.link_tags, ratio)
+    node.total, own, below = 0.0, 0, None
     for x in node.items:
-        if isinstance(x, Node):
-            _densities(x, ratio)
+        if not isinstance(x, Node):
+            own += len(x.strip())
+            continue
+        _densities(x, ratio)
+        if x.inline:
+            own += x.chars - x.link_chars
+        else:
             node.total += x.density
-    # Text that a node holds itself counts like a child of its own.
-    own = sum(len(x.strip()) for x in node.items if not isinstance(x, Node))
+            if below is None or x.best.total > below.total:
+                below = x.best
+    # Text that a node holds itself, inline elements with it, counts like a child of its own.
     if own and node.tag != "a":
-        node.total += own / t
+        node.total += own / max(1, node.tags)
+    node.best = below if below is not None and below.total > node.total else node
 
 
-def _best(node: Node) -> Node:
-    best, stack = node, [node]
-    while stack:
-        x = stack.pop()
-        if x.total > best.total:
-            best = x
-        stack += [y for y in x.items if isinstance(y, Node)]
-    return best
+def _is_heading(node: Node) -> bool:
+    """Whether all of a node's text lies in headings."""
+    if re.fullmatch("h[1-6]|hgroup", node.tag):
+        return True
+    return all(_is_heading(x) if isinstance(x, Node) else not x.strip() for x in node.items)
+
+
+def _reaches(run: list, threshold: float, ratio: float, marked: bool) -> bool:
+    """Whether a branch, or text and inline elements that follow each other, reaches the threshold."""
+    nodes = [x for x in run if isinstance(x, Node)]
+    c, links = sum(x.chars if isinstance(x, Node) else len(x.strip()) for x in run), sum(x.link_chars for x in nodes)
+    if len(run) == len(nodes) == 1 and not nodes[0].inline:
+        density = nodes[0].density
+    else:
+        density = _density(c, sum(x.tags + 1 for x in nodes), links, sum(x.link_tags + (x.tag == "a") for x in nodes), ratio)
+    return density * (max(1.0, MARKED * (1 - links / c)) if marked and c else 1.0) >= threshold
+
+
+def _collect(node: Node, threshold: float, ratio: float, marked: bool, out: list) -> None:
+    """What is text in a branch, in page order: its largest-sum subtree, and beside the path to that the branches that reach the threshold."""
+    if node.best is node:
+        out.append(node)
+        return
+    marked = marked or node.tag in MARKS
+    run: list = []
+    for x in [*node.items, None]:
+        if isinstance(x, str) or x is not None and x.inline:
+            run.append(x)
+            continue
+        if run:
+            if _reaches(run, threshold, ratio, marked):
+                out.extend(run)
+            run = []
+        if x is None or not x.chars:
+            continue
+        if x.best is node.best or _is_heading(x) or _reaches([x], threshold, ratio, marked or x.tag in MARKS):
+            _collect(x, threshold, ratio, marked, out)
 
 
 def _blocks(node: Node, out: list[str]) -> None:
@@ -228,39 +273,26 @@ def extract(page: str) -> str:
     _measure(body, False)
     if not body.chars:
         return ""
-    _densities(body, body.link_chars / body.chars)
-    best = _best(body)
-    path = [best]
-    while path[-1] is not body and path[-1].up is not None:
-        path.append(path[-1].up)
-    whole = next((x for x in reversed(path) if x.tag in ("article", "main")), None)
-    if whole is not None:
-        chosen = [whole]
-    else:
-        threshold = min(x.density for x in path)
-        # The path's highest node none of whose branches beside the path falls below the threshold joins them all.
-        chosen = [best]
-        for x in path[1:]:
-            beside = [y for y in x.items if isinstance(y, Node) and y not in path and y.chars]
-            good = [y for y in beside if y.density >= threshold or re.fullmatch("h[1-6]", y.tag)]
-            if good:
-                chosen = [y for y in x.items if isinstance(y, Node) and (y in good or any(z is y or _under(z, y) for z in chosen))]
+    ratio = body.link_chars / body.chars
+    _densities(body, ratio)
+    threshold, x = body.best.density, body.best
+    while x is not body:
+        x = x.up
+        threshold = min(threshold, x.density)
+    chosen: list = []
+    _collect(body, threshold, ratio, False, chosen)
     out: list[str] = []
     for x in chosen:
-        out.append("\n")
-        _blocks(x, out)
+        if isinstance(x, str):
+            out.append(x)
+        else:
+            if x.tag not in INLINE:
+                out.append("\n")
+            _blocks(x, out)
     text = "".join(out)
     return " ".join((_html.unescape(text) if "&" in text else text).split())
 
 
-def _under(node: Node, top: Node) -> bool:
-    while node is not None:
-        if node is top:
-            return True
-        node = node.up
-    return False
-
-
 def _walk(node: Node) -> Iterator[Node]:
     stack = [node]
     while stack:

@@ -421,3 +421,20 @@ def test_html(spark):
     assert got[1]["text"] == "Title & more First paragraph with a link and text that is long enough to count as text. Second paragraph of the article, long enough as well to be counted as a block of text. one item two item"
     assert [got[i]["text"] for i in (2, 3, 4, 5, None, 6)] == ["", "", "a b cd", "deep", "plain <text>", "H x y"] and all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html_text.main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
+P = "<p>A paragraph of the text number {} that is long enough to count, as paragraphs of articles are.</p>"
+
+
+def test_html_density_chooses_in_articles_too():
+    paragraphs = [P.format(i) for i in range(9)]
+    words = lambda xs: " ".join(re.sub("<[^>]*>", " ", " ".join(xs)).split())
+    clutter = "<div class=box7>" + "".join(f"<div><a href=/{i}>Story {i}</a></div>" for i in range(12)) + "</div>"
+    # Sibling articles without a common main are one text.
+    assert html_text.extract(f"<body>{clutter}<article><h2>One</h2>{''.join(paragraphs[:2])}</article><article><h2>Two</h2>{''.join(paragraphs[2:])}</article></body>") == words(["One", *paragraphs[:2], "Two", *paragraphs[2:]])
+    # A wide main doesn't bring its clutter, whether marked or not.
+    for tag in ("main", "article", "div"):
+        assert html_text.extract(f"<body><{tag}><h1>Head</h1>{clutter}<div class=story>{''.join(paragraphs)}</div>{clutter}</{tag}></body>") == words(["Head", *paragraphs])
+    # Text beside blocks and inside of lines stays whole.
+    bare = "Bare text of the article, set without a paragraph around it, <b>but long enough</b> to be read as such."
+    assert html_text.extract(f"<body><article>{bare}<br>{bare}<div>{''.join(paragraphs)}</div><p>{bare}</p></article></body>") == words([bare, bare, *paragraphs, bare])
