@@ -16,10 +16,11 @@ from __future__ import annotations
 
 import random
 import re
+from array import array
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,7 @@ MARK = re.compile(r"[0-9@]")
 REGION = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20(?:[^\s]*[0-9@][^\s]*|(?:at|dot|AT|DOT|\(at\)|\[at\]|\(dot\)|\[dot\])(?=\x20)))*")
 ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
 MAX_ATOMS = 14
-MAX_REGION = 400
+MAX_SPAN = 400  # characters
 TRAIN_REGIONS = 260
 RIDGE = 0.02
 
@@ -152,18 +153,23 @@ def _cues(before: str) -> tuple[str, ...]:
 
 
 def _segments(region: str, before: str) -> tuple[list[tuple[int, int]], list[tuple[int, int, list[int]]]]:
-    """Atoms' places, and candidate entity segments (first atom, atom after the last, features). A segment starts and ends on letters, digits, plus or parenthesis and holds a digit or an at-sign."""
-    atoms = [(m.start(), m.end()) for m in ATOM.finditer(region)]
-    cues, out = _cues(before), []
-    for a in range(len(atoms)):
-        first = region[atoms[a][0]]
-        if not (first.isalnum() or first in "+("):
-            continue
-        for b in range(a + 1, min(len(atoms), a + MAX_ATOMS) + 1):
-            lo, hi = atoms[a][0], atoms[b - 1][1]
-            if region[hi - 1].isalnum() and (b - a > 1 or hi - lo > 6) and (MARK.search(region, lo, hi) or _SPELLED.search(region, lo, hi)):
-                out.append((a, b, span_features(region, lo, hi, cues)))
-    return atoms, out
+    """Atoms' places, and candidate entity segments (first atom, atom after the last, features)."""
+    ends = array("q", [0, *(m.end() for m in ATOM.finditer(region))])
+    cues = _cues(before)
+    return list(pairwise(ends)), [(a, b, f) for a in range(len(ends) - 1) for b, f in _segments_from(region, ends, a, cues)]
+
+
+def _segments_from(region: str, ends: array, a: int, cues: tuple[str, ...]) -> Iterator[tuple[int, list[int]]]:
+    """(atom after the last, features) of the candidates from atom ``a``: at most ``MAX_SPAN`` characters that start and end on letters, digits, plus or parenthesis and hold a digit or an at-sign, spelled out or not. Atom i lies in region[ends[i]:ends[i + 1]]."""
+    lo = ends[a]
+    if not (region[lo].isalnum() or region[lo] in "+("):
+        return
+    for b in range(a + 1, min(len(ends) - 1, a + MAX_ATOMS) + 1):
+        hi = ends[b]
+        if hi - lo > MAX_SPAN:
+            return
+        if region[hi - 1].isalnum() and (b - a > 1 or hi - lo > 6) and (MARK.search(region, lo, hi) or _SPELLED.search(region, lo, hi)):
+            yield b, span_features(region, lo, hi, cues)
 
 
 def _generate(rng: random.Random) -> tuple[str, str, list[tuple[int, int, int]]]:
@@ -268,30 +274,39 @@ def trained() -> np.ndarray:
 
 
 def decode(region: str, before: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the best segmentation's entities, places in the region."""
-    atoms, segments = _segments(region, before)
-    n = len(atoms)
-    best, came = [0.0] * (n + 1), [None] * (n + 1)
-    into: list[list] = [[] for _ in range(n + 1)]
-    for a, b, f in segments:
-        s = weights[:, f].sum(axis=1)
-        k = int(s.argmax())
-        if s[k] > 0:
-            into[b].append((a, k, float(s[k])))
-    for j in range(1, n + 1):
-        best[j] = best[j - 1]
-        for a, k, s in into[j]:
-            if best[a] + s > best[j]:
-                best[j], came[j] = best[a] + s, (a, k)
-    out, j = [], n
-    while j:
-        if came[j]:
-            a, k = came[j]
-            out.append((k, atoms[a][0], atoms[j - 1][1]))
-            j = a
-        else:
-            j -= 1
-    return out[::-1]
+    """(kind, start, end) of the best segmentation's entities, places in the region. The programme runs over the whole region, however long; wherever no entity can lie across, what is before is settled."""
+    ends = array("q", [0, *(m.end() for m in ATOM.finditer(region))])
+    cues, n = _cues(before), len(ends) - 1
+    out: list[tuple[int, int, int]] = []
+    came: dict[int, tuple[int, int]] = {}
+    coming: dict[int, tuple[float, int, int]] = {}  # by end: score, first atom, type
+    value, settled, reach = 0.0, 0, 0
+    for a in range(n + 1):
+        score, first, k = coming.pop(a, (0.0, 0, 0))
+        if score > value:
+            value, came[a] = score, (first, k)
+        if a >= reach:
+            found, j = [], a
+            while j > settled:
+                if j in came:
+                    first, k = came[j]
+                    found.append((k, ends[first], ends[j]))
+                    j = first
+                else:
+                    j -= 1
+            out += found[::-1]
+            value, settled = 0.0, a
+            came.clear()
+        if a == n:
+            break
+        for b, f in _segments_from(region, ends, a, cues):
+            s = weights[:, f].sum(axis=1)
+            k = int(s.argmax())
+            if s[k] > 0:
+                reach = max(reach, b)
+                if b not in coming or value + float(s[k]) > coming[b][0]:
+                    coming[b] = (value + float(s[k]), a, k)
+    return out
 
 
 def regions(text: str) -> Iterator[re.Match]:
@@ -307,7 +322,7 @@ def regions(text: str) -> Iterator[re.Match]:
 
 
 def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The field's entities in a whole text; a longer region is decoded in pieces that end at white space where it has any."""
+    """The field's entities in a whole text."""
     out = []
     if not MARK.search(text):
         return out
@@ -317,10 +332,7 @@ def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
             continue  # too few digits for any type
         # A parenthesis or a word before may belong to it.
         lo = text.rfind(" ", max(0, lo - 40), max(0, lo - 1)) + 1 if re.match(r"[(\[]?(?:at|AT)[)\]]?\s|@", m[0]) else lo
-        while lo < end:
-            hi = end if end - lo <= MAX_REGION else max(text.rfind(" ", lo + 1, lo + MAX_REGION), 0) or lo + MAX_REGION
-            out += [(k, lo + a, lo + b) for k, a, b in decode(text[lo:hi], text[max(0, lo - 16) : lo], weights)]
-            lo = hi
+        out += [(k, lo + a, lo + b) for k, a, b in decode(text[lo:end], text[max(0, lo - 16) : lo], weights)]
     return out
 
 

@@ -203,6 +203,17 @@ def test_pii_field_on_held_out_regions():
     assert good >= 0.85 * total
 
 
+def test_pii_regions_of_any_length_are_whole():
+    rng, cards = random.Random(3), []
+    for _ in range(100):
+        body = "".join(rng.choice("0123456789") for _ in range(15))
+        body += next(c for c in "0123456789" if pii.luhn(body + c))
+        cards.append(" ".join(body[j : j + 4] for j in range(0, 16, 4)))
+    assert pii.field_spans(" ".join(cards), pii.trained()) == [(2, 20 * i, 20 * i + 19) for i in range(100)]
+    minified = '{"a":"' + "x" * 386 + '","p":"415-555-0123"}'
+    assert [minified[a:b] for _, a, b in pii.field_spans(minified, pii.trained())] == ["415-555-0123"]
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------
 def test_token_files_round_trip(docs, empty):
     import public_tokenizers as p
