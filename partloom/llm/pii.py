@@ -1,13 +1,13 @@
 """Personal data: fixed patterns, and a semi-Markov conditional random field over what lies around digits and at-signs.
 
-The field.  A *region* is a stretch of words that hold digits or at-signs (with the word before as context).  It is cut in atoms: runs of digits, runs of letters, single
-other characters.  A segmentation covers the region with segments of one atom of type ``other`` and of up to ``MAX_ATOMS`` atoms of an entity type; its score is the
+The field.  A *region* is a stretch of words that hold digits or at-signs (with the word before as context), or an at-sign, spelled out or not, with the words before it and the domain behind it.  It is cut in atoms: runs of digits, runs of letters, at and dot
+as words of their own with what sets them off, single other characters.  A segmentation covers the region with segments of one atom of type ``other`` and of up to ``MAX_ATOMS`` atoms of an entity type; its score is the
 sum of its segments' scores, each a weighted sum of features of the *whole span* (number of digits and groups, checksum, octets, what touches its ends, ...).  The
 best segmentation is found by dynamic programming over ends, types and bounded lengths, so that boundaries and types are chosen jointly: two card numbers
 side by side, which a pattern reads as one number of 32 digits and drops, come out as two.
 
 Training.  The weights maximise the conditional likelihood (forward-backward over segments, ridge penalty) of ``TRAIN_REGIONS`` regions that a seeded generator writes:
-entities of each type between words, years, prices, versions, dates and serial numbers.  It takes a second or two, once on the driver.
+entities of each type between words, years, prices, versions, dates and serial numbers; and of ``SPELLED_REGIONS`` with spelled-out addresses between words.  It takes a second or two, once on the driver.
 
 Spans of the patterns stay; the field adds those that overlap none of them.
 """
@@ -35,10 +35,11 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 MARK = re.compile(r"[0-9@]")
 REGION = re.compile(r"[^\s]*[0-9@][^\s]*(?:\x20(?:[^\s]*[0-9@][^\s]*|(?:at|dot|AT|DOT|\(at\)|\[at\]|\(dot\)|\[dot\])(?=\x20)))*")
-ATOM = re.compile(r"[0-9]+|[^\W\d_]+|.", re.S)
+ATOM = re.compile(r"\s?[(\[](?:at|AT|dot|DOT)[)\]]\s?|\s(?:at|AT|dot|DOT)\s|[0-9]+|[^\W\d_]+|.", re.S)
 MAX_ATOMS = 14
 MAX_SPAN = 400  # characters
 TRAIN_REGIONS = 260
+SPELLED_REGIONS = 80
 RIDGE = 0.02
 
 
@@ -93,12 +94,19 @@ _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01
 # -- the field ------------------------------------------------------------------------------------------------
 FEATURES = (
     "bias", "luhn", "digits<7", "digits7-8", "digits9-11", "digits12", "digits13-19", "digits15-16", "digits>19", "groups1", "groups2-3", "groups4", "groups>4", "even_groups4", "octets", "dots3", "at1", "spelled_at", "domain",
-    "letters", "letters_no_at", "plus_first", "paren", "hyphen", "space", "other_symbol", "touch_left", "touch_right", "edge_symbol", "cue_phone", "cue_card", "cue_mail", "cue_ip", "no_digit",
+    "letters", "letters_no_at", "plus_first", "paren", "hyphen", "space", "other_symbol", "touch_left", "touch_right", "edge_symbol", "cue_phone", "cue_card", "cue_mail", "cue_ip", "no_digit", "bare_at",
 )
 _F = {f: i for i, f in enumerate(FEATURES)}
 _CUES = {"cue_phone": re.compile(r"tel|phon|call|fax|mobil|handy|cell", re.I), "cue_card": re.compile(r"card|visa|kart|carte|tarjeta|master", re.I), "cue_mail": re.compile(r"mail|contact|write", re.I), "cue_ip": re.compile(r"\bip\b|host|server|addr", re.I)}
-_DOMAIN = re.compile(r"(?:@|\s(?:at|AT)\s|\s?[(\[](?:at|AT)[)\]]\s?)[\w-]+(?:(?:\.|\s(?:dot|DOT)\s|\s?[(\[](?:dot|DOT)[)\]]\s?)[A-Za-z0-9-]{2,})+\Z")
+_AT = r"(?:\s?@\s?|\s(?:at|AT)\s|\s?[(\[](?:at|AT)[)\]]\s?)"
+_DOT = r"(?:\.|\s(?:dot|DOT)\s|\s?[(\[](?:dot|DOT)[)\]]\s?)"
+_DOMAIN = re.compile(rf"{_AT}[\w-]+(?:{_DOT}[A-Za-z0-9-]{{2,}})+\Z")
 _SPELLED = re.compile(r"\s(?:at|AT)\s|[(\[](?:at|AT)[)\]]")
+_BARE = re.compile(r"[^\W\d_]+\s(?:at|AT)\s[\w.-]+\Z")
+#: An address from its at-sign on, spelled out or set in blanks, and the words before one.
+_SPELLED_ADDRESS = re.compile(rf"{_AT}[\w-]++(?:{_DOT}[A-Za-z0-9-]{{2,}}+)+")
+_DOT_NEXT = re.compile(r"(?:\s(?:dot|DOT)\s|\s?[(\[](?:dot|DOT)[)\]]\s?)[A-Za-z0-9]")
+_LOCAL_DOT = re.compile(r"(?:\s(?:dot|DOT)\s|\s?[(\[](?:dot|DOT)[)\]]\s?)\Z")
 
 
 def span_features(region: str, start: int, end: int, cues: tuple[str, ...]) -> list[int]:
@@ -128,6 +136,8 @@ def span_features(region: str, start: int, end: int, cues: tuple[str, ...]) -> l
         on.append("at1")
     if _SPELLED.search(s):
         on.append("spelled_at")
+        if _BARE.fullmatch(s):  # as in: look at example.com
+            on.append("bare_at")
     if _DOMAIN.search(s):
         on.append("domain")
     if letters:
@@ -139,9 +149,9 @@ def span_features(region: str, start: int, end: int, cues: tuple[str, ...]) -> l
     on += [f for f, c in (("paren", "("), ("hyphen", "-"), ("space", " ")) if c in s]
     if any(not (c.isalnum() or c in " ()+-.@_%") for c in s):
         on.append("other_symbol")
-    if start and (region[start - 1].isalnum() or region[start - 1] in "+.-@_"):
+    if start and (region[start - 1].isalnum() or region[start - 1] in "+.-@_" or _LOCAL_DOT.search(region, max(0, start - 8), start)):
         on.append("touch_left")
-    if end < len(region) and (region[end].isalnum() or region[end] in "@_-" or region[end] == "." and end + 1 < len(region) and region[end + 1].isalnum()):
+    if end < len(region) and (region[end].isalnum() or region[end] in "@_-" or region[end] == "." and end + 1 < len(region) and region[end + 1].isalnum() or _DOT_NEXT.match(region, end)):
         on.append("touch_right")
     if not (s[0].isalnum() or s[0] in "+(") or not s[-1].isalnum():
         on.append("edge_symbol")
@@ -217,6 +227,18 @@ def _generate(rng: random.Random) -> tuple[str, str, list[tuple[int, int, int]]]
     return text, rng.choice((word(), "call", "card", "mail", "tel:", "ip", word(), word())) + " ", entities
 
 
+def _generate_spelled(rng: random.Random) -> tuple[str, str, list[tuple[int, int, int]]]:
+    """As ``_generate``: one spelled-out address between words, or words about a site that are none."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 8)))
+    u, d = word(), word() + rng.choice(("", str(rng.randint(0, 9))))
+    if rng.random() < 0.3:
+        return f"{u} {rng.choice(('at', 'AT'))} {d}.{rng.choice(('com', 'org', 'example.org'))}", word() + " ", []
+    named = u + rng.choice((str(rng.randint(1, 99)), "." + word(), "_" + word()))
+    s = rng.choice((f"{named} at {d}.com", f"{rng.choice((u, named))} @ {d}.com", f"{u} (at) {d}.com", f"{rng.choice((u, named))} [at] {d} [dot] com", f"{u} at {d} dot co dot uk", f"{u} dot {word()} at {d} dot com", f"{named}(at){d}(dot)org", f"{u} AT {d} DOT com"))
+    left = rng.choice(("", "", word() + " "))
+    return left + s + rng.choice(("", "", " " + word(), ".", ",")), word() + " ", [(0, len(left), len(left) + len(s))]
+
+
 def _forward(n: int, into: list[list[tuple[int, int, float]]], other: float) -> np.ndarray:
     """log sums over segmentations of the first j atoms."""
     alpha = np.zeros(n + 1)
@@ -230,8 +252,7 @@ def _forward(n: int, into: list[list[tuple[int, int, float]]], other: float) ->
 def fit(regions: int = TRAIN_REGIONS, seed: int = 11, rounds: int = 60) -> np.ndarray:
     """Weights, types x features; a segment of ``other`` scores 0 for each atom."""
     rng, data = random.Random(seed), []
-    for _ in range(regions):
-        text, before, entities = _generate(rng)
+    for text, before, entities in [*(_generate(rng) for _ in range(regions)), *(_generate_spelled(rng) for _ in range(SPELLED_REGIONS))]:
         atoms, segments = _segments(text, before)
         place = {lo: i for i, (lo, _) in enumerate(atoms)} | {len(text): len(atoms)}
         gold = {(place.get(lo), place.get(hi, -1)): k for k, lo, hi in entities}
@@ -321,21 +342,50 @@ def regions(text: str) -> Iterator[re.Match]:
         at = m.end()
 
 
-def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
-    """The field's entities in a whole text."""
-    out = []
-    if not MARK.search(text):
-        return out
+def spelled(text: str) -> Iterator[tuple[int, int]]:
+    """Places of what may be a spelled-out address: the domain behind its at-sign and the word before it, with those that dots join to it."""
+    low = 0
+    for m in _SPELLED_ADDRESS.finditer(text):
+        start = m.start()
+        while True:
+            at = start
+            while at > low and text[at - 1] in _LOCAL_CHARS:
+                at -= 1
+            if at == start:
+                break
+            start = at
+            dot = _LOCAL_DOT.search(text, max(low, at - 8), at)
+            if dot is None or dot.start() == low or text[dot.start() - 1] not in _LOCAL_CHARS:
+                break
+            start = dot.start()
+        if start < m.start():
+            yield start, m.end()
+        low = m.end()
+
+
+def field_regions(text: str) -> list[tuple[int, int]]:
+    """Places that the field decodes, in order and disjoint: regions with enough digits for any type or an at-sign, and spelled-out addresses."""
+    places = list(spelled(text))
     for m in regions(text):
         lo, end = m.start(), m.end()
         if "@" not in m[0] and sum("0" <= c <= "9" for c in m[0]) < 7:
             continue  # too few digits for any type
         # A parenthesis or a word before may belong to it.
-        lo = text.rfind(" ", max(0, lo - 40), max(0, lo - 1)) + 1 if re.match(r"[(\[]?(?:at|AT)[)\]]?\s|@", m[0]) else lo
-        out += [(k, lo + a, lo + b) for k, a, b in decode(text[lo:end], text[max(0, lo - 16) : lo], weights)]
+        places.append((text.rfind(" ", max(0, lo - 40), max(0, lo - 1)) + 1 if re.match(r"[(\[]?(?:at|AT)[)\]]?\s|@", m[0]) else lo, end))
+    out: list[tuple[int, int]] = []
+    for lo, end in sorted(places):
+        if out and lo < out[-1][1]:
+            out[-1] = (out[-1][0], max(end, out[-1][1]))
+        else:
+            out.append((lo, end))
     return out
 
 
+def field_spans(text: str, weights: np.ndarray) -> list[tuple[int, int, int]]:
+    """The field's entities in a whole text."""
+    return [(k, lo + a, lo + b) for lo, end in field_regions(text) for k, a, b in decode(text[lo:end], text[max(0, lo - 16) : lo], weights)]
+
+
 def all_spans(text: str, weights: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     base = base_spans(text)
     taken = sorted((a, b) for _, a, b in base)

@@ -214,6 +214,17 @@ def test_pii_regions_of_any_length_are_whole():
     assert [minified[a:b] for _, a, b in pii.field_spans(minified, pii.trained())] == ["415-555-0123"]
 
 
+@pytest.mark.parametrize("address", ["john42 at example dot com", "john42 (at) mail7 (dot) org", "john @ example.com", "bob (at) example (dot) com", "bob at example dot com", "bob[at]mail[dot]example[dot]org", "john dot smith at example dot co dot uk", "john.smith at example.com"])
+def test_pii_spelled_addresses_in_sentences(address):
+    for t in (f"please write to {address} today", f"{address}", f"the house of 1999, or {address}, is green"):
+        assert [(pii.KINDS[k], t[a:b]) for k, a, b in pii.all_spans(t, pii.trained())[1]] == [("email", address)]
+
+
+def test_pii_words_about_places_are_no_addresses():
+    for t in ("look at example.com for more", "we met at noon. Then he left at 7 dot", "the house at the river. It is green"):
+        assert pii.all_spans(t, pii.trained())[1] == []
+
+
 # -- 5 ------------------------------------------------------------------------------------------------------------
 def test_token_files_round_trip(docs, empty):
     import public_tokenizers as p
