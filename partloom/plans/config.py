@@ -99,12 +99,14 @@ def alpha_gamma(n: int, m: int, k: int) -> float:
     return GAMMA * m * k ** (GAMMA - 1) / n**GAMMA if n else 0.0
 
 
-def edge_alpha_gamma(n: int, m: int, k: int, cfg: PartitionConfig, split_edges: float | None = None, remaining: float | None = None) -> float:
-    """The edge objective's factor: from the batch's split graph and the remaining edges if ``batch_alpha``, else from 5m (6m dynamic) or the given number."""
+def edge_alpha_gamma(n: int, m: int, k: int, cfg: PartitionConfig, split_edges: float | None = None, remaining: float | None = None, spent: float = 0) -> float:
+    """The edge objective's factor: from the batch's split graph and the remaining edges if ``batch_alpha``, else from 5m or the given number; with ``dynamic_alpha`` from what the split graphs so far (``spent``) leave of 6m, and the remaining edges."""
     if cfg.num_split_edges > 0 and n:
         return GAMMA * cfg.num_split_edges * k ** (GAMMA - 1) / max(m, 1) ** GAMMA
     if cfg.batch_alpha and split_edges is not None and remaining:
         return GAMMA * split_edges * k ** (GAMMA - 1) / remaining**GAMMA
+    if cfg.dynamic_alpha and remaining:
+        return GAMMA * (6 * m - spent) * k ** (GAMMA - 1) / remaining**GAMMA
     return GAMMA * (6 if cfg.dynamic_alpha else 5) * m * k ** (GAMMA - 1) / m**GAMMA if m else 0.0
 
 
@@ -134,3 +136,8 @@ def dynamics_weight(kind: str, remaining: float, total: float) -> float:
     r = remaining / total if total else 0.0
     t = 2 * r
     return {"original": 1.0, "double": 2.0, "linear": t, "quadratic": 2 * r * r, "midlinear": 2 * t if t <= 1 else 2.0, "midquadratic": 2 * t * t if t <= 1 else 2.0, "midconstant": 0.5 if r <= 1.5 else 2.0, "edgecut": 0.0}[kind]
+
+
+def refinement_weight(cfg: PartitionConfig, remaining: float, m: int) -> float:
+    """Weight of the penalty in a batch's refinement, from the vertices not placed before it and the stream's edges; the initial partition and single vertices always weigh it once."""
+    return 0.0 if remaining <= 0 and cfg.dynamics != "original" else dynamics_weight(cfg.dynamics, remaining, m)

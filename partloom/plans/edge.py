@@ -9,14 +9,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ..kernel import edges as kernel
-from .config import PartitionConfig, batch_slack, edge_alpha_gamma, model_bound
+from .config import PartitionConfig, batch_slack, edge_alpha_gamma, model_bound, refinement_weight
 from .node import as_rows, whole_graph
 
 
 def run_kernel(g, cfg: PartitionConfig) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     m = len(g.dst) // 2
     bound = lambda weight, assigned, in_batch, p: model_bound(weight, cfg.k, batch_slack(cfg, m, assigned, in_batch, p))
-    return kernel.partition(g, cfg, bound, lambda split, left: edge_alpha_gamma(g.n, m, cfg.k, cfg, split, left), cfg.batch_length(g.n))
+    return kernel.partition(g, cfg, bound, lambda split, left, spent: edge_alpha_gamma(g.n, m, cfg.k, cfg, split, left, spent), cfg.batch_length(g.n), lambda left: refinement_weight(cfg, left, m))
 
 
 def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:

@@ -23,7 +23,7 @@ from ..kernel.buffer import Stream
 from ..kernel.csr import Csr, from_arcs
 from ..kernel.multilevel import recursive_bisection
 from ..operators import graph, scoring
-from .config import PartitionConfig, alpha_gamma, batch_slack, capacity, model_bound
+from .config import PartitionConfig, alpha_gamma, batch_slack, capacity, model_bound, refinement_weight
 
 
 def caps_of(total: float, cfg: PartitionConfig) -> list[int]:
@@ -44,11 +44,12 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
     total = n + 2 * m if cfg.balance_edges else int(g.node_w.sum())
     if cfg.balance_edges:
         g = Csr(g.indptr, g.dst, g.w, g.node_w + np.diff(g.indptr))
+    weight_of = lambda remaining: refinement_weight(cfg, remaining, m)
     mode = cfg.mode()
     if mode == "buffered":
         if weighted:
             raise ValueError("the priority buffer takes graphs without weights")
-        stream = Stream(g.rows()[0], cfg, ag, caps_of(total, cfg), bounds_of(n, cfg))
+        stream = Stream(g.rows()[0], cfg, ag, caps_of(total, cfg), bounds_of(n, cfg), weight_of)
         size = cfg.batch_length(n)
         stream.first_pass(size)
         for p in range(1, cfg.passes):
@@ -56,7 +57,7 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
         return np.array(stream.block, np.int32)
     if mode == "direct":
         return fennel.direct(g.rows()[0], g.node_w.tolist(), n, cfg.k, ag, caps_of(total, cfg), cfg.sqrt_mode, cfg.use_queue, cfg.ghost_weight, cfg.restream_all)[0]
-    return batches.partition(g, cfg, ag, bounds_of(n, cfg), cfg.batch_length(n))
+    return batches.partition(g, cfg, ag, bounds_of(n, cfg), cfg.batch_length(n), weight_of)
 
 
 def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
@@ -141,6 +142,7 @@ def partition_batched(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig)
         raise ValueError("partition_batched takes plain batches without ghosts or edge balance")
     ag, bounds, size = alpha_gamma(n, m, k), bounds_of(n, cfg), cfg.batch_length(n)
     edges, nodes = settle(edges.repartition("src")), settle(nodes)
+    total = int(nodes.agg(F.sum("weight")).first()[0] or 0)
     parts: dict[int, DataFrame] = {}
     loads: dict[int, np.ndarray] = {}
     for p in range(cfg.passes):
@@ -170,7 +172,7 @@ def partition_batched(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig)
                     begin = begin.tolist()
                 weights = np.concatenate([node_w, load])
                 model = from_arcs(size + k, src[~is_node], d[~is_node], w[~is_node], weights)
-                out = batches.solve(model, k, bounds(float(weights.sum()), int(load.sum()), size, p), ag, cfg, lo, begin)[:size]
+                out = batches.solve(model, k, bounds(float(weights.sum()), int(load.sum()), size, p), ag, cfg, lo, begin, refinement_weight(cfg, total - int(load.sum()), m))[:size]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + size)), pa.array(out, pa.int32()), pa.array(node_w)], ["id", "block", "weight"])
 
             solved = settle(arcs.unionByName(own).repartition(1).mapInArrow(solve, "id long, block int, weight long"))

@@ -23,7 +23,7 @@ from pyspark.sql.types import StructType
 
 from ..kernel import batches
 from ..kernel.csr import from_arcs
-from ..plans.config import PartitionConfig, alpha_gamma, capacity
+from ..plans.config import PartitionConfig, alpha_gamma, capacity, refinement_weight
 from ..plans.node import bounds_of
 
 
@@ -99,7 +99,7 @@ def solve_epoch(adj: DataFrame, epoch: int, cfg: PartitionConfig, n: int, m: int
         found = [x for x in rows if x.num_rows]
         a, b, w = (np.concatenate([x.column(i).to_numpy() for x in found]) if found else np.empty(0, np.int64) for i in range(3))
         weights = np.concatenate([np.ones(size, np.int64), load])
-        out = batches.solve(from_arcs(size + k, a, b, w, weights), k, bounds(float(weights.sum()), int(load.sum()), size, 0), ag, cfg, lo)[:size]
+        out = batches.solve(from_arcs(size + k, a, b, w, weights), k, bounds(float(weights.sum()), int(load.sum()), size, 0), ag, cfg, lo, None, refinement_weight(cfg, n - int(load.sum()), m))[:size]
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, hi)), pa.array(out, pa.int32())], ["id", "block"])
 
     local.repartition(1).mapInArrow(run, "id long, block int").write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")

@@ -16,7 +16,7 @@ from partloom.kernel.csr import from_arcs
 from partloom.kernel.multilevel import Solver, contract, objective, recursive_bisection
 from partloom.operators import connectivity, graph, metrics, ratings, scoring
 from partloom.plans import catalog, edge, node, registry, run
-from partloom.plans.config import PartitionConfig, alpha_gamma, capacity, dynamics_weight
+from partloom.plans.config import PartitionConfig, alpha_gamma, capacity, dynamics_weight, edge_alpha_gamma
 from partloom.sources import binary_graph, metis, sinks
 from partloom.streaming import stream
 
@@ -397,3 +397,27 @@ def test_entry_module(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() == 1 and set(catalog.QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_options_change_what_they_name():
+    g = from_arcs(400, *zip(*random_graph(400, 1200, 1), strict=True))
+    for options, schedules in ((dict(batch_size=40), ("double", "linear", "edgecut")), (dict(batch_size=20, buffer_size=50), ("double", "edgecut"))):
+        usual = node.run_kernel(g, PartitionConfig(k=4, **options)).tolist()
+        assert all(node.run_kernel(g, PartitionConfig(k=4, dynamics=d, **options)).tolist() != usual for d in schedules)
+    cfg = PartitionConfig(k=3, batch_alpha=False, dynamic_alpha=True)
+    assert edge_alpha_gamma(60, 200, 3, cfg, 50, 120, 300) == 1.5 * (6 * 200 - 300) * 3**0.5 / 120**1.5
+
+
+def test_cycles_keep_the_least_objective():
+    for seed in range(12):
+        pairs = random_graph(80, 240, seed)
+        g = from_arcs(80, *zip(*pairs, strict=True))
+        values = [objective(g, Solver(3, 30, 0.3, anchors=False, ties="coin", order="random", seed=seed).run(g, None, cycles), 3, 0.3) for cycles in (2, 3, 4, 5, 6)]
+        assert values == sorted(values, reverse=True)
+
+
+def test_isolated_vertices_wait_for_any_partner():
+    g = from_arcs(102, [], [], None, np.array([9] * 100 + [1, 1], np.int64))
+    s = Solver(2, 90, 0.3, anchors=False, cluster_factor=9)
+    label = s.cluster(g, None)
+    assert label[100] == label[0] and label[101] == label[1]
