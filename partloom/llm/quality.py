@@ -24,7 +24,6 @@ STOP_WORDS = (
 #: (measure, side on which it fails, bound): fixed here, replaceable by the caller. Ratios are per word or per line.
 RULES: tuple[tuple[str, str, float], ...] = (
     ("n_words", "<", 50),
-    ("n_words", ">", 1_000_000),
     ("mean_word_chars", "<", 2.0),
     ("mean_word_chars", ">", 15.0),
     ("symbol_ratio", ">", 0.05),

@@ -417,6 +417,11 @@ def test_quality(docs, empty):
     assert good.columns == docs.columns and good.count() == sum(r["kept"] for r in got) and quality.quality_report(empty).count() == 0
 
 
+def test_quality_has_no_greatest_length(spark):
+    rows = spark.range(1).select(F.col("id").alias("doc_id"), F.expr("array_join(transform(sequence(1, 1000100), x -> concat('w', x)), ' ')").alias("text"))
+    assert quality.quality_report(rows, rules=[r for r in quality.RULES if r[0] == "n_words"]).first()["kept"]
+
+
 # -- 9 ------------------------------------------------------------------------------------------------------------
 def test_langid_held_out(spark, docs, empty):
     rng = random.Random(6)
