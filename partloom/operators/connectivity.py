@@ -86,7 +86,8 @@ def topological_layers(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 class FlowNetwork:
-    """Maximum flow on a bounded network by layered blocking flows."""
+    """Maximum flow on a bounded network by push and relabel: active vertices in first-in-first-out order, heights set anew by a search from the sink after every n relabels,
+    vertices above a gap in the heights lifted past the source at once."""
 
     def __init__(self, n: int):
         self.n, self.to, self.cap, self.at = n, [], [], [[] for _ in range(n)]
@@ -97,43 +98,83 @@ class FlowNetwork:
             self.to.append(y)
             self.cap.append(c)
 
-    def _layers(self, s: int) -> list[int]:
-        level = [-1] * self.n
-        level[s], queue = 0, deque([s])
-        while queue:
-            x = queue.popleft()
-            for e in self.at[x]:
-                if self.cap[e] > 0 and level[self.to[e]] < 0:
-                    level[self.to[e]] = level[x] + 1
-                    queue.append(self.to[e])
-        return level
+    def _distances(self, t: int, s: int) -> list[int]:
+        """Arcs with room from each vertex to t; where there is no way n and those to the source, to which its excess goes back."""
+        far = [2 * self.n] * self.n
+        far[s] = self.n
+        for end, base in ((t, 0), (s, self.n)):
+            far[end], queue = base, deque([end])
+            while queue:
+                x = queue.popleft()
+                for e in self.at[x]:
+                    y = self.to[e]
+                    if self.cap[e ^ 1] > 0 and far[y] == 2 * self.n:
+                        far[y] = far[x] + 1
+                        queue.append(y)
+        return far
+
+    def _lift(self, x: int, height: list[int], level: list[int]) -> None:
+        """Relabel x; if its level empties, all below n and above it can't reach the sink any more."""
+        old = height[x]
+        new = min((height[self.to[e]] + 1 for e in self.at[x] if self.cap[e] > 0), default=2 * self.n)
+        height[x] = min(new, 2 * self.n)
+        level[old] -= 1
+        level[height[x]] += 1
+        if level[old] == 0 and old < self.n:
+            for v in range(self.n):
+                if old < height[v] < self.n:
+                    level[height[v]] -= 1
+                    height[v] = self.n + 1
+                    level[self.n + 1] += 1
 
     def solve(self, s: int, t: int) -> tuple[int, list[int]]:
         """(value, source side of a least cut)."""
-        total = 0
-        while (level := self._layers(s))[t] >= 0:
-            turn = [0] * self.n
-            while True:
-                path, x = [], s  # walk down the layers, stepping back from dead ends
-                while x != t:
-                    while turn[x] < len(self.at[x]):
-                        e = self.at[x][turn[x]]
-                        if self.cap[e] > 0 and level[self.to[e]] == level[x] + 1:
-                            break
-                        turn[x] += 1
-                    if turn[x] < len(self.at[x]):
-                        path.append(self.at[x][turn[x]])
-                        x = self.to[path[-1]]
-                    elif path:
-                        x = self.to[path.pop() ^ 1]
-                        turn[x] += 1
-                    else:
-                        break
-                if x != t:
-                    break
-                push = min(self.cap[e] for e in path)
-                for e in path:
-                    self.cap[e] -= push
-                    self.cap[e ^ 1] += push
-                total += push
-        return total, [v for v, x in enumerate(self._layers(s)) if x >= 0]
+        n = self.n
+        excess, turn = [0] * n, [0] * n
+        height = self._distances(t, s)
+
+        def levels() -> list[int]:
+            out = [0] * (2 * n + 2)
+            for h in height:
+                out[h] += 1
+            return out
+
+        level, active, waits = levels(), deque(), [False] * n
+
+        def push(e: int, x: int, amount: int) -> None:
+            y = self.to[e]
+            self.cap[e] -= amount
+            self.cap[e ^ 1] += amount
+            excess[x] -= amount
+            excess[y] += amount
+            if y not in (s, t) and not waits[y]:
+                waits[y] = True
+                active.append(y)
+
+        for e in self.at[s]:
+            if self.cap[e] > 0:
+                push(e, s, self.cap[e])
+        lifted = 0
+        while active:
+            x = active.popleft()
+            waits[x] = False
+            while excess[x] > 0 and height[x] < 2 * n:
+                if turn[x] == len(self.at[x]):
+                    self._lift(x, height, level)
+                    turn[x], lifted = 0, lifted + 1
+                    continue
+                e = self.at[x][turn[x]]
+                if self.cap[e] > 0 and height[x] == height[self.to[e]] + 1:
+                    push(e, x, min(excess[x], self.cap[e]))
+                else:
+                    turn[x] += 1
+            if lifted >= n:  # never lower than before
+                height = [max(a, b) if b < 2 * n else a for a, b in zip(height, self._distances(t, s), strict=True)]
+                level, turn, lifted = levels(), [0] * n, 0
+        side, queue = {s}, deque([s])
+        while queue:
+            for e in self.at[queue.popleft()]:
+                if self.cap[e] > 0 and self.to[e] not in side:
+                    side.add(self.to[e])
+                    queue.append(self.to[e])
+        return excess[t], sorted(side)

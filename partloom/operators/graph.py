@@ -40,12 +40,18 @@ def adjacency(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return nodes.select("node_id", "weight").join(nbrs, "node_id", "left").withColumn("nbrs", F.coalesce("nbrs", empty))
 
 
-def from_adjacency(adj: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, nodes) of adjacency rows."""
-    e = adj.select(F.col("node_id").alias("src"), F.explode("nbrs").alias("x")).select("src", F.col("x.dst").alias("dst"), F.col("x.w").alias("weight"))
+def from_adjacency(adj: DataFrame, places: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(edges, nodes) of adjacency rows; with ``places`` each arc has its place in its source's list."""
+    e = adj.select(F.col("node_id").alias("src"), F.posexplode("nbrs").alias("place", "x")).select("src", F.col("x.dst").alias("dst"), F.col("x.w").alias("weight"), *(["place"] if places else []))
     return e, adj.select("node_id", "weight")
 
 
+def placed_pairs(edges: DataFrame) -> DataFrame:
+    """Each undirected pair once, u < v, with pu, the place of v in u's list, and pv, that of u in v's."""
+    u, v = F.least("src", "dst"), F.greatest("src", "dst")
+    return edges.groupBy(u.alias("u"), v.alias("v")).agg(F.max(F.when(F.col("src") < F.col("dst"), F.col("weight"))).alias("weight"), F.max(F.when(F.col("src") < F.col("dst"), F.col("place"))).alias("pu"), F.max(F.when(F.col("src") > F.col("dst"), F.col("place"))).alias("pv"))
+
+
 def batch_of(node: Column, batch_size: int) -> Column:
     return F.floor(node / batch_size).cast("int")
 
@@ -118,11 +124,22 @@ def contract(edges: DataFrame, nodes: DataFrame, mapping: DataFrame) -> tuple[Da
     return e, nodes.join(mapping, "node_id").groupBy(F.col("cluster").alias("node_id")).agg(F.sum("weight").alias("weight"))
 
 
+RANGE = 65536
+
+
+def numbered(rows: DataFrame, key: str, name: str) -> DataFrame:
+    """Rows with ``name``, their dense rank by a distinct whole-number key, without one window over all of them: ranks within ranges of the key, then the ranges' counts before."""
+    ranged = rows.withColumn("__range", F.floor(F.col(key) / RANGE))
+    counts = ranged.groupBy("__range").count()
+    before = counts.select("__range", F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__before"))  # one row per range
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(key)) - 1
+    return ranged.withColumn("__own", own).join(before, "__range").withColumn(name, F.col("__own") + F.col("__before")).drop("__range", "__own", "__before")
+
+
 def compact(mapping: DataFrame) -> DataFrame:
-    """mapping with clusters renumbered densely by their least member. One row per cluster is ranked."""
+    """mapping with clusters renumbered densely by their least member."""
     first = mapping.groupBy("cluster").agg(F.min("node_id").alias("first"))
-    ids = first.select("cluster", (F.row_number().over(Window.orderBy("first")) - 1).alias("new_cluster"))
-    return mapping.join(ids, "cluster").select("node_id", F.col("new_cluster").alias("cluster"))
+    return mapping.join(numbered(first, "first", "new_cluster").select("cluster", "new_cluster"), "cluster").select("node_id", F.col("new_cluster").cast("int").alias("cluster"))
 
 
 def ensemble(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -146,11 +163,7 @@ def project_separator(assign: DataFrame, mapping: DataFrame, separator: int = 2)
 def extract_blocks(edges: DataFrame, assign: DataFrame, blocks: list[int]) -> tuple[DataFrame, DataFrame]:
     """(edges, mapping): the subgraph of the given blocks, renumbered densely in id order; mapping has node_id, new_id, block."""
     inside = assign.where(F.col("block").isin(*blocks)).select(F.col("id").alias("node_id"), "block")
-    # Dense ranks without one window over all vertices: ranks within ranges, then the ranges' counts before.
-    ranged = inside.withColumn("bucket", F.floor(F.col("node_id") / 65536))
-    counts = ranged.groupBy("bucket").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    own = F.row_number().over(Window.partitionBy("bucket").orderBy("node_id")) - 1
-    mapping = ranged.withColumn("own", own).join(counts.select("bucket", "before"), "bucket").select("node_id", (F.col("own") + F.col("before")).alias("new_id"), "block")
+    mapping = numbered(inside, "node_id", "new_id").select("node_id", "new_id", "block")
     a = mapping.select(F.col("node_id").alias("src"), F.col("new_id").alias("a"))
     b = mapping.select(F.col("node_id").alias("dst"), F.col("new_id").alias("b"))
     return edges.join(a, "src").join(b, "dst").select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight"), mapping
@@ -165,17 +178,18 @@ def replicas(edge_blocks: DataFrame, minimal: bool = False) -> DataFrame:
 
 
 def edge_ids(uedges: DataFrame, batch_size: int) -> DataFrame:
-    """edge_id, u, v, batch, owner: ids in stream order, 0-based.
+    """edge_id, u, v, batch, owner: ids in stream order, 0-based; pu and pv too if ``uedges`` has them (see ``placed_pairs``).
 
-    An edge belongs to the later batch of its ends; its owner there is the end that lies in that batch, the smaller if both do.  Order is (batch, owner, other end).  The ranking
-    is by batch (bounded by the batch's edges), then shifted by the edges of earlier batches, one row per batch.
+    An edge belongs to the later batch of its ends; its owner there is the end that lies in that batch, the smaller if both do.  Order is (batch, owner, place of the other
+    end in the owner's list, by default ascending).  The ranking is by batch (bounded by the batch's edges), then shifted by the edges of earlier batches, one row per batch.
     """
     bu, bv = batch_of(F.col("u"), batch_size), batch_of(F.col("v"), batch_size)
-    owner = F.when(bu == bv, F.col("u")).otherwise(F.col("v"))
-    e = uedges.select("u", "v", bv.alias("batch"), owner.alias("owner"), F.when(bu == bv, F.col("v")).otherwise(F.col("u")).alias("other"))
+    owner, places = F.when(bu == bv, F.col("u")).otherwise(F.col("v")), ["pu", "pv"] if "pu" in uedges.columns else []
+    at, to = ("pu", "pv") if places else ("v", "u")
+    e = uedges.select("u", "v", *places, bv.alias("batch"), owner.alias("owner"), F.when(bu == bv, F.col(at)).otherwise(F.col(to)).alias("at"))
     before = e.groupBy("batch").count().select("batch", F.coalesce(F.sum("count").over(Window.orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    local = F.row_number().over(Window.partitionBy("batch").orderBy("owner", "other")) - 1
-    return e.withColumn("local", local).join(before, "batch").select((F.col("before") + F.col("local")).alias("edge_id"), "u", "v", "batch", "owner")
+    local = F.row_number().over(Window.partitionBy("batch").orderBy("owner", "at")) - 1
+    return e.withColumn("local", local).join(before, "batch").select((F.col("before") + F.col("local")).alias("edge_id"), "u", "v", "batch", "owner", *places)
 
 
 def split_links(ids: DataFrame) -> DataFrame:
@@ -183,8 +197,11 @@ def split_links(ids: DataFrame) -> DataFrame:
 
     lo < hi are edge ids; a vertex of degree 2 gives one link of weight 1.
     """
-    ends = ids.select("batch", "edge_id", "u", "v", F.explode(F.array("u", "v")).alias("x")).withColumn("other", F.when(F.col("x") == F.col("u"), F.col("v")).otherwise(F.col("u")))
-    w = Window.partitionBy("batch", "x").orderBy("other")
+    # Around an end in the batch the order is its own list's, around an earlier one that of the stream.
+    at_u, at_v = (F.when(F.col("owner") == F.col("u"), F.col("pu")).otherwise(F.col("v")), F.col("pv")) if "pu" in ids.columns else (F.col("v"), F.col("u"))
+    both = F.explode(F.array(F.struct(F.col("u").alias("x"), at_u.cast("long").alias("at")), F.struct(F.col("v").alias("x"), at_v.cast("long").alias("at")))).alias("end")
+    ends = ids.select("batch", "edge_id", both).select("batch", "edge_id", "end.x", "end.at")
+    w = Window.partitionBy("batch", "x").orderBy("at")
     whole = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     ring = ends.select("batch", "edge_id", F.lead("edge_id").over(w).alias("next"), F.first("edge_id").over(whole).alias("first"), F.count(F.lit(1)).over(whole).alias("d"), F.row_number().over(w).alias("i"))
     links = ring.where((F.col("d") > 2) | ((F.col("d") == 2) & (F.col("i") == 1))).select("batch", "edge_id", F.coalesce("next", "first").alias("next"))
@@ -197,11 +214,16 @@ def split_sizes(edges: DataFrame) -> DataFrame:
     return d.agg(F.sum("count").alias("split_nodes"), (3 * F.sum("count") - 2 * F.sum(F.when(F.col("count") <= 2, 1).otherwise(0))).alias("split_edges"))
 
 
+def sample_order(node: Column, block: Column, seed: int) -> Column:
+    """The seeded hash by which a vertex's blocks are drawn."""
+    return fnv32(seed * (1 << 40) + node * 4096 + block)
+
+
 def past_blocks(ids: DataFrame, replica_sets: DataFrame, sample: int | None = None, seed: int = 0) -> DataFrame:
     """edge_id, block: blocks seen before at the edge's smaller end; at most ``sample`` of them, by seeded hash order, if given (a sampling operator)."""
     e = ids.select("edge_id", F.least("u", "v").alias("node_id")).join(replica_sets.select("node_id", F.explode("blocks").alias("block")), "node_id")
     if sample is not None:
-        w = Window.partitionBy("edge_id").orderBy(F.xxhash64(F.lit(seed), "node_id", "block"))
+        w = Window.partitionBy("edge_id").orderBy(sample_order(F.col("node_id"), F.col("block"), seed), "block")
         e = e.withColumn("r", F.row_number().over(w)).where(F.col("r") <= sample)
     return e.select("edge_id", "block")
 
@@ -212,7 +234,10 @@ def matrix_graph(entries: DataFrame, rows: int, cols: int) -> tuple[DataFrame, D
     Ids: columns from 0, rows after them, entries after those in (i, j) order.
     """
     w = Window.partitionBy("i").orderBy("j")
-    before = entries.groupBy("i").count().select("i", F.coalesce(F.sum("count").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    per_row = entries.groupBy("i").count().withColumn("range", F.floor(F.col("i") / RANGE))
+    ranges = per_row.groupBy("range").agg(F.sum("count").alias("n")).select("range", F.coalesce(F.sum("n").over(Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # one row per range of rows
+    own = F.coalesce(F.sum("count").over(Window.partitionBy("range").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    before = per_row.withColumn("own", own).join(ranges, "range").select("i", (F.col("base") + F.col("own")).alias("before"))
     e = entries.withColumn("own", F.row_number().over(w) - 1).join(before, "i").select((F.lit(rows + cols) + F.col("before") + F.col("own")).alias("x"), (F.col("j") - 1).alias("c"), (F.lit(cols) + F.col("i") - 1).alias("r"))
     links = e.select(F.explode(F.array(F.struct(F.col("c").alias("u"), F.col("x").alias("v")), F.struct(F.col("r").alias("u"), F.col("x").alias("v")))).alias("l")).select(F.col("l.u").cast("long").alias("u"), F.col("l.v").cast("long").alias("v"), F.lit(1).cast("long").alias("weight"))
     nodes = entries.sparkSession.range(rows + cols).select(F.col("id").alias("node_id")).unionAll(e.select(F.col("x").cast("long").alias("node_id")))

@@ -20,7 +20,7 @@ def _table() -> dict[str, Column]:
         "expansion_star": w / (cu * cv),
         "expansion_star_2": w * w / (cu * cv),
         "inner_outer": w / (su + sv - w),
-        "pseudogeom": w * (1 / F.sqrt(cu) + 1 / F.sqrt(cv)) * (F.lit(0.6) + 0.4 * F.pmod(F.xxhash64(F.least("src", "dst"), F.greatest("src", "dst")), F.lit(1 << 30)) / float(1 << 30)),
+        "pseudogeom": w * (1 / F.sqrt(cu) + 1 / F.sqrt(cv)) * (F.lit(0.6) + 0.4 * graph.fnv32(F.least("src", "dst") * (1 << 32) + F.greatest("src", "dst")) / float(1 << 32)),
         "addx": 1 / (du + dv),
         "multx": 1 / F.sqrt(du * dv),
         "max": 1 / F.greatest(du, dv),
@@ -64,7 +64,7 @@ def algebraic_distance(edges: DataFrame, nodes: DataFrame, starts: int = 3, swee
 
     Starts are hashes of (seed, start, vertex) in [-0.5, 0.5), so that reruns agree.
     """
-    start = F.array(*[F.pmod(F.xxhash64(F.lit(seed), F.lit(s), "node_id"), F.lit(1 << 30)) / float(1 << 30) - 0.5 for s in range(starts)])
+    start = F.array(*[graph.fnv32((seed * starts + s) * (1 << 40) + c("node_id")) / float(1 << 32) - 0.5 for s in range(starts)])
     x = nodes.select("node_id", start.alias("x"))
     for _ in range(sweeps):
         near = edges.join(x.select(c("node_id").alias("dst"), "x"), "dst").groupBy(c("src").alias("node_id")).agg(*[(F.sum(c("x")[s] * c("weight")) / F.sum("weight")).alias(f"m{s}") for s in range(starts)])

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph
 from ..plans.config import PartitionConfig
 
 
@@ -74,6 +75,9 @@ def top_batch(scores: DataFrame, batch_size: int) -> DataFrame:
 
 
 def running_load(assign: DataFrame, nodes: DataFrame) -> DataFrame:
-    """id, block, load of the block after the vertex was placed, in order of ids; one window per block."""
-    w = Window.partitionBy("block").orderBy("id").rowsBetween(Window.unboundedPreceding, 0)
-    return assign.join(nodes.select(F.col("node_id").alias("id"), "weight"), "id").select("id", "block", F.sum("weight").over(w).alias("load"))
+    """id, block, load of the block after the vertex was placed, in order of ids: sums within ranges of ids, and those of the ranges before, a row per block and range."""
+    rows = assign.join(nodes.select(F.col("node_id").alias("id"), "weight"), "id").withColumn("range", F.floor(F.col("id") / graph.RANGE))
+    own = F.sum("weight").over(Window.partitionBy("block", "range").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    before = F.coalesce(F.sum("w").over(Window.partitionBy("block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = rows.groupBy("block", "range").agg(F.sum("weight").alias("w")).select("block", "range", before.alias("before"))
+    return rows.withColumn("own", own).join(ranges, ["block", "range"]).select("id", "block", (F.col("own") + F.col("before")).alias("load"))

@@ -1,6 +1,6 @@
 """Registered queries of the graph engine, and their SQL on the same tables.
 
-Graphs: PS parts and suppliers, CP customers and parts, SS suppliers that share parts. Partitions: id mod 4 unless said otherwise.
+Graphs: PS parts and suppliers, weighted by size and by nation, CP customers and parts, SS suppliers that share more parts than an average pair does. Partitions: id mod 4 unless said otherwise.
 """
 
 from __future__ import annotations
@@ -10,17 +10,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import settle
 from ..operators import connectivity, graph, metrics, ratings, scoring
 from ..sources import tables
 from . import edge, node
-from .config import PartitionConfig, alpha_gamma
+from .config import PartitionConfig, capacity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 K = 4
 
 PS = """uedges AS (SELECT l_partkey AS u, (SELECT count(*) FROM part) + l_suppkey AS v, count(*) AS w FROM lineitem GROUP BY 1, 2),
-nodes AS (SELECT p_partkey AS node_id FROM part UNION ALL SELECT (SELECT count(*) FROM part) + s_suppkey FROM supplier),
+nodes AS (SELECT p_partkey AS node_id, p_size::BIGINT AS c FROM part UNION ALL SELECT (SELECT count(*) FROM part) + s_suppkey, s_nationkey + 1 FROM supplier),
 edges AS (SELECT u AS src, v AS dst, w FROM uedges UNION ALL SELECT v, u, w FROM uedges),
 ab AS (SELECT src, dst, w, src % 4 AS own, dst % 4 AS other FROM edges),
 deg AS (SELECT n.node_id, count(e.src) AS d, coalesce(sum(e.w), 0) AS wd FROM nodes n LEFT JOIN edges e ON e.src = n.node_id GROUP BY 1),
@@ -28,6 +29,13 @@ eid AS (SELECT u, v, floor(v / 512.0)::INT AS batch, row_number() OVER (ORDER BY
 ep AS (SELECT u, v, edge_id, floor(edge_id * 4.0 / (SELECT count(*) FROM uedges))::INT AS block FROM eid)"""
 
 
+def _fnv_sql(x: str) -> str:
+    h = "2166136261::BIGINT"
+    for i in range(8):
+        h = f"((xor({h}, (({x})::BIGINT >> {8 * i}) & 255) * 16777619) & 4294967295)"
+    return h
+
+
 def query(sql: str | None = None, prelude: str = PS):
     def keep(f):
         QUERIES[f.__name__] = f
@@ -81,7 +89,7 @@ def block_cut(spark, sf):
     return metrics.block_cut(g.edges, g.assign)
 
 
-@query("SELECT max(c) / ceil(sum(c) / 4.0) AS balance FROM (SELECT count(*) AS c FROM nodes GROUP BY node_id % 4)")
+@query("SELECT max(c) / ceil(sum(c) / 4.0) AS balance FROM (SELECT sum(c) AS c FROM nodes GROUP BY node_id % 4)")
 def balance(spark, sf):
     g = _Graph(spark, sf)
     return metrics.balance(g.assign, g.nodes, K)
@@ -132,25 +140,25 @@ def quotient_neighbours(spark, sf):
     return graph.quotient_neighbours(g.edges, g.assign)
 
 
-@query("SELECT (node_id % 4)::INT AS block, count(*) AS load, count(*) AS n_nodes FROM nodes GROUP BY 1")
+@query("SELECT (node_id % 4)::INT AS block, sum(c)::BIGINT AS load, count(*) AS n_nodes FROM nodes GROUP BY 1")
 def block_loads(spark, sf):
     g = _Graph(spark, sf)
     return graph.block_table(g.assign, g.nodes, K)
 
 
-@query("SELECT count(*) AS separator_weight FROM nodes WHERE node_id % 4 = 3")
+@query("SELECT sum(c)::BIGINT AS separator_weight FROM nodes WHERE node_id % 4 = 3")
 def separator_weight(spark, sf):
     g = _Graph(spark, sf)
     return metrics.separator_weight(g.assign, g.nodes, 3)
 
 
-@query("SELECT max(CASE WHEN b <> 3 THEN c END) / ceil(sum(c) / 3.0) AS balance FROM (SELECT node_id % 4 AS b, count(*) AS c FROM nodes GROUP BY 1)")
+@query("SELECT max(CASE WHEN b <> 3 THEN c END) / ceil(sum(c) / 3.0) AS balance FROM (SELECT node_id % 4 AS b, sum(c) AS c FROM nodes GROUP BY 1)")
 def separator_balance(spark, sf):
     g = _Graph(spark, sf)
     return metrics.separator_balance(g.assign, g.nodes, K, 3)
 
 
-@query("SELECT trunc(((SELECT sum(0.01 * c * sqrt(c)) FROM (SELECT count(*) AS c FROM nodes GROUP BY node_id % 4)) - (SELECT sum(w) FROM ab WHERE own = other)) / 2)::BIGINT AS objective")
+@query("SELECT trunc(((SELECT sum(0.01 * c * sqrt(c)) FROM (SELECT sum(c) AS c FROM nodes GROUP BY node_id % 4)) - (SELECT sum(w) FROM ab WHERE own = other)) / 2)::BIGINT AS objective")
 def fennel_objective(spark, sf):
     g = _Graph(spark, sf)
     return metrics.fennel_objective(g.edges, g.nodes, g.assign, K, 0.01)
@@ -194,11 +202,13 @@ def edge_classes(spark, sf):
     return graph.classify(g.edges, 512).groupBy("batch", "kind").agg(F.count(F.lit(1)).alias("arcs"))
 
 
-@query("""SELECT (src - 1024)::BIGINT AS src, (dst - 1024)::BIGINT AS dst, w::BIGINT AS weight FROM edges WHERE src >= 1024 AND src < 1536 AND dst >= 1024 AND dst < src
- UNION ALL SELECT src - 1024, (-1 - dst % 4)::BIGINT, sum(w)::BIGINT FROM edges WHERE src >= 1024 AND src < 1536 AND dst < 1024 GROUP BY 1, 2""")
+@query("""SELECT (src - lo)::BIGINT AS src, (dst - lo)::BIGINT AS dst, w::BIGINT AS weight FROM edges, win WHERE src >= lo AND dst >= lo AND dst < src
+ UNION ALL SELECT src - lo, (-1 - dst % 4)::BIGINT, sum(w)::BIGINT FROM edges, win WHERE src >= lo AND dst < lo GROUP BY 1, 2""", PS + ", win AS (SELECT greatest(0, count(*) - 512) AS lo FROM nodes)")
 def batch_model(spark, sf):
+    """The last 512 vertices, which hold parts and suppliers."""
     g = _Graph(spark, sf)
-    return node.batch_models(g.edges, g.assign, 1024, 1536, False)
+    n = g.nodes.count()
+    return node.batch_models(g.edges, g.assign, max(0, n - 512), n, False)
 
 
 @query("SELECT edge_id, u, v, batch FROM eid")
@@ -234,7 +244,8 @@ def past_blocks(spark, sf):
     return graph.past_blocks(e, graph.replicas(e))
 
 
-@query()
+@query(f"""SELECT edge_id, block FROM (SELECT e.edge_id, r.block, row_number() OVER (PARTITION BY e.edge_id ORDER BY {_fnv_sql("3 * 1099511627776 + r.n * 4096 + r.block")}, r.block) AS i
+ FROM eid e JOIN (SELECT u AS n, block FROM ep UNION SELECT v, block FROM ep) r ON r.n = least(e.u, e.v)) WHERE i <= 2""")
 def past_blocks_sampled(spark, sf):
     e = _chunked(_Graph(spark, sf))
     return graph.past_blocks(e, graph.replicas(e), sample=2, seed=3)
@@ -246,7 +257,7 @@ def contraction(spark, sf):
     return graph.contract(g.edges, g.nodes, g.nodes.select("node_id", F.floor(F.col("node_id") / 7).alias("cluster")))[0]
 
 
-@query("SELECT (node_id // 7)::BIGINT AS node_id, count(*) AS weight FROM nodes GROUP BY 1")
+@query("SELECT (node_id // 7)::BIGINT AS node_id, sum(c)::BIGINT AS weight FROM nodes GROUP BY 1")
 def contraction_nodes(spark, sf):
     g = _Graph(spark, sf)
     return graph.contract(g.edges, g.nodes, g.nodes.select("node_id", F.floor(F.col("node_id") / 7).alias("cluster")))[1]
@@ -272,13 +283,6 @@ def block_pair_subgraph(spark, sf):
     return graph.extract_blocks(g.edges, g.assign, [0, 1])[0]
 
 
-def _fnv_sql(x: str) -> str:
-    h = "2166136261::BIGINT"
-    for i in range(8):
-        h = f"((xor({h}, (({x})::BIGINT >> {8 * i}) & 255) * 16777619) & 4294967295)"
-    return h
-
-
 @query(f"SELECT node_id, {_fnv_sql('node_id')} AS hash FROM nodes")
 def fnv_hash(spark, sf):
     return _Graph(spark, sf).nodes.select("node_id", graph.fnv32(F.col("node_id")).alias("hash"))
@@ -294,24 +298,42 @@ def matrix_graph(spark, sf):
 
 # -- ratings ------------------------------------------------------------------------------------------------------
 _RATING_SQL = {
-    "expansion_star": "w", "expansion_star_2": "w * w", "inner_outer": "w / (su + sv - w)", "addx": "1 / (du + dv)", "multx": "1 / sqrt(du * dv)", "max": "1 / greatest(du, dv)", "log": "CASE WHEN du * dv = 1 THEN 'inf'::DOUBLE ELSE 1 / ln(du * dv) END",
-    "r1": "1 / (du * dv)", "r2": "1 / (du * dv)", "r3": "1 / (du + dv + 2)", "r4": "du * dv", "r5": "(du + dv) / 2", "r6": "1 / (2 * (du + dv))", "r7": "w / (du * dv)", "r8": "w * du * dv", "realweight": "w",
+    "expansion_star": "w / (cu * cv)", "expansion_star_2": "w * w / (cu * cv)", "inner_outer": "w / (su + sv - w)", "addx": "1 / (du + dv)", "multx": "1 / sqrt(du * dv)", "max": "1 / greatest(du, dv)", "log": "CASE WHEN du * dv = 1 THEN 'inf'::DOUBLE ELSE 1 / ln(du * dv) END",
+    "pseudogeom": f"w * (1 / sqrt(cu) + 1 / sqrt(cv)) * (0.6::DOUBLE + 0.4::DOUBLE * {_fnv_sql('src * 4294967296 + dst')} / 4294967296)",
+    "r1": "1 / (du * dv)", "r2": "1 / (du * dv * cu * cv)", "r3": "1 / (du + dv + cu + cv)", "r4": "du * dv / (cu * cv)", "r5": "(du + dv) / (cu + cv)", "r6": "1 / ((du + dv) * (cu + cv))", "r7": "w / (du * dv * cu * cv)", "r8": "w * du * dv / (cu * cv)", "realweight": "w",
 }
+_ENDS = "ends AS (SELECT d.*, n.c FROM deg d JOIN nodes n USING (node_id)), pairs AS (SELECT src, dst, w::DOUBLE AS w, a.d::DOUBLE AS du, b.d::DOUBLE AS dv, a.wd::DOUBLE AS su, b.wd::DOUBLE AS sv, a.c::DOUBLE AS cu, b.c::DOUBLE AS cv FROM edges JOIN ends a ON a.node_id = src JOIN ends b ON b.node_id = dst WHERE src < dst)"
 
 
-def _rating(name: str) -> Callable:
+def _ratings(name: str, kinds: tuple[str, ...]) -> None:
+    """Ratings are symmetric, so each pair is shown once."""
+
     def run(spark, sf):
         g = _Graph(spark, sf)
-        return ratings.rate(g.edges, g.nodes, (name,)).select("src", "dst", F.round(name, 9).alias("rating"))
+        return ratings.rate(g.edges, g.nodes, kinds).where("src < dst").select("src", "dst", *[F.round(k, 9).alias(k) for k in kinds])
+
+    run.__name__ = name
+    query("SELECT src, dst, " + ", ".join(f"round(({_RATING_SQL[k]})::DOUBLE, 9) AS {k}" for k in kinds) + " FROM pairs", f"{PS}, {_ENDS}")(run)
 
-    run.__name__ = f"rating_{name}"
-    return run
 
+_ratings("ratings_by_weight", ("expansion_star", "expansion_star_2", "inner_outer", "pseudogeom", "realweight", "r7", "r8"))
+_ratings("ratings_by_degree", ("addx", "multx", "max", "log", "r1", "r2", "r3", "r4", "r5", "r6"))
 
-for _name, _expr in _RATING_SQL.items():
-    query(f"SELECT src, dst, round(({_expr})::DOUBLE, 9) AS rating FROM (SELECT src, dst, w::DOUBLE AS w, a.d::DOUBLE AS du, b.d::DOUBLE AS dv, a.wd::DOUBLE AS su, b.wd::DOUBLE AS sv FROM edges JOIN deg a ON a.node_id = src JOIN deg b ON b.node_id = dst)")(_rating(_name))
-for _name in ("pseudogeom", "expansion_star_2_algdist"):
-    query()(_rating(_name))
+
+def _algdist_sql() -> str:
+    start = ", ".join(f"{_fnv_sql(f'{s} * 1099511627776 + node_id')} / 4294967296.0::DOUBLE - 0.5::DOUBLE AS x{s}" for s in range(3))
+    steps = [f"x_0 AS MATERIALIZED (SELECT node_id, {start} FROM nodes)"]
+    for i in range(7):
+        mean = ", ".join(f"sum(x{s} * w) / sum(w) AS m{s}" for s in range(3))
+        both = ", ".join(f"0.5::DOUBLE * x.x{s} + 0.5::DOUBLE * coalesce(m.m{s}, x.x{s}) AS x{s}" for s in range(3))
+        steps.append(f"x_{i + 1} AS MATERIALIZED (SELECT x.node_id, {both} FROM x_{i} x LEFT JOIN (SELECT src, {mean} FROM edges JOIN x_{i} ON x_{i}.node_id = dst GROUP BY 1) m ON m.src = x.node_id)")
+    return ", ".join(steps)
+
+
+@query("SELECT src, dst, round(w * w / (cu * cv * ((abs(a.x0 - b.x0) + abs(a.x1 - b.x1) + abs(a.x2 - b.x2)) / 7 + 0.0001::DOUBLE)), 3) AS rating FROM pairs JOIN x_7 a ON a.node_id = src JOIN x_7 b ON b.node_id = dst", f"{PS}, {_ENDS}, {_algdist_sql()}")
+def rating_algebraic_distance(spark, sf):
+    g = _Graph(spark, sf)
+    return ratings.rate(g.edges, g.nodes, ("expansion_star_2_algdist",)).where("src < dst").select("src", "dst", F.round("expansion_star_2_algdist", 3).alias("rating"))
 
 
 # -- scores -------------------------------------------------------------------------------------------------------
@@ -321,21 +343,24 @@ def _snapshot(g: _Graph) -> DataFrame:
     return g.nodes.where(r < 2).select(F.col("node_id").alias("id"), F.when(r == 0, F.pmod("node_id", F.lit(K)).cast("int")).alias("block"), F.when(r == 0, "assigned").otherwise("queued").alias("status"))
 
 
-_SNAP = PS + ", s AS (SELECT src AS node_id, count(*)::DOUBLE AS d, sum(CASE WHEN dst % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN dst % 3 = 1 THEN 1 ELSE 0 END)::DOUBLE AS b FROM edges GROUP BY 1), mx AS (SELECT src AS node_id, max(c)::DOUBLE AS mx FROM (SELECT src, dst % 4, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) GROUP BY 1)"
-_SCORE_SQL = {"anr": "a / d", "haa": "pow(least(d / 10000, 1), 2) + 0.75 * (1 - least(d / 10000, 1)) * a / d", "nss": "(a + b) / d", "cbs": "least(d / 10000, 1) + 2 * a / d", "cbsq": "least(pow(d / 10000, 2), 1) + 2 * a / d", "cms": "coalesce(mx, 0) / d"}
+def _blocks(g: _Graph) -> DataFrame:
+    """Loads of the snapshot; the heaviest block is full."""
+    loads = graph.block_table(_snapshot(g).where("block is not null").select("id", "block"), g.nodes, K)
+    return loads.join(loads.agg(F.max("load").alias("cap"))).select("block", "load", "cap")  # one row on the right
 
 
-def _score(kind: str) -> Callable:
-    def run(spark, sf):
-        g = _Graph(spark, sf)
-        return scoring.buffer_scores(g.edges, g.nodes, _snapshot(g), PartitionConfig(score=kind)).where("degree > 0").select("node_id", F.round("score", 9).alias("score"))
-
-    run.__name__ = f"buffer_score_{kind}"
-    return run
+_SNAP = PS + ", s AS (SELECT src AS node_id, count(*)::DOUBLE AS d, sum(CASE WHEN dst % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN dst % 3 = 1 THEN 1 ELSE 0 END)::DOUBLE AS b FROM edges GROUP BY 1), mx AS (SELECT src AS node_id, max(c)::DOUBLE AS mx FROM (SELECT src, dst % 4, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) GROUP BY 1)"
+_LOADS = PS + ", l AS (SELECT (node_id % 4)::INT AS b, sum(c)::BIGINT AS ld FROM nodes WHERE node_id % 3 = 0 GROUP BY 1), room AS (SELECT * FROM l WHERE ld < (SELECT max(ld) FROM l))"
+_SCORE_SQL = {"anr": "a / d", "haa": "pow(least(d / 10000, 1), 2) + 0.75 * (1 - least(d / 10000, 1)) * a / d", "nss": "(a + b) / d", "cbs": "least(d / 10000, 1) + 2 * a / d", "cbsq": "least(pow(d / 10000, 2), 1) + 2 * a / d", "cms": "coalesce(mx, 0) / d"}
 
 
-for _name, _expr in _SCORE_SQL.items():
-    query(f"SELECT node_id, round({_expr}, 9) AS score FROM s LEFT JOIN mx USING (node_id)", _SNAP)(_score(_name))
+@query("SELECT node_id, " + ", ".join(f"round({x}, 9) AS {k}" for k, x in _SCORE_SQL.items()) + " FROM s LEFT JOIN mx USING (node_id)", _SNAP)
+def buffer_scores(spark, sf):
+    g, out = _Graph(spark, sf), None
+    for kind in _SCORE_SQL:
+        one = scoring.buffer_scores(g.edges, g.nodes, _snapshot(g), PartitionConfig(score=kind)).where("degree > 0").select("node_id", F.round("score", 9).alias(kind))
+        out = one if out is None else out.join(one, "node_id")
+    return out
 
 
 @query("SELECT src, (dst % 4)::INT AS block, count(*)::DOUBLE AS gain FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2")
@@ -344,125 +369,200 @@ def neighbour_blocks(spark, sf):
     return scoring.neighbour_blocks(g.edges, _snapshot(g))
 
 
-_LOADS = [(0, 10, 30), (1, 30, 30), (2, 20, 30), (3, 10, 30)]
-
-
-@query("""SELECT node_id, arg_max(block, (sc, -block))::INT AS block FROM (SELECT n.node_id, l.b AS block, coalesce(c, 0) - 0.9 * sqrt(l.ld) AS sc FROM nodes n CROSS JOIN (VALUES (0, 10), (2, 20), (3, 10)) l(b, ld)
- LEFT JOIN (SELECT src, dst % 4 AS b, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) g ON g.src = n.node_id AND g.b = l.b) GROUP BY 1""")
+@query("""SELECT node_id, arg_max(block, (sc, -block))::INT AS block FROM (SELECT n.node_id, l.b AS block, coalesce(g.c, 0) - 0.9 * sqrt(l.ld) AS sc FROM nodes n CROSS JOIN room l
+ LEFT JOIN (SELECT src, dst % 4 AS b, count(*) AS c FROM edges WHERE dst % 3 = 0 GROUP BY 1, 2) g ON g.src = n.node_id AND g.b = l.b) GROUP BY 1""", _LOADS)
 def best_blocks(spark, sf):
     g = _Graph(spark, sf)
-    return scoring.best_blocks(g.nodes, scoring.neighbour_blocks(g.edges, _snapshot(g)), spark.createDataFrame(_LOADS, "block int, load long, cap long"), 0.9)
+    return scoring.best_blocks(g.nodes, scoring.neighbour_blocks(g.edges, _snapshot(g)), _blocks(g), 0.9)
 
 
-@query("SELECT 0 AS block", "")
+@query("SELECT arg_min(b, (ld, b))::INT AS block FROM room", _LOADS)
 def lightest_block(spark, sf):
-    return scoring.lightest_block(spark.createDataFrame(_LOADS, "block int, load long, cap long"))
+    return scoring.lightest_block(_blocks(_Graph(spark, sf)))
 
 
-@query("SELECT node_id AS id, (node_id % 4)::INT AS block, row_number() OVER (PARTITION BY node_id % 4 ORDER BY node_id) AS load FROM nodes")
+@query("SELECT node_id AS id, (node_id % 4)::INT AS block, (sum(c) OVER (PARTITION BY node_id % 4 ORDER BY node_id))::BIGINT AS load FROM nodes")
 def running_load(spark, sf):
     g = _Graph(spark, sf)
     return scoring.running_load(g.assign, g.nodes)
 
 
 # -- partitions ---------------------------------------------------------------------------------------------------
-_SS = """pr AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), ue AS (SELECT a.s AS u, b.s AS v FROM pr a JOIN pr b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2 HAVING count(*) >= {shared}),
-n AS (SELECT count(*) AS n FROM supplier), par AS (SELECT n, 1.5 * (SELECT count(*) FROM ue) * 2 / pow(n, 1.5) AS ag, ceil(1.03 * n / 4.0) AS cap FROM n),
+#: Suppliers, an edge where two share more parts than an average pair.
+SS = """pr AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS s FROM lineitem), pw AS MATERIALIZED (SELECT a.s AS u, b.s AS v, count(*) AS w FROM pr a JOIN pr b ON a.p = b.p AND a.s < b.s GROUP BY 1, 2),
+ue AS MATERIALIZED (SELECT u, v, w FROM pw WHERE w > (SELECT avg(w) FROM pw))"""
+
+
+def _one_pass_sql(score: str) -> str:
+    """One vertex after the other by a recursive query: the block of highest score with room, the lighter, then the lower on a tie. g: neighbours in block t.b, l: its load."""
+    return f"""RECURSIVE {SS}, n AS (SELECT count(*) AS n FROM supplier), par AS (SELECT n, 1.5 * (SELECT count(*) FROM ue) * 2 / pow(n, 1.5) AS ag, ceil(1.03 * n / 4.0) AS cap FROM n),
 nb AS (SELECT v AS id, list(u) AS ns FROM ue GROUP BY v),
 run(i, blk, ld) AS (SELECT 0, []::INT[], [0, 0, 0, 0] UNION ALL
  SELECT i + 1, list_append(blk, b), list_transform(ld, lambda x, j: x + CASE WHEN j = b + 1 THEN 1 ELSE 0 END) FROM (
-  SELECT i, blk, ld, coalesce((SELECT arg_max(q.b, (q.g - par.ag * sqrt(q.l), -q.b)) FROM (SELECT t.b AS b, ld[t.b + 1] AS l, len(list_filter(coalesce(ns, []), lambda z: blk[z + 1] = t.b)) AS g FROM range(4) t(b)) q, par WHERE q.l < par.cap), 0)::INT AS b
+  SELECT i, blk, ld, coalesce((SELECT arg_max(q.b, ({score}, -q.b)) FROM (SELECT t.b AS b, ld[t.b + 1] AS l, len(list_filter(coalesce(ns, []), lambda z: blk[z + 1] = t.b)) AS g FROM range(4) t(b)) q, par WHERE q.l < par.cap), 0)::INT AS b
   FROM run LEFT JOIN nb ON nb.id = run.i WHERE i < (SELECT n FROM n)))"""
 
 
-@query("SELECT (j - 1)::BIGINT AS id, blk[j] AS block FROM (SELECT blk FROM run ORDER BY i DESC LIMIT 1), range(1, (SELECT n + 1 FROM n)) t(j)", "RECURSIVE " + _SS.format(shared=140))
-def direct_fennel(spark, sf):
+_RUN = "SELECT (j - 1)::BIGINT AS id, blk[j] AS block FROM (SELECT blk FROM run ORDER BY i DESC LIMIT 1), range(1, (SELECT n + 1 FROM n)) t(j)"
+
+
+def _suppliers(spark, sf) -> tuple[DataFrame, DataFrame]:
     u, nodes = tables.supplier_supplier(spark, sf)
-    u = u.withColumn("weight", F.lit(1).cast("long"))
-    return node.partition(graph.symmetrize(u), nodes, PartitionConfig(k=K, batch_size=1))
+    return graph.symmetrize(u), nodes
 
 
-def _baseline(kind: str) -> Callable:
-    def run(spark, sf):
-        g = _Graph(spark, sf)
-        return node.baseline(g.edges, g.nodes, kind, K)
+@query(_RUN, _one_pass_sql("q.g - par.ag * sqrt(q.l)"))
+def direct_fennel(spark, sf):
+    edges, nodes = _suppliers(spark, sf)
+    return node.partition(edges.withColumn("weight", F.lit(1).cast("long")), nodes, PartitionConfig(k=K, batch_size=1))
 
-    run.__name__ = f"baseline_{kind}"
-    return run
 
+@query(_RUN, _one_pass_sql("q.g, -q.l"))
+def baseline_greedy(spark, sf):
+    return node.baseline(*_suppliers(spark, sf), "greedy", K)
 
-query(f"SELECT node_id AS id, ({_fnv_sql('node_id')} % 4)::INT AS block FROM nodes")(_baseline("hashing"))
-query("SELECT node_id AS id, floor(node_id * 4 / (SELECT count(*) FROM nodes))::INT AS block FROM nodes")(_baseline("chunking"))
-query("SELECT node_id AS id, (node_id % 4)::INT AS block FROM nodes")(_baseline("balanced"))
-query()(_baseline("greedy"))
-query()(_baseline("ldg"))
 
+@query(_RUN, _one_pass_sql("q.g * (1 - q.l / par.cap), -q.l"))
+def baseline_ldg(spark, sf):
+    return node.baseline(*_suppliers(spark, sf), "ldg", K)
 
-def _partition(name: str, run: Callable, **options) -> None:
-    """Partitions that no SQL expresses; tests hold their invariants and, for the kernels, hand-made cases."""
 
-    def q(spark, sf):
-        g = _Graph(spark, sf)
-        one = g.edges.withColumn("weight", F.lit(1).cast("long"))
-        return run(one, g.nodes, PartitionConfig(k=K, **options))
-
-    q.__name__ = name
-    query()(q)
-
-
-_partition("node_batches", node.partition, batch_size=512)
-_partition("node_batches_joined", node.partition_batched, batch_size=1024)
-_partition("node_restream", node.partition, batch_size=512, passes=2)
-_partition("node_balance_edges", node.partition, batch_size=512, balance_edges=True)
-_partition("node_model_ghosts", node.partition, batch_size=512, model_ghosts=True)
-_partition("node_soft_ghosts", node.partition, batch_size=128, buffer_size=256, ghosts=True)
-_partition("node_distributed", node.partition_distributed)
-for _s in ("haa", "anr", "cms", "nss", "cbs", "cbsq"):
-    _partition(f"node_buffered_{_s}", node.partition, batch_size=128, buffer_size=256, score=_s)
-_partition("node_buffered_pulled", node.partition, batch_size=128, buffer_size=256, pull_neighbours=True)
-_partition("node_path_matching", node.partition, batch_size=512, matcher="paths", improve_initial=True)
-_partition("node_bisected", node.partition_bisected)
-_partition("edge_minimal", edge.partition, batch_size=512)
-_partition("edge_full", edge.partition, batch_size=512, minimal_mode=False)
-_partition("edge_sampled", edge.partition, batch_size=512, minimal_mode=False, past_subset_size=2)
-_partition("edge_restream", edge.partition, batch_size=512, passes=2)
+@query(f"SELECT node_id AS id, ({_fnv_sql('node_id')} % 4)::INT AS hashing, floor(node_id * 4 / (SELECT count(*) FROM nodes))::INT AS chunking, (node_id % 4)::INT AS balanced FROM nodes")
+def baselines(spark, sf):
+    g = _Graph(spark, sf)
+    hashing, chunking, balanced = (node.baseline(g.edges, g.nodes, kind, K).withColumnRenamed("block", kind) for kind in ("hashing", "chunking", "balanced"))
+    return hashing.join(chunking, "id").join(balanced, "id")
+
+
+#: Plain and buffered partitions by name. No SQL gives their blocks, so a query shows what every one of them must hold; tests hold the kernels against hand-made cases and each other.
+PLAIN = {
+    "batches": (node.partition, {"batch_size": 512}), "restream": (node.partition, {"batch_size": 512, "passes": 2}),
+    "model_ghosts": (node.partition, {"batch_size": 512, "model_ghosts": True}), "path_matching": (node.partition, {"batch_size": 512, "matcher": "paths", "improve_initial": True}), "bisected": (node.partition_bisected, {}),
+}
+BUFFERED = {s: {"score": s} for s in ("haa", "anr", "cms", "nss", "cbs", "cbsq")} | {"pulled": {"pull_neighbours": True}, "at_once": {"place_surrounded": True}, "soft_ghosts": {"ghosts": True}, "topless": {"batch_size": 1}}
+EDGE_MODES = {"minimal": {}, "full": {"minimal_mode": False}, "sampled": {"minimal_mode": False, "past_subset_size": 2}, "restream": {"passes": 2}}
+
+
+def _held(g: _Graph, runs: dict[str, tuple[Callable, dict]], unit: bool) -> DataFrame:
+    """For each run: its vertices, how many are different, blocks used, whether every load is within the capacity and the cut is below that of hashed blocks."""
+    edges = settle(g.edges.withColumn("weight", F.lit(1).cast("long")) if unit else g.edges)
+    nodes = settle(g.nodes.withColumn("weight", F.lit(1).cast("long")) if unit else g.nodes)
+    assigned = None
+    for name, (run, options) in {"hash": (lambda e, n, c: node.baseline(e, n, "hashing", K), {}), **runs}.items():
+        one = run(edges, nodes, PartitionConfig(k=K, **options)).select(F.lit(name).alias("run"), "id", "block")
+        assigned = one if assigned is None else assigned.unionByName(one)
+    assigned = settle(assigned)
+    w = nodes.select(F.col("node_id").alias("id"), "weight")
+    loads = assigned.where("run <> 'hash'").join(w, "id").groupBy("run", "block").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"))
+    distinct = assigned.groupBy("run").agg(F.count_distinct("id").alias("different"))
+    ends = lambda a, b: assigned.select("run", F.col("id").alias(a), F.col("block").alias(b))
+    cut = edges.where("src < dst").join(ends("src", "own"), "src").join(ends("dst", "other"), ["run", "dst"]).groupBy("run").agg(F.sum(F.when(F.col("own") != F.col("other"), F.col("weight")).otherwise(0)).alias("cut"))
+    base = cut.where("run = 'hash'").select(F.col("cut").alias("hashed"))  # one row
+    total = nodes.agg(F.sum("weight")).first()[0]
+    return loads.groupBy("run").agg(F.sum("n").alias("vertices"), F.count(F.lit(1)).alias("blocks"), (F.max("load") <= capacity(total, K, 3.0, True)).alias("within_capacity")).join(distinct, "run").join(cut, "run").join(base).select("run", "vertices", "different", "blocks", "within_capacity", (F.col("cut") < F.col("hashed")).alias("below_hashed"))
+
+
+def _held_sql(names) -> str:
+    listed = ", ".join(f"'{n}'" for n in names)
+    return f"SELECT unnest([{listed}]) AS run, n AS vertices, n AS different, 4::BIGINT AS blocks, true AS within_capacity, true AS below_hashed FROM (SELECT count(*) AS n FROM nodes)"
+
+
+@query(_held_sql(PLAIN))
+def node_partitions(spark, sf):
+    return _held(_Graph(spark, sf), PLAIN, True)
+
+
+@query(_held_sql(["weighted", "weighted_restream"]))
+def node_partitions_weighted(spark, sf):
+    return _held(_Graph(spark, sf), {"weighted": (node.partition, {"batch_size": 512}), "weighted_restream": (node.partition, {"batch_size": 512, "passes": 2})}, False)
+
+
+@query(_held_sql(BUFFERED))
+def node_buffered(spark, sf):
+    return _held(_Graph(spark, sf), {k: (node.partition, {"batch_size": 128, "buffer_size": 256} | v) for k, v in BUFFERED.items()}, True)
+
+
+@query(_held_sql(["distributed"]))
+def node_distributed(spark, sf):
+    return _held(_Graph(spark, sf), {"distributed": (lambda e, n, c: node.partition_distributed(e, n, c, rounds=4), {})}, True)
+
+
+@query("SELECT unnest(['balance_edges', 'model_ghosts', 'restream']) AS run, n AS vertices, n AS same FROM (SELECT count(*) AS n FROM nodes)")
+def node_batches_joined(spark, sf):
+    """Vertices to which the batch-wise form gives the block of the whole-graph stream."""
+    g, out = _Graph(spark, sf), None
+    edges, nodes = settle(g.edges), settle(g.nodes)
+    for name, options in {"balance_edges": {"balance_edges": True}, "model_ghosts": {"model_ghosts": True}, "restream": {"passes": 2}}.items():
+        cfg = PartitionConfig(k=K, batch_size=1024, **options)
+        both = node.partition(edges, nodes, cfg).join(node.partition_batched(edges, nodes, cfg).withColumnRenamed("block", "joined"), "id")
+        one = both.agg(F.lit(name).alias("run"), F.count(F.lit(1)).alias("vertices"), F.count_if(F.col("block") == F.col("joined")).alias("same"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("SELECT edge_id, u, v, true AS same_batched FROM eid")
+def edge_batches_joined(spark, sf):
+    """Every edge with its place in the stream, and whether the batch-wise form gives it the block of the whole-graph stream."""
+    g = _Graph(spark, sf)
+    edges, cfg = settle(g.edges), PartitionConfig(k=K, batch_size=512)
+    joined = edge.partition_batched(edges, g.nodes, cfg).select("edge_id", F.col("block").alias("joined"))
+    return edge.partition(edges, g.nodes, cfg).join(joined, "edge_id").select("edge_id", "u", "v", (F.col("block") == F.col("joined")).alias("same_batched"))
+
+
+@query("SELECT unnest(['minimal', 'full', 'sampled', 'restream']) AS run, m AS edges, m AS in_order, 4::BIGINT AS blocks, true AS balanced FROM (SELECT count(*) AS m FROM eid)")
+def edge_partitions(spark, sf):
+    """For each mode: its edges, how many of them are at their place of the stream, blocks used, and whether the heaviest holds less than 1.3 times its share."""
+    g, solved = _Graph(spark, sf), None
+    edges, nodes = settle(g.edges), settle(g.nodes)
+    for name, options in EDGE_MODES.items():
+        one = edge.partition(edges, nodes, PartitionConfig(k=K, batch_size=512, **options)).withColumn("run", F.lit(name))
+        solved = one if solved is None else solved.unionByName(one)
+    ids = graph.edge_ids(g.uedges, 512).select("edge_id", F.col("u").alias("x"), F.col("v").alias("y"))
+    per = settle(solved).join(ids, "edge_id").groupBy("run", "block").agg(F.count(F.lit(1)).alias("n"), F.count_if((F.col("u") == F.col("x")) & (F.col("v") == F.col("y"))).alias("placed"))
+    return per.groupBy("run").agg(F.sum("n").alias("edges"), F.sum("placed").alias("in_order"), F.count(F.lit(1)).alias("blocks"), (F.max("n") < 1.3 * F.sum("n") / K).alias("balanced"))
 
 
 # -- connectivity -------------------------------------------------------------------------------------------------
-_COMP = """RECURSIVE ue AS (SELECT DISTINCT s_suppkey AS u, (s_suppkey * 7 + 3) % 41 AS v FROM supplier WHERE s_suppkey < 41 AND s_suppkey % 4 < 2 AND s_suppkey <> (s_suppkey * 7 + 3) % 41),
+_COMP = """RECURSIVE ue AS (SELECT DISTINCT s_suppkey AS u, (s_suppkey * 7 + 3) % n AS v FROM supplier, (SELECT count(*) AS n FROM supplier) WHERE s_suppkey % 4 < 2 AND s_suppkey <> (s_suppkey * 7 + 3) % n),
 sy AS (SELECT u, v FROM ue UNION SELECT v, u FROM ue), r(x, y) AS (SELECT u, u FROM sy UNION SELECT r.x, sy.v FROM r JOIN sy ON sy.u = r.y)"""
 
 
 @query("SELECT x AS node_id, min(y) AS component FROM r GROUP BY x", _COMP)
 def components(spark, sf):
-    s, n = F.col("s_suppkey"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(41))
-    u = spark.read.parquet(f"{sf}/supplier.parquet").where((s < 41) & (s % 4 < 2) & (s != n)).select(s.alias("u"), n.alias("v"))
-    return connectivity.components(u)
+    """Every other pair of suppliers points at another one."""
+    supplier = spark.read.parquet(f"{sf}/supplier.parquet")
+    s, n = F.col("s_suppkey"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(supplier.count()))
+    return connectivity.components(supplier.where((s % 4 < 2) & (s != n)).select(s.alias("u"), n.alias("v")))
 
 
-_REACH = """RECURSIVE a AS (SELECT DISTINCT s_suppkey AS u, (s_suppkey * 7 + 3) % 41 AS v FROM supplier WHERE s_suppkey < 41 UNION SELECT s_suppkey, (s_suppkey + 5) % 41 FROM supplier WHERE s_suppkey < 20),
+_REACH = """RECURSIVE a AS (SELECT s_suppkey AS u, s_suppkey // 3 AS v FROM supplier UNION SELECT s_suppkey, (2 * s_suppkey + 1) % n FROM supplier, (SELECT count(*) AS n FROM supplier) WHERE s_suppkey % 3 = 0),
 ns AS (SELECT u AS x FROM a UNION SELECT v FROM a), r(x, y) AS (SELECT x, x FROM ns UNION SELECT r.x, a.v FROM r JOIN a ON a.u = r.y)"""
 
 
 @query("SELECT p.x AS node_id, min(p.y) AS component FROM r p JOIN r q ON p.x = q.y AND p.y = q.x GROUP BY p.x", _REACH)
 def strong_components(spark, sf):
+    """Suppliers point up a tree, every third one elsewhere too."""
     s = spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey")
-    a = s.where("s_suppkey < 41").select(F.col("s_suppkey").alias("src"), F.pmod(F.col("s_suppkey") * 7 + 3, F.lit(41)).alias("dst")).union(s.where("s_suppkey < 20").select("s_suppkey", F.pmod(F.col("s_suppkey") + 5, F.lit(41))))
-    nodes = a.select(F.explode(F.array("src", "dst")).alias("node_id")).distinct()
-    return connectivity.strong_components(a, nodes)
+    up = s.select(F.col("s_suppkey").alias("src"), F.floor(F.col("s_suppkey") / 3).alias("dst"))
+    return connectivity.strong_components(up.union(s.where("s_suppkey % 3 = 0").select("s_suppkey", F.pmod(2 * F.col("s_suppkey") + 1, F.lit(s.count())))), s.select(F.col("s_suppkey").alias("node_id")))
 
 
-@query()
+@query("SELECT (c + CASE WHEN parts <> 30 THEN total * parts ELSE 0 END)::BIGINT AS edge_cut FROM (SELECT sum(CASE WHEN u % 30 <> v % 30 THEN w ELSE 0 END) AS c, sum(w) AS total FROM ue), (SELECT count(DISTINCT root) AS parts FROM (SELECT x, min(y) AS root FROM r GROUP BY x))",
+       f"RECURSIVE {SS}, inner_ AS (SELECT u, v FROM ue WHERE u % 30 = v % 30 UNION SELECT v, u FROM ue WHERE u % 30 = v % 30), r(x, y) AS (SELECT s_suppkey, s_suppkey FROM supplier UNION SELECT r.x, i.v FROM r JOIN inner_ i ON i.u = r.y)")
 def penalised_cut(spark, sf):
-    g = _Graph(spark, sf)
-    return metrics.penalised_cut(g.edges, g.assign, K)
+    """Thirty blocks of suppliers, most of them not connected."""
+    edges, nodes = _suppliers(spark, sf)
+    return metrics.penalised_cut(edges, graph.assign_blocks(nodes, F.pmod("node_id", F.lit(30))), 30)
 
 
-@query("SELECT n_nationkey + 5 AS node_id, 1 AS layer FROM nation UNION ALL SELECT r_regionkey, 0 FROM region", "")
+@query("SELECT n_nationkey + 5 AS node_id, 1 AS layer FROM nation UNION ALL SELECT r_regionkey, 0 FROM region UNION ALL SELECT 30 + s_suppkey, 2 FROM supplier UNION ALL SELECT 30 + (SELECT count(*) FROM supplier) + c_custkey, 2 FROM customer", "")
 def topological_layers(spark, sf):
-    nation = spark.read.parquet(f"{sf}/nation.parquet").select(F.col("n_regionkey").cast("int").alias("src"), (F.col("n_nationkey") + 5).cast("int").alias("dst"))
-    region = spark.read.parquet(f"{sf}/region.parquet").select(F.col("r_regionkey").cast("int").alias("node_id"))
-    return connectivity.topological_layers(nation, region.union(nation.select("dst")))
+    """Regions, their nations, and the suppliers and customers of these."""
+    read = lambda t: spark.read.parquet(f"{sf}/{t}.parquet")
+    shift = 30 + read("supplier").count()
+    nation = read("nation").select(F.col("n_regionkey").cast("long").alias("src"), (F.col("n_nationkey") + 5).cast("long").alias("dst"))
+    arcs = nation.union(read("supplier").select((F.col("s_nationkey") + 5).cast("long"), F.col("s_suppkey") + 30)).union(read("customer").select((F.col("c_nationkey") + 5).cast("long"), F.col("c_custkey") + shift))
+    return connectivity.topological_layers(arcs, read("region").select(F.col("r_regionkey").cast("long").alias("node_id")).union(arcs.select("dst")))
 
 
 @query("SELECT u::BIGINT AS u, v::BIGINT AS v, w::BIGINT AS weight FROM ue2", "ue2 AS (SELECT o_custkey AS u, (SELECT count(*) FROM customer) + l_partkey AS v, count(*) AS w FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)")
@@ -471,10 +571,6 @@ def customer_part_edges(spark, sf):
     return u.select(F.col("u").cast("long"), F.col("v").cast("long"), "weight")
 
 
-def scale_factor(n: int, m: int) -> float:
-    return alpha_gamma(n, m, K)
-
-
 @query("SELECT date_trunc('day', ts) AS start, user_id, event_type, count(*) AS weight FROM events GROUP BY 1, 2, 3", "")
 def windowed_event_edges(spark, sf):
     from ..streaming.stream import windowed_edges

@@ -52,6 +52,7 @@ class PartitionConfig:
     matcher: str = "cluster"
     improve_initial: bool = False
     pull_neighbours: bool = False
+    place_surrounded: bool = False
     # edge mode
     minimal_mode: bool = True
     past_subset_size: int = -1

@@ -3,8 +3,8 @@
 Three ways:
 
 * ``partition`` streams a whole graph through one task: the order of the stream is part of the result's definition, so this is exact for every mode. For graphs that fit in a task.
-* ``partition_batched`` gives the same result for plain batches with memory for one batch only: models come from joins, each is solved in one task of batch + k vertices, and
-  assignments are appended to a settled table. For large graphs.
+* ``partition_batched`` gives the same result for plain batches with memory for one batch only: arcs are written once by batch, each batch reads its own part, its model is solved in one task
+  of batch + k vertices, and its blocks are appended to a table. For large graphs, as far as batches one after the other can go.
 * ``partition_distributed`` is capped label propagation in supersteps: parallel throughout, capacity is kept, results differ from the stream's.
 """
 
@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import settle
+from ..functions.tables import new_folder, settle
 from ..kernel import batches, fennel
 from ..kernel.buffer import Stream
 from ..kernel.csr import Csr, from_arcs
@@ -61,7 +61,7 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
 
 
 def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
-    """The graph of rows (src, dst, weight); rows without dst are vertices."""
+    """The graph of rows (src, dst, weight); rows without dst are vertices. A further column place keeps the order of lists, which is ascending without it."""
     tables = [b for b in batches_in if b.num_rows]
     t = pa.Table.from_batches(tables) if tables else None
     if t is None:
@@ -74,13 +74,15 @@ def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
         raise ValueError("vertex ids must be dense from 0")
     node_w = np.ones(n, np.int64)
     node_w[src[is_node]] = w[is_node]
-    return from_arcs(n, src[~is_node], dst[~is_node], w[~is_node], node_w, both=False)
+    place = t.column("place").fill_null(-1).to_numpy()[~is_node] if "place" in t.column_names else None
+    return from_arcs(n, src[~is_node], dst[~is_node], w[~is_node], node_w, both=False, place=place)
 
 
 def as_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Arcs and vertices in one table, for one task."""
     v = nodes.select(F.col("node_id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"))
-    return edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), F.col("weight").cast("long").alias("weight")).unionByName(v).repartition(1)
+    names = ["src", "dst", "weight", *(["place"] if "place" in edges.columns else [])]
+    return edges.select(*[F.col(c).cast("long").alias(c) for c in names]).unionByName(v, allowMissingColumns=True).repartition(1)
 
 
 def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
@@ -124,10 +126,12 @@ def baseline(edges: DataFrame, nodes: DataFrame, kind: str, k: int, imbalance: f
 
 
 # -- batches from joins -------------------------------------------------------------------------------------------
-def batch_models(edges: DataFrame, assign: DataFrame | None, lo: int, hi: int, again: bool) -> DataFrame:
-    """Arcs of one batch's model: (src, dst, weight) local ids, anchors as -1 - block. Local pairs once, arcs to placed vertices summed by block."""
+def batch_models(edges: DataFrame, assign: DataFrame | None, lo: int, hi: int, again: bool, ghosts: bool = False) -> DataFrame:
+    """Arcs of one batch's model: (src, dst, weight) local ids, anchors as -1 - block, with ``ghosts`` later vertices as their ids less lo. Local pairs once, arcs to placed vertices summed by block."""
     mine = edges.where((F.col("src") >= lo) & (F.col("src") < hi))
     local = mine.where((F.col("dst") >= lo) & (F.col("dst") < F.col("src"))).select((F.col("src") - lo).alias("src"), (F.col("dst") - lo).alias("dst"), "weight")
+    if ghosts:
+        local = local.unionByName(mine.where(F.col("dst") >= hi).select((F.col("src") - lo).alias("src"), (F.col("dst") - lo).alias("dst"), "weight"))
     if assign is None:
         return local
     outside = mine.where((F.col("dst") < lo) | ((F.col("dst") >= hi) if again else F.lit(False)))
@@ -135,55 +139,70 @@ def batch_models(edges: DataFrame, assign: DataFrame | None, lo: int, hi: int, a
     return local.unionByName(past.select((F.col("src") - lo).alias("src"), (-1 - F.col("block")).cast("long").alias("dst"), "weight"))
 
 
-def partition_batched(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
-    """As ``partition`` for plain batches, batch by batch. The driver holds k loads and the loop."""
-    n, m, k = nodes.count(), edges.count() // 2, cfg.k
-    if cfg.mode() != "batches" or cfg.model_ghosts or cfg.balance_edges:
-        raise ValueError("partition_batched takes plain batches without ghosts or edge balance")
+ASSIGNED = "id long, block int, weight long, pass int, batch int"
+
+
+def partition_batched(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig, folder: str | None = None) -> DataFrame:
+    """As ``partition`` for plain batches, batch by batch; the driver holds k loads a batch and the loop.
+
+    ``folder`` (a new one in the shared folder by default) gets the arcs and vertices by batch, each read once a pass, and ``assigned``, the table of blocks, which grows by a
+    part a batch as the run goes on; a batch done again replaces its part.  A batch reads the blocks of the others, narrow rows, and no plan depends on how many there are.
+    """
+    if cfg.mode() != "batches":
+        raise ValueError("partition_batched takes plain batches")
+    spark, n, m, k = nodes.sparkSession, nodes.count(), edges.count() // 2, cfg.k
     ag, bounds, size = alpha_gamma(n, m, k), bounds_of(n, cfg), cfg.batch_length(n)
-    edges, nodes = settle(edges.repartition("src")), settle(nodes)
-    total = int(nodes.agg(F.sum("weight")).first()[0] or 0)
-    parts: dict[int, DataFrame] = {}
+    folder = folder or new_folder(spark, "node-batches")
+    if cfg.balance_edges:
+        nodes = graph.degrees(edges, nodes).join(nodes, "node_id").select("node_id", (F.col("weight") + F.col("degree")).alias("weight"))
+    for rows, key, name in ((edges.select("src", "dst", "weight"), "src", "arcs"), (nodes.select("node_id", "weight"), "node_id", "nodes")):
+        rows.withColumn("batch", graph.batch_of(F.col(key), size)).repartition("batch").write.mode("overwrite").partitionBy("batch").parquet(f"{folder}/{name}")
+    arcs_of, nodes_of = spark.read.schema("src long, dst long, weight long, batch int").parquet(f"{folder}/arcs"), spark.read.schema("node_id long, weight long, batch int").parquet(f"{folder}/nodes")
+    total = int(nodes_of.agg(F.sum("weight")).first()[0] or 0)
     loads: dict[int, np.ndarray] = {}
     for p in range(cfg.passes):
         for i, lo in enumerate(range(0, n, size)):
             hi = min(n, lo + size)
-            before = [parts[j] for j in parts if j != i]
-            assign = before[0] if before else None
-            for x in before[1:]:
-                assign = assign.unionByName(x)
+            done = spark.read.schema(ASSIGNED).parquet(f"{folder}/assigned") if loads else None
+            others = done.where(f"pass = {p} and batch < {i} or pass = {p - 1} and batch > {i}") if loads else None  # pruned to these parts
             load = sum((loads[j] for j in loads if j != i), np.zeros(k, np.int64))
-            arcs = batch_models(edges, assign, lo, hi, p > 0).withColumn("start", F.lit(None).cast("int"))
-            own = nodes.where((F.col("node_id") >= lo) & (F.col("node_id") < hi)).select((F.col("node_id") - lo).alias("src"), F.lit(None).cast("long").alias("dst"), "weight")
-            own = own.join(parts[i].select((F.col("id") - lo).alias("src"), F.col("block").alias("start")), "src") if p else own.withColumn("start", F.lit(None).cast("int"))
+            arcs = batch_models(arcs_of.where(f"batch = {i}"), others, lo, hi, p > 0, cfg.model_ghosts and p == 0).withColumn("start", F.lit(None).cast("int"))
+            own = nodes_of.where(f"batch = {i}").select((F.col("node_id") - lo).alias("src"), F.lit(None).cast("long").alias("dst"), "weight")
+            own = own.join(done.where(f"pass = {p - 1} and batch = {i}").select((F.col("id") - lo).alias("src"), F.col("block").alias("start")), "src") if p else own.withColumn("start", F.lit(None).cast("int"))
 
-            def solve(rows: Iterator[pa.RecordBatch], size=hi - lo, lo=lo, load=load, p=p, first=p == 0) -> Iterator[pa.RecordBatch]:
+            def solve(rows: Iterator[pa.RecordBatch], size=hi - lo, lo=lo, load=load, p=p, i=i) -> Iterator[pa.RecordBatch]:
                 t = pa.Table.from_batches([b for b in rows if b.num_rows])
                 src, w, dst, start = t.column("src").to_numpy(), t.column("weight").to_numpy(), t.column("dst"), t.column("start")
                 is_node = dst.is_null().to_numpy()
                 d = dst.fill_null(0).to_numpy()
-                d = np.where(d < 0, size - 1 - d, d)
                 node_w = np.ones(size, np.int64)
                 node_w[src[is_node]] = w[is_node]
                 begin = None
-                if not first:
+                if p:
                     begin = np.zeros(size, np.int64)
                     begin[src[is_node]] = start.fill_null(0).to_numpy()[is_node]
                     begin = begin.tolist()
-                weights = np.concatenate([node_w, load])
-                model = from_arcs(size + k, src[~is_node], d[~is_node], w[~is_node], weights)
-                out = batches.solve(model, k, bounds(float(weights.sum()), int(load.sum()), size, p), ag, cfg, lo, begin, refinement_weight(cfg, total - int(load.sum()), m))[:size]
+                unseen, arc = ~is_node & (d >= size), ~is_node & (d < size)
+                factor = 2 if cfg.model_ghosts else 1
+                a, b, c = src[arc], np.where(d[arc] < 0, size - 1 - d[arc], d[arc]), w[arc] * factor
+                model_w = node_w.copy()
+                if cfg.model_ghosts and not p:
+                    at = np.lexsort((d[unseen], src[unseen]))
+                    x, y, z, heavier = batches.ghost_links(d[unseen][at] + lo, src[unseen][at], w[unseen][at], i + 1)
+                    a, b, c = np.concatenate([a, x]), np.concatenate([b, y]), np.concatenate([c, z])
+                    np.add.at(model_w, heavier, 1)
+                weights = np.concatenate([model_w, load])
+                out = batches.solve(from_arcs(size + k, a, b, c, weights), k, bounds(float(weights.sum()), int(load.sum()), size, p), ag, cfg, lo, begin, refinement_weight(cfg, total - int(load.sum()), m))[:size]
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(lo, lo + size)), pa.array(out, pa.int32()), pa.array(node_w)], ["id", "block", "weight"])
 
-            solved = settle(arcs.unionByName(own).repartition(1).mapInArrow(solve, "id long, block int, weight long"))
+            part = f"{folder}/assigned/pass={p}/batch={i}"
+            arcs.unionByName(own).repartition(1).mapInArrow(solve, "id long, block int, weight long").write.mode("overwrite").parquet(part)
             loads[i] = np.zeros(k, np.int64)
-            for r in solved.groupBy("block").agg(F.sum("weight").alias("w")).collect():  # k rows
+            for r in spark.read.parquet(part).groupBy("block").agg(F.sum("weight").alias("w")).collect():  # k rows
                 loads[i][r["block"]] = r["w"]
-            parts[i] = solved.select("id", "block")
-    out = parts[0]
-    for j in sorted(parts)[1:]:
-        out = out.unionByName(parts[j])
-    return out
+    if not loads:
+        return spark.createDataFrame([], "id long, block int")
+    return spark.read.schema(ASSIGNED).parquet(f"{folder}/assigned").where(f"pass = {cfg.passes - 1}").select("id", "block")
 
 
 def partition_distributed(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig, rounds: int = 8) -> DataFrame:
@@ -193,9 +212,11 @@ def partition_distributed(edges: DataFrame, nodes: DataFrame, cfg: PartitionConf
     spark, total = nodes.sparkSession, nodes.agg(F.sum("weight")).first()[0] or 0
     cap = capacity(total, k, cfg.imbalance, True)
     w = nodes.select(F.col("node_id").alias("id"), "weight")
+    edges = settle(edges.select("src", "dst", "weight").repartition("src"))  # read again every round
     now = settle(nodes.select(F.col("node_id").alias("id"), F.least(F.floor(F.col("node_id") * k / max(n, 1)), F.lit(k - 1)).cast("int").alias("block")))
+    loads_of = lambda a: {x["block"]: x["load"] for x in graph.block_table(a, nodes, k).collect()}  # k rows
+    loads = loads_of(now)
     for r in range(rounds):
-        loads = {x["block"]: x["load"] for x in graph.block_table(now, nodes, k).collect()}  # k rows
         blocks = spark.createDataFrame([(b, loads.get(b, 0), cap) for b in range(k)], "block int, load long, cap long")
         gains = scoring.neighbour_blocks(edges, now.withColumn("status", F.lit("assigned")))
         wish = scoring.best_blocks(nodes, gains, blocks, ag).select(F.col("node_id").alias("id"), F.col("block").alias("wish"))
@@ -204,9 +225,10 @@ def partition_distributed(edges: DataFrame, nodes: DataFrame, cfg: PartitionConf
         share = F.element_at(F.create_map(*[F.lit(x) for b in range(k) for x in (b, min(1.0, 0.9 * max(0, cap - loads.get(b, 0)) / max(1, demand.get(b, 0))))]), F.col("wish"))
         taken = moves.where(F.pmod(F.xxhash64(F.lit(cfg.seed), F.lit(r), "id"), F.lit(1 << 30)) / float(1 << 30) < share / 2 * (1 + F.lit(r % 2))).select("id", "wish")
         new = settle(now.join(taken, "id", "left").select("id", F.coalesce("wish", "block").alias("block")))
-        if graph.block_table(new, nodes, k).agg(F.max("load")).first()[0] > max(cap, max(loads.values(), default=0)):
+        then = loads_of(new)
+        if max(then.values(), default=0) > max(cap, max(loads.values(), default=0)):
             continue
         if moves.isEmpty():
             break
-        now = new
+        now, loads = new, then
     return now

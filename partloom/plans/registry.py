@@ -14,10 +14,11 @@ from .config import PartitionConfig
 
 @dataclass(frozen=True)
 class Algorithm:
-    """run(edges, nodes, cfg) -> assignment; evaluate(assignment, edges, nodes, cfg) -> one row of metrics."""
+    """run(edges, nodes, cfg) -> assignment; evaluate(assignment, edges, nodes, cfg) -> one row of metrics. A ``progressive`` one takes a folder too, in which blocks appear batch by batch."""
 
-    run: Callable[[DataFrame, DataFrame, PartitionConfig], DataFrame]
+    run: Callable[..., DataFrame]
     evaluate: Callable[[DataFrame, DataFrame, DataFrame, PartitionConfig], DataFrame]
+    progressive: bool = False
 
 
 def evaluate_nodes(assign: DataFrame, edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
@@ -46,7 +47,8 @@ def create(mode: str) -> Algorithm:
 
 
 register("node", Algorithm(node.partition, evaluate_nodes))
-register("node_batched", Algorithm(node.partition_batched, evaluate_nodes))
+register("node_batched", Algorithm(node.partition_batched, evaluate_nodes, True))
 register("node_distributed", Algorithm(node.partition_distributed, evaluate_nodes))
 register("node_bisected", Algorithm(node.partition_bisected, evaluate_nodes))
 register("edge", Algorithm(edge.partition, evaluate_edges))
+register("edge_batched", Algorithm(edge.partition_batched, evaluate_edges, True))

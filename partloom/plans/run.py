@@ -52,23 +52,25 @@ def summary(log: DataFrame) -> DataFrame:
     return log.select(F.col("graph.filename").alias("graph"), "graph.num_nodes", "graph.num_edges", "config.k", "metrics.edge_cut", F.when(ratio.isNull(), "n/a").otherwise(six(ratio)).alias("cut_ratio"), "metrics.vertex_cut", "metrics.replicas", F.when(F.col("metrics.replication_factor").isNull(), "n/a").otherwise(six(F.col("metrics.replication_factor"))).alias("replication_factor"), F.when(F.col("metrics.balance").isNull(), "n/a").otherwise(six(F.col("metrics.balance"))).alias("balance"), six(F.col("runtime.total")).alias("total_s"), "memory.max_rss")
 
 
-def run_file(spark: SparkSession, path: str, mode: str, cfg: PartitionConfig, output: str | None = None, log_folder: str | None = None, evaluate: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(assignment, log) of a graph file."""
+def run_file(spark: SparkSession, path: str, mode: str, cfg: PartitionConfig, output: str | None = None, log_folder: str | None = None, evaluate: bool = True, progress: str | None = None, log_format: str = "json") -> tuple[DataFrame, DataFrame]:
+    """(assignment, log) of a graph file. ``progress`` is a folder to which a batched mode writes the blocks of each batch as soon as it is solved; the log is text (json) or binary (parquet)."""
     begun = time.perf_counter()
-    edges, nodes, header = metis.read_graph(spark, path)
+    edges, nodes, header = metis.read_graph(spark, path, places=True)
     edges, nodes = edges.cache(), nodes.cache()
     read = time.perf_counter()
     algorithm = registry.create(mode)
-    assign = algorithm.run(edges, nodes, cfg).cache()
+    if progress and not algorithm.progressive:
+        raise ValueError(f"{mode} solves the graph in one go and has no progress to write")
+    assign = algorithm.run(edges, nodes, cfg, **({"folder": progress} if progress else {})).cache()
     assign.count()
     solved = time.perf_counter()
     measured = algorithm.evaluate(assign, edges, nodes, cfg).first().asDict() if evaluate else {}
     if output:
-        sinks.write_partition(assign, output, "edge_id" if mode == "edge" else "id")
+        sinks.write_partition(assign, output, "edge_id" if mode.startswith("edge") else "id")
     end = time.perf_counter()
     log = log_row(spark, base_name(path), header["nodes"], header["edges"], cfg, {"io": read - begun, "partition": solved - read, "postprocess": end - solved, "total": end - begun}, measured)
     if log_folder:
-        log.write.mode("overwrite").json(f"{log_folder}/{log_name(path, cfg)}")
+        log.write.mode("overwrite").format(log_format).save(f"{log_folder}/{log_name(path, cfg)}")
     return assign, log
 
 

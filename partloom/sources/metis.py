@@ -1,6 +1,7 @@
 """METIS adjacency text, coordinate matrices, partition and vector files.
 
-Lines are numbered without a global sort: a line's place is (start of its file split, place within the split), and counts per split, one row each, give the rest.
+Lines are numbered without a global sort: a line's place is (file, start of its split, place within the split), and counts per split, one row each, give the rest.
+The parts of a folder follow each other by their part numbers, other files by name.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ def check_input(path: str) -> None:
 def numbered_lines(spark: SparkSession, path: str, comment: str | None = "%") -> DataFrame:
     """line (from 0, comments not counted), value."""
     check_input(path)
-    lines = spark.read.text(path).select("value", F.col("_metadata.file_block_start").alias("split"), F.monotonically_increasing_id().alias("place"))
+    part = F.regexp_extract(F.col("_metadata.file_name"), "part-([0-9]+)", 1).try_cast("bigint")
+    split = F.struct(F.coalesce(part, F.lit(-1)).alias("part"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    lines = spark.read.text(path).select("value", split.alias("split"), F.monotonically_increasing_id().alias("place"))
     lines = lines.withColumn("value", F.regexp_replace("value", "\r$", ""))
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
@@ -77,15 +80,15 @@ def read_adjacency(spark: SparkSession, path: str) -> DataFrame:
     return adj.withColumn("nbrs", F.when(loop, F.raise_error(F.lit("the graph has a self-loop"))).otherwise(F.col("nbrs")))
 
 
-def read_graph(spark: SparkSession, path: str, validate: bool = False) -> tuple[DataFrame, DataFrame, dict]:
-    """(edges, nodes, header) of a text or binary file; ``validate`` holds the counts against the header."""
+def read_graph(spark: SparkSession, path: str, validate: bool = False, places: bool = False) -> tuple[DataFrame, DataFrame, dict]:
+    """(edges, nodes, header) of a text or binary file; ``validate`` holds the counts against the header, ``places`` keeps the order of the lists of a text file (binary ones are sorted)."""
     header = read_header(spark, path)
     if header["binary"]:
         from .binary_graph import read_graph as binary
 
         edges, nodes = binary(spark, path)
     else:
-        edges, nodes = graph.from_adjacency(read_adjacency(spark, path))
+        edges, nodes = graph.from_adjacency(read_adjacency(spark, path), places)
     if validate:
         n, m = nodes.count(), edges.count()
         if n != header["nodes"] or m != 2 * header["edges"]:

@@ -1,6 +1,6 @@
 """Writers: one value per line in id order, METIS and hypergraph text, appended progress, snapshots.
 
-A file of lines is written as range-sorted parts, whose names follow the order; ``single`` asks for one part.
+A file of lines is written as range-sorted parts, whose numbers follow the order; ``single`` asks for one part, which one task writes.
 """
 
 from __future__ import annotations
@@ -9,17 +9,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _lines(df: DataFrame, order: list[str], path: str, single: bool = True) -> None:
+def _lines(df: DataFrame, order: list[str], path: str, single: bool = False) -> None:
     out = df.orderBy(*order)
     (out.coalesce(1) if single else out).select("value").write.mode("overwrite").text(path)
 
 
-def write_partition(assign: DataFrame, path: str, id_col: str = "id", single: bool = True) -> None:
+def write_partition(assign: DataFrame, path: str, id_col: str = "id", single: bool = False) -> None:
     """Block per line in order of ids."""
     _lines(assign.select(F.col(id_col).alias("i"), F.col("block").cast("string").alias("value")), ["i"], path, single)
 
 
-def write_vector(values: DataFrame, path: str, single: bool = True) -> None:
+def write_vector(values: DataFrame, path: str, single: bool = False) -> None:
     _lines(values.select(F.col("id").alias("i"), F.col("value").cast("string").alias("value")), ["i"], path, single)
 
 

@@ -16,12 +16,11 @@ def _shifted(parts: DataFrame) -> int:
 
 
 def part_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Parts and suppliers, an edge for every pair in lineitem, weight the number of its lines."""
+    """Parts and suppliers, an edge for every pair in lineitem, weight the number of its lines; a part weighs its size, a supplier its nation's number plus one."""
     part, supplier = _read(spark, sf_dir, "part"), _read(spark, sf_dir, "supplier")
     shift = _shifted(part)
     u = _read(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("u"), (F.col("l_suppkey") + shift).alias("v")).agg(F.count(F.lit(1)).alias("weight"))
-    nodes = part.select(F.col("p_partkey").alias("node_id")).unionAll(supplier.select((F.col("s_suppkey") + shift).alias("node_id")))
-    return u, nodes.withColumn("weight", F.lit(1).cast("long"))
+    return u, part.select(F.col("p_partkey").alias("node_id"), F.col("p_size").cast("long").alias("weight")).unionAll(supplier.select((F.col("s_suppkey") + shift).alias("node_id"), (F.col("s_nationkey") + 1).cast("long").alias("weight")))
 
 
 def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -33,9 +32,10 @@ def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return u, nodes.withColumn("weight", F.lit(1).cast("long"))
 
 
-def supplier_supplier(spark: SparkSession, sf_dir: str, shared: int = 140) -> tuple[DataFrame, DataFrame]:
-    """Suppliers with at least ``shared`` parts in common."""
+def supplier_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Suppliers with more parts in common than an average pair that has any."""
     pairs = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
     other = pairs.select("l_partkey", F.col("l_suppkey").alias("v"))
-    u = pairs.join(other, "l_partkey").where("l_suppkey < v").groupBy(F.col("l_suppkey").alias("u"), "v").agg(F.count(F.lit(1)).alias("weight")).where(F.col("weight") >= shared)
+    u = pairs.join(other, "l_partkey").where("l_suppkey < v").groupBy(F.col("l_suppkey").alias("u"), "v").agg(F.count(F.lit(1)).alias("weight"))
+    u = u.join(u.agg(F.avg("weight").alias("mean"))).where("weight > mean").select("u", "v", "weight")  # one row on the right
     return u, _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(1).cast("long").alias("weight"))

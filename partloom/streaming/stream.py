@@ -1,6 +1,6 @@
 """Structured Streaming forms of the node stream.
 
-* ``AdjacencyStream`` is a bounded source of adjacency lines in order: an offset is a line number, a trigger takes ``batch`` lines.
+* ``AdjacencyStream`` is a bounded source of adjacency lines in order: an offset is a line number and its place in the file, a trigger takes ``batch`` lines from there.
 * ``run_batches`` solves each micro-batch as one plain batch with what earlier epochs assigned. An epoch owns a folder that it overwrites, so a repeated epoch is harmless.
 * ``one_pass`` is the one-pass assignment as a stateful operator with a single key: loads and assignments are its state. The single key is what the order of the stream means; use
   ``plans.node.partition_distributed`` where that order doesn't matter.
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
@@ -34,26 +35,36 @@ class AdjacencyReader(SimpleDataSourceStreamReader):
         self.path, self.batch = options["path"], int(options.get("batch", 1024))
 
     def initialOffset(self) -> dict:
-        return {"line": 0}
-
-    def _lines(self, lo: int, hi: int) -> Iterator[tuple]:
-        with open(self.path) as f:
-            n = -2
-            for line in f:
-                if line.startswith("%"):
-                    continue
-                n += 1
-                if n >= hi:
+        return {"line": 0, "byte": 0}
+
+    def _lines(self, start: dict, hi: int) -> Iterator[tuple]:
+        """(line, targets, place behind it) from an offset on. Place 0 is before the header."""
+        fs, name = pafs.FileSystem.from_uri(self.path if "://" in self.path else f"file://{self.path}")
+        with fs.open_input_file(name) as f:
+            f.seek(start["byte"])
+            at, n, rest = start["byte"], start["line"] - (start["byte"] == 0), b""
+            while n < hi:
+                chunk = f.read(1 << 20)
+                lines = (rest + chunk).split(b"\n")
+                rest = lines.pop() if chunk else b""
+                for line in lines if chunk else [x for x in lines if x]:
+                    at += len(line) + 1
+                    if line.startswith(b"%"):
+                        continue
+                    if n >= start["line"]:
+                        yield n, [int(x) - 1 for x in line.split()], at
+                    n += 1
+                    if n >= hi:
+                        return
+                if not chunk:
                     return
-                if n >= lo:
-                    yield n, [int(x) - 1 for x in line.split()]
 
     def read(self, start: dict) -> tuple[Iterator[tuple], dict]:
-        rows = [(n, t) for n, t in self._lines(start["line"], start["line"] + self.batch)]
-        return iter(rows), {"line": start["line"] + len(rows)}
+        rows = list(self._lines(start, start["line"] + self.batch))
+        return iter([r[:2] for r in rows]), {"line": start["line"] + len(rows), "byte": rows[-1][2]} if rows else start
 
     def readBetweenOffsets(self, start: dict, end: dict) -> Iterator[tuple]:
-        return self._lines(start["line"], end["line"])
+        return (r[:2] for r in self._lines(start, end["line"]))
 
     def commit(self, end: dict) -> None:
         pass
@@ -88,7 +99,7 @@ def solve_epoch(adj: DataFrame, epoch: int, cfg: PartitionConfig, n: int, m: int
     local = arcs.where((F.col("dst") >= lo) & (F.col("dst") < F.col("src"))).select((F.col("src") - lo).alias("a"), (F.col("dst") - lo).alias("b"), F.lit(1).cast("long").alias("w"))
     load = np.zeros(k, np.int64)
     if epoch:
-        past = spark.read.parquet(*[f"{folder}/epoch={e}" for e in range(epoch)])
+        past = spark.read.schema("id long, block int, epoch int").parquet(folder).where(f"epoch < {epoch}")
         for r in past.groupBy("block").count().collect():  # k rows
             load[r["block"]] = r["count"]
         anchored = arcs.where(F.col("dst") < lo).join(past.select(F.col("id").alias("dst"), "block"), "dst").groupBy("src", "block").count()
@@ -129,15 +140,21 @@ class OnePass(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         load = list(self.loads.get()[0]) if self.loads.exists() else [0] * self.k
         pdf = pd.concat(list(rows)).sort_values("node_id")
+        here = set(pdf["node_id"].tolist())
+        known = {}  # each earlier neighbour is looked up once
+        for t in {int(t) for v, targets in zip(pdf["node_id"], pdf["targets"], strict=True) for t in targets if t < v} - here:
+            if self.blocks.containsKey((t,)):
+                known[t] = self.blocks.getValue((t,))[0]
         out = []
         for v, targets in zip(pdf["node_id"].tolist(), pdf["targets"].tolist(), strict=True):
             gain = [0.0] * self.k
             for t in targets:
-                if t < v and self.blocks.containsKey((int(t),)):
-                    gain[self.blocks.getValue((int(t),))[0]] += 1
+                if t < v and int(t) in known:
+                    gain[known[int(t)]] += 1
             free = [b for b in range(self.k) if load[b] < self.cap] or [0]
             block = min(free, key=lambda b: (-(gain[b] - self.ag * math.sqrt(load[b])), b))  # noqa: B023
             load[block] += 1
+            known[v] = block
             self.blocks.updateValue((v,), (block,))
             out.append((v, block))
         self.loads.update((load,))

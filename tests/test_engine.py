@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from partloom.kernel import batches, buffer, edges, fennel, matching
 from partloom.kernel.csr import from_arcs
@@ -160,13 +161,13 @@ def test_edge_order_and_links_equal_the_relations(spark):
     pairs = random_graph(40, 120, 5)
     g, (e, _) = from_arcs(40, *zip(*pairs, strict=True)), to_frames(spark, 40, pairs)
     ids = graph.edge_ids(graph.once(e), 16)
-    u, v, batch = edges.stream_order(g, 16)
+    u, v, batch, pu, pv = edges.stream_order(g, 16)
     assert [(r["u"], r["v"], r["batch"]) for r in ids.orderBy("edge_id").collect()] == list(zip(u.tolist(), v.tolist(), batch.tolist(), strict=True))
     want = sorted((r["lo"], r["hi"], r["weight"]) for r in graph.split_links(ids).collect())
     got: dict = {}
     for b in set(batch.tolist()):
         at = np.flatnonzero(batch == b)
-        for x, y in zip(*(z.tolist() for z in edges.links(u[at], v[at], int(at[0]))), strict=True):
+        for x, y in zip(*(z.tolist() for z in edges.links(u[at], v[at], pu[at], pv[at], int(at[0]))), strict=True):
             key = (min(x, y), max(x, y))
             got[key] = got.get(key, 0) + 1
     assert sorted((*k, w) for k, w in got.items()) == want
@@ -421,3 +422,139 @@ def test_isolated_vertices_wait_for_any_partner():
     s = Solver(2, 90, 0.3, anchors=False, cluster_factor=9)
     label = s.cluster(g, None)
     assert label[100] == label[0] and label[101] == label[1]
+
+
+def test_files_of_many_parts_keep_their_ids(spark, tmp_path):
+    rng = random.Random(3)
+    want = [rng.randrange(9) for _ in range(5000)]
+    a = spark.createDataFrame(list(enumerate(want)), "id long, block int").repartition(7)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sinks.write_partition(a, f"{tmp_path}/part")
+        sinks.write_vector(a.select("id", F.col("block").cast("double").alias("value")), f"{tmp_path}/vector")
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(list((tmp_path / "part").glob("part-*"))) > 1
+    got, k = metis.read_partition(spark, f"{tmp_path}/part")
+    assert blocks(got) == want and k == 9
+    assert [r["value"] for r in metis.read_vector(spark, f"{tmp_path}/vector").orderBy("id").collect()] == want
+
+
+def shuffled_lists(n, pairs, seed):
+    """Arcs (src, dst, place) whose lists are in no order."""
+    rng, lists = random.Random(seed), [[] for _ in range(n)]
+    for a, b in pairs:
+        lists[a].append(b), lists[b].append(a)
+    for x in lists:
+        rng.shuffle(x)
+    return [(v, t, i) for v, x in enumerate(lists) for i, t in enumerate(x)]
+
+
+def stream_by_hand(n, arcs, size):
+    """Edges in stream order and the links around their ends, by reading the lists as a stream does."""
+    lists = [[] for _ in range(n)]
+    for v, t, _ in arcs:
+        lists[v].append(t)
+    out, found = [], []
+    for lo in range(0, n, size):
+        hi, around, ids = min(n, lo + size), {}, {}
+        for v in range(lo, hi):
+            for t in lists[v]:
+                if t < lo or v < t < hi:
+                    ids[frozenset((v, t))] = len(out)
+                    out.append((min(v, t), max(v, t), lo // size))
+                if t < hi:
+                    around.setdefault(v, []).append(t)
+                if t < lo:
+                    around.setdefault(t, []).append(v)
+        for x, ts in around.items():
+            e = [ids[frozenset((x, t))] for t in ts]
+            found += [tuple(sorted((e[i], e[(i + 1) % len(e)]))) for i in range(len(e) if len(e) > 2 else len(e) - 1)]
+    return out, sorted(found)
+
+
+def test_edge_order_follows_the_lists(spark):
+    arcs = shuffled_lists(40, random_graph(40, 130, 8), 4)
+    src, dst, place = zip(*arcs, strict=True)
+    g = from_arcs(40, src, dst, both=False, place=place)
+    want, linked = stream_by_hand(40, arcs, 16)
+    u, v, batch, pu, pv = edges.stream_order(g, 16)
+    assert list(zip(u.tolist(), v.tolist(), batch.tolist(), strict=True)) == want
+    got = []
+    for b in set(batch.tolist()):
+        at = np.flatnonzero(batch == b)
+        got += [tuple(sorted(x)) for x in zip(*(z.tolist() for z in edges.links(u[at], v[at], pu[at], pv[at], int(at[0]))), strict=True)]
+    assert sorted(got) == linked
+    e = spark.createDataFrame([(a, b, 1, i) for a, b, i in arcs], "src long, dst long, weight long, place int")
+    ids = graph.edge_ids(graph.placed_pairs(e), 16)
+    assert [(r["u"], r["v"], r["batch"]) for r in ids.orderBy("edge_id").collect()] == want
+    assert sorted((r["lo"], r["hi"]) for r in graph.split_links(ids).collect() for _ in range(r["weight"])) == linked
+
+
+@pytest.mark.parametrize("options", [dict(), dict(passes=2), dict(minimal_mode=False), dict(minimal_mode=False, past_subset_size=1), dict(batch_alpha=False, dynamic_alpha=True)])
+def test_batched_edges_equal_the_stream(spark, options):
+    arcs = shuffled_lists(50, random_graph(50, 170, 6), 2)
+    e = spark.createDataFrame([(a, b, 1, i) for a, b, i in arcs], "src long, dst long, weight long, place int")
+    n, cfg = spark.range(50).select(F.col("id").alias("node_id"), F.lit(1).cast("long").alias("weight")), PartitionConfig(k=3, batch_size=16, **options)
+    rows = lambda df: [tuple(r) for r in df.select("edge_id", "u", "v", "block").orderBy("edge_id").collect()]
+    assert rows(edge.partition_batched(e, n, cfg)) == rows(edge.partition(e, n, cfg))
+
+
+@pytest.mark.parametrize("options", [dict(balance_edges=True), dict(model_ghosts=True), dict(model_ghosts=True, passes=2)])
+def test_batched_nodes_equal_the_stream(spark, options, tmp_path):
+    rng = random.Random(5)
+    pairs = random_graph(60, 200, 11)
+    w = {p: rng.randint(1, 4) for p in pairs}
+    e = spark.createDataFrame([(a, b, w[p]) for p in pairs for a, b in (p, p[::-1])], "src long, dst long, weight long")
+    n, cfg = spark.createDataFrame([(v, rng.randint(1, 3)) for v in range(60)], "node_id long, weight long"), PartitionConfig(k=3, batch_size=16, **options)
+    assert blocks(node.partition_batched(e, n, cfg, f"{tmp_path}/run")) == blocks(node.partition(e, n, cfg))
+    assert spark.read.parquet(f"{tmp_path}/run/assigned").where("pass = 0").count() == 60  # the progress of the run
+
+
+def test_surrounded_vertices_are_placed_at_once():
+    pairs = [(a, b) for a in range(12) for b in range(a) if a // 6 == b // 6] + [(0, 6)]
+    g = from_arcs(12, *zip(*pairs, strict=True))
+    for size in (1, 4):
+        cfg = PartitionConfig(k=2, batch_size=size, buffer_size=5, place_surrounded=True)
+        b = node.run_kernel(g, cfg)
+        assert b.min() >= 0 and np.bincount(b, minlength=2).max() <= capacity(12, 2, cfg.imbalance, True)
+    stream_ = buffer.Stream(g.rows()[0], PartitionConfig(k=2, batch_size=1, buffer_size=12, place_surrounded=True), 0.5, [9.0], lambda *_: 9.0)
+    placed = []
+    commit = stream_.commit
+    stream_.commit = lambda v, b, spread=True: (placed.append(v), commit(v, b, spread))
+    stream_.first_pass(1)
+    assert sorted(placed) == list(range(12)) and len(stream_.queue) == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(2, 7), st.lists(st.tuples(st.integers(0, 6), st.integers(0, 6), st.integers(0, 9)), max_size=24))
+def test_max_flow_equals_the_least_cut(n, arcs):
+    arcs = [(a % n, b % n, c) for a, b, c in arcs if a % n != b % n]
+    f = connectivity.FlowNetwork(n)
+    for a in arcs:
+        f.add(*a)
+    cut = lambda side: sum(c for a, b, c in arcs if a in side and b not in side)
+    best = min(cut({0, *(v for v in range(1, n - 1) if mask >> v & 1)}) for mask in range(1 << n))
+    value, side = f.solve(0, n - 1)
+    assert value == best == cut(set(side)) and 0 in side and n - 1 not in side
+
+
+def test_a_cluster_needs_a_shared_folder(monkeypatch):
+    from types import SimpleNamespace
+
+    from partloom.functions import tables as shared
+
+    there = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://far:7077")
+    with pytest.raises(ValueError, match="share"):
+        shared.shared_dir(SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: None), sparkContext=there))
+
+
+def test_stream_goes_on_from_its_place(tmp_path):
+    path = tmp_path / "g.metis"
+    path.write_text("% a comment\n4 3\n2\n1 3\n% another\n2 4\n\n3")
+    r = stream.AdjacencyReader({"path": str(path), "batch": "2"})
+    a, at = r.read(r.initialOffset())
+    b, end = r.read(at)
+    c, last = r.read(end)
+    assert (list(a), list(b), list(c), last["line"]) == ([(0, [1]), (1, [0, 2])], [(2, [1, 3]), (3, [])], [(4, [2])], 5)
+    assert list(r.readBetweenOffsets(at, end)) == [(2, [1, 3]), (3, [])] and r.read(last)[1] == last
