@@ -10,24 +10,34 @@ from pyspark.sql import functions as F
 from ..functions.tables import settle
 
 
+def _pointed(sym: DataFrame) -> DataFrame:
+    """src, dst, m with m the least of src and its neighbours; both join sides are dealt anew, so that a hot vertex's side can be split."""
+    least = sym.groupBy("src").agg(F.min("dst").alias("m")).select(F.struct("src").alias("k"), F.least("src", "m").alias("m"))
+    return sym.withColumn("k", F.struct("src")).join(least, "k").drop("k")
+
+
 def components(edges: DataFrame, a: str = "u", b: str = "v") -> DataFrame:
-    """node_id, component (its least vertex) of every vertex with an edge, by least neighbours and pointer jumping.
+    """node_id, component (its least vertex) of every vertex with an edge to another, by alternating large-star and small-star steps. Ids may be of any ordered type; rows with a null end are ignored.
 
-    In each round a vertex takes the least label next to it, and then that label's own label, so paths shrink by halves.
+    Each round halves long paths at least; stars end in two.  Rounds write their edges to the shared folder and let go of the shuffle files of the round before.
     """
-    sym = edges.select(F.explode(F.array(F.struct(F.col(a).alias("x"), F.col(b).alias("y")), F.struct(F.col(b).alias("x"), F.col(a).alias("y")))).alias("e")).select(F.col("e.x").alias("x"), F.col("e.y").alias("y")).where("x <> y").distinct()
-    sym = settle(sym)
-    label = settle(sym.groupBy(F.col("x").alias("node_id")).agg(F.min("y").alias("m")).select("node_id", F.least("node_id", "m").alias("component")))
+    ends = edges.select(F.col(a).alias("src"), F.col(b).alias("dst")).where("src is not null and dst is not null")
+    now = settle(ends.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).where("src <> dst").distinct())
+    mark = None
     while True:
-        near = sym.join(label.select(F.col("node_id").alias("y"), F.col("component").alias("c")), "y").groupBy(F.col("x").alias("node_id")).agg(F.min("c").alias("c"))
-        lower = label.join(near, "node_id").select("node_id", F.col("component").alias("old"), F.least("component", "c").alias("component"))
-        up = label.select(F.col("node_id").alias("component"), F.col("component").alias("upper"))
-        jumped = lower.join(up, "component", "left").select("node_id", "old", F.least("component", F.coalesce("upper", "component")).alias("component"))
-        jumped = settle(jumped)
-        changed = not jumped.where("component <> old").isEmpty()
-        label = jumped.select("node_id", "component")
-        if not changed:
-            return label
+        # Large star: what is greater than a vertex points at the least of its surroundings.
+        both = F.explode(F.array(F.struct(F.col("src").alias("x"), F.col("dst").alias("y")), F.struct(F.col("dst").alias("x"), F.col("src").alias("y")))).alias("e")
+        sym = now.select(both).select(F.col("e.x").alias("src"), F.col("e.y").alias("dst"))
+        large = _pointed(sym).where("dst > src").select(F.col("dst").alias("src"), F.col("m").alias("dst")).where("src <> dst")
+        # Small star: a vertex and what it points at point at the least of these.
+        small = _pointed(large).select(F.explode(F.array("src", "dst")).alias("x"), "m").where("x <> m").select(F.col("x").alias("src"), F.col("m").alias("dst")).distinct()
+        now = settle(small)
+        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)"))).first()
+        if state == mark:
+            break
+        mark = state
+    roots = now.select(F.col("src").alias("node_id"), F.col("dst").alias("component"))
+    return roots.unionByName(now.select(F.col("dst").alias("node_id"), F.col("dst").alias("component")).distinct())
 
 
 def strong_components(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -130,8 +140,7 @@ class FlowNetwork:
     def solve(self, s: int, t: int) -> tuple[int, list[int]]:
         """(value, source side of a least cut)."""
         n = self.n
-        excess, turn = [0] * n, [0] * n
-        height = self._distances(t, s)
+        excess, turn, active, waits = [0] * n, [0] * n, deque(), [False] * n
 
         def levels() -> list[int]:
             out = [0] * (2 * n + 2)
@@ -139,8 +148,6 @@ class FlowNetwork:
                 out[h] += 1
             return out
 
-        level, active, waits = levels(), deque(), [False] * n
-
         def push(e: int, x: int, amount: int) -> None:
             y = self.to[e]
             self.cap[e] -= amount
@@ -154,7 +161,8 @@ class FlowNetwork:
         for e in self.at[s]:
             if self.cap[e] > 0:
                 push(e, s, self.cap[e])
-        lifted = 0
+        height = self._distances(t, s)
+        level, lifted = levels(), 0
         while active:
             x = active.popleft()
             waits[x] = False
