@@ -2,45 +2,18 @@
 
 from __future__ import annotations
 
-import gc
 import os
-import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import new_folder, remove_folder, settle, shared_dir  # noqa: F401
+
 #: The white space of every word rule here: space and U+0009 to U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD_RE = r"[^\x20\x09-\x0D]+"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is set (local tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="partloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of a narrow table: its rows are written to the shared folder, so lost executors cost nothing."""
-    spark = df.sparkSession
-    shared_dir(spark)
-    kept = df.checkpoint(eager=True)
-    # A checkpoint keeps its origin's size estimate and constraints. In a loop of joins these multiply every round until the driver's memory is full;
-    # a frame over the same checkpointed rows starts without them, and adaptive execution goes by the real sizes.
-    rows = spark._jsparkSession.internalCreateDataFrame(kept._jdf.queryExecution().toRdd(), kept._jdf.schema(), False)
-    out = DataFrame(rows, spark)
-    del df, kept
-    # Shuffle files go when the driver's garbage is collected; in a loop of small jobs that would come too late.
-    gc.collect()
-    spark._jvm.System.gc()
-    return out
-
-
 def let(value: Column, body) -> Column:
     """Bind a costly column once: ``body`` sees a lambda variable, which the optimizer can't inline again."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.connectivity import components
 from ._common import settle, shuffle_partitions, text_of
-from .components import components
 
 SHINGLE = 5
 CHUNK = 1024
@@ -283,7 +283,7 @@ def _verified(docs: DataFrame, members: DataFrame, stars: DataFrame, id_col: str
     if not large.isEmpty():
         held = settle(_full_sets(docs, large, id_col, text_col))
         first = settle(_star_links(held, stars, numerator, denominator, chunk))
-        roots = components(first).select(F.col("node").alias("x"), "root")
+        roots = components(first, "a", "b").select(F.col("node_id").alias("x"), F.col("component").alias("root"))
         parts = large.select("node", "cluster").distinct().join(roots, F.col("node") == F.col("x"), "left").select("node", "cluster", F.coalesce("root", "node").alias("part"))
         parts = settle(parts)
         by_part = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
@@ -334,9 +334,9 @@ def near_groups(
     classes = settle(classes)
     stars = settle(candidate_stars(classes))
     clusters = components(stars, "node", "star")
-    members = clusters.select("node", F.col("root").alias("cluster")).join(classes.select("node", "id"), "node")
+    members = clusters.select(F.col("node_id").alias("node"), F.col("component").alias("cluster")).join(classes.select("node", "id"), "node")
     links = settle(_verified(docs, members, stars, id_col, text_col, numerator, denominator, chunk))
-    roots = components(links, "a", "b").select("node", "root")
+    roots = components(links, "a", "b").select(F.col("node_id").alias("node"), F.col("component").alias("root"))
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     labels = settle(labels)
     least = labels.groupBy("root").agg(F.min("id").alias("component_id")).select(F.struct("root").alias("k"), "component_id")

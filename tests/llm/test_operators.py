@@ -15,7 +15,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from partloom.llm import bpe, components, exact_dedup, html_text, langid, mixing, near_dedup, pii, quality, secrets, token_files
+from partloom.operators import connectivity
+from partloom.llm import bpe, exact_dedup, html_text, langid, mixing, near_dedup, pii, quality, secrets, token_files
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, id string, k string, size int, block string, label double, row_id int"
 WORDS = "the of and to in a is that house tree water green long stone river cloud paper light small great".split()
@@ -392,9 +393,9 @@ def test_components(spark):
         if a is not None and b is not None:
             x, y = find(a), find(b)
             up[max(x, y)] = min(x, y)
-    got = {r["node"]: r["root"] for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r["node_id"]: r["component"] for r in connectivity.components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert all(got.get(x, x) == find(x) for x in up) and len(got) >= len({x for e in edges if None not in e and e[0] != e[1] for x in e})
-    assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
+    assert connectivity.components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
 # -- 8 ------------------------------------------------------------------------------------------------------------
