@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
+import math
 import random
 import re
 import zlib
@@ -143,23 +145,73 @@ def test_secrets_places_beyond_a_block(spark):
     assert [tuple(x) for x in row["base"]] == want and min(Counter(x[1] for x in want).values()) > 2 * secrets.SPAN_BLOCK
 
 
-def test_secrets_chi_squared_by_encoding(spark):
-    rng = random.Random(5)
-    tokens = ["".join(rng.choice(a) for _ in range(n)) for a, n in (("0123456789ABCDEF", 64), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 52), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/", 44))]
-    got = spark.createDataFrame([(t,) for t in tokens], "t string").select("t", secrets.battery(F.col("t")).alias("b")).collect()
-    for r, size in zip(got, (16, 32, 64), strict=True):
-        n, counts = len(r["t"]), Counter(r["t"])
-        assert r["b"]["alphabet"] == size and r["b"]["chi2"] == pytest.approx(sum((c - n / size) ** 2 for c in counts.values()) / (n / size) + (size - len(counts)) * n / size)
-        assert r["b"]["z"] > 3
-
-
-def test_secrets_battery_finds_random_tokens_only(spark):
-    rng = random.Random(2)
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
-    rows = [(i, "see " + "".join(rng.choice(alphabet) for _ in range(48)) + " here") for i in range(20)]
-    rows += [(100 + i, "the " + "".join(rng.choice(WORDS) for _ in range(12)) + " word " + "=" * 40) for i in range(20)]
-    got = {r["doc_id"]: len(r["found"]) for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert sum(got[i] for i in range(20)) >= 18 and sum(got[100 + i] for i in range(20)) == 0
+ALPHABET = {16: "0123456789abcdef", 26: "abcdefghijklmnopqrstuvwxyz", 32: "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", 36: "abcdefghijklmnopqrstuvwxyz0123456789", 62: "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"}
+ALPHABET[52], ALPHABET[64] = ALPHABET[62][:52], ALPHABET[62] + "+/"
+
+
+def battery_by_hand(t, size):
+    """The statistics of one token by loops over its characters."""
+    classes, vowels = secrets.ALPHABETS[size]
+    n, kind = len(t), [0 if c.isdigit() else 3 if c in "+/_-=" else 1 if c.isupper() or size in (16, 26, 32, 36) else 2 for c in t]
+    pairs, same = n * (n - 1) / 2, sum(a == b for a, b in itertools.combinations(t, 2))
+    out = [(pairs / size - same) / math.sqrt(pairs / size * (1 - 1 / size))]
+
+    def switches(flags, shares):
+        rate, two = 1 - sum(p * p for p in shares), 1 - 2 * sum(p * p for p in shares) + sum(p**3 for p in shares)
+        return (sum(a != b for a, b in itertools.pairwise(flags)) - (n - 1) * rate) / math.sqrt((n - 1) * rate * (1 - rate) + 2 * (n - 2) * (two - rate * rate))
+
+    if size == 26:
+        out += [0.0, 0.0]
+    else:
+        free = sum(c > 0 for c in classes) - 1
+        chi = sum((kind.count(k) - n * c / size) ** 2 / (n * c / size) for k, c in enumerate(classes) if c)
+        out += [-((chi / free) ** (1 / 3) - 1 + 2 / (9 * free)) / math.sqrt(2 / (9 * free)), switches(kind, [c / size for c in classes])]
+    out.append(-switches([c in "aeiouAEIOU" for c in t], [vowels / size, 1 - vowels / size]))
+    x = np.array([ord(c) for c in t], float)
+    out.append(-(abs((np.corrcoef(x[1:], x[:-1])[0, 1] + 1 / n) * math.sqrt(n)) - 0.798) / 0.603)
+    return out
+
+
+def test_secrets_battery_equals_brute_force_and_is_uniform_for_random_strings(spark):
+    rng, rows = random.Random(5), []
+    for size, letters in ALPHABET.items():
+        for n in (16, 20, 33, 64):
+            rows += [(size, "".join(rng.choice(letters) for _ in range(n))) for _ in range(250)]
+    got = spark.createDataFrame(rows, "size int, t string").select("size", "t", secrets.battery(F.col("t")).alias("b")).collect()
+    scores = {}
+    for r in got:
+        size, b = r["b"]["encoding"], r["b"]
+        assert [b[f"z_{k}"] for k in ("even", "classes", "runs", "vowels", "serial")] == pytest.approx(battery_by_hand(r["t"], size), abs=1e-6)
+        if size == r["size"]:
+            scores.setdefault(size, []).append(0.5 * math.erfc(-b["z"] / math.sqrt(2)))
+    for size, p in scores.items():
+        p = np.sort(p)
+        assert len(p) > 500 and np.abs(p - (np.arange(len(p)) + 0.5) / len(p)).max() < 0.08, size  # the p-values' distribution function is the diagonal
+
+
+def language_tokens(rng, n):
+    words = "account service handler request response session storage window thread buffer value index config parser module number string object method return global import export client server socket stream".split()
+    w = lambda: rng.choice(words)
+    for _ in range(n):
+        yield rng.choice((
+            lambda: "get" + "".join(w().capitalize() for _ in range(4)) + f"V{rng.randint(1, 99)}", lambda: f"/usr/share/doc/{w()}/{w()}{rng.randint(1, 9)}_{w()}_name", lambda: "".join(w() for _ in range(4)),
+            lambda: "_".join(w() for _ in range(4)).upper(), lambda: str(rng.randrange(10**19, 10**20)), lambda: f"{w()}-{w()}-{w()}-2024-0{rng.randint(1, 9)}",
+        ))()
+
+
+def test_secrets_leave_names_and_paths_alone(spark):
+    rows = [(i, f"see {t} there") for i, t in enumerate(language_tokens(random.Random(8), 3000))]
+    got = secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where(F.exists("found", lambda x: x["k"] == 3)).collect()
+    assert len(got) <= secrets.FDR * len(rows)
+
+
+@pytest.mark.parametrize(("n", "rate"), [(16, 0.5), (20, 0.7), (24, 0.85), (32, 0.93), (48, 0.95)])
+def test_secrets_find_random_keys_among_language(spark, n, rate):
+    rng = random.Random(n)
+    rows = [(i, "key " + "".join(rng.choice(ALPHABET[62]) for _ in range(n)) + " here") for i in range(200)] + [(1000 + i, f"see {t} there") for i, t in enumerate(language_tokens(rng, 600))]
+    found = {r["doc_id"] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("size(found) > 0").collect()}
+    hits, false = sum(i < 1000 for i in found), sum(i >= 1000 for i in found)
+    assert hits >= rate * 200 and false <= max(2, 3 * secrets.FDR * hits), (hits, false)
 
 
 # -- 4 ------------------------------------------------------------------------------------------------------------
