@@ -11,8 +11,9 @@ gives its own largest-sum subtree too, and so on in what that leaves of the bran
 blocks counts as a branch, and headings beside the path belong to it.  Article and main elements choose nothing; they are a weight: a branch that is one or
 lies in one counts up to ``MARKED`` times against the threshold, by the share of its characters outside of links.
 
-Before that, branches that can't be the article are cut: by tag, role and by words of class and id (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments, hidden ones).
+Before that, branches that can't be the article are cut: by tag, role and by class and id (menus, headers, footers, sidebars, notices, adverts, forms,
+reader comments, hidden ones).  A class cuts only if all its words are of that kind (``ad-banner``, not ``post-form``), on a paragraph or heading only if it names an advert or notice; and nothing is cut
+that holds more than half of the page's text outside of links and all its article and main elements, if it has any, so that density has the last word.  Scanning is linear in the length of the page, however broken its tags are.
 """
 
 from __future__ import annotations
@@ -21,13 +22,14 @@ import html as _html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from ._common import text_of
 
-_TAG = re.compile(r"""<(?:!--(?s:.*?)(?:-->|\Z)|!\[CDATA\[(?s:.*?)\]\]>|[!?][^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*?)(/?)>)""")
+_NAME = re.compile(r"(/?)([A-Za-z][^\s/>]*)")
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Fixed values of the HTML standard: elements without content, elements of raw text, elements that end an open paragraph.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -46,6 +48,16 @@ CUT_WORDS = frozenset(
     "widget widgets related recommended recommendations share sharing social follow newsletter subscribe subscription signup login notice notices notification notifications cookie cookies consent gdpr "
     "alert popup modal overlay disclaimer form search comment comments commentlist disqus respond responses replies reply discussion reactions hidden skip".split()
 )
+#: Words that may stand beside those in a class without making it another one.
+BESIDE = frozenset("site page main top bottom left right global primary secondary container wrapper wrap inner outer box block list item items area section bar links link user reader unit slot google dfp mobile desktop js is has u c l o the and more".split())
+#: Words for the article itself; beside one of these only the words after them name clutter (``post-comments``, not ``post-form``).
+OWN = frozenset("post article entry story".split())
+OF_OWN = frozenset("comment comments commentlist disqus nav navigation pagination share sharing social related recommended footer sidebar ad ads newsletter".split())
+#: What cuts a paragraph or heading too.
+CUT_TEXT = frozenset("ad ads advert adverts advertisement advertising sponsored promo promoted cookie cookies consent gdpr notice notification disclaimer copyright breadcrumb breadcrumbs share newsletter hidden".split())
+TEXT_TAGS = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li td dd dt".split())
+#: An article's own header keeps headings, and what has this many words: a standfirst, not a byline.
+STANDFIRST = 8
 #: Weight of article and main elements against the threshold, by the share of text outside of links: their short paragraphs reach it, their lists of links do not.
 MARKED = 32
 _WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
@@ -59,111 +71,198 @@ class Node:
         self.tag, self.attrs, self.up, self.items = tag, attrs, up, []
 
 
+class _Open:
+    """The open elements, with what is needed to answer in constant time whether one of a kind is open below a bound."""
+
+    def __init__(self, root: Node):
+        self.stack, self.counts = [root], {}
+        self.blocks, self.enders = [], [{}]  # open elements of BLOCK; per open element of ENDS_P the inline ones open in it
+
+    def push(self, node: Node) -> None:
+        tag = node.tag
+        self.stack.append(node)
+        self.counts[tag] = self.counts.get(tag, 0) + 1
+        if tag in BLOCK:
+            self.blocks.append(tag)
+        if tag in ENDS_P:
+            self.enders.append({})
+        elif tag in INLINE:
+            self.enders[-1][tag] = self.enders[-1].get(tag, 0) + 1
+
+    def pop(self) -> Node:
+        node = self.stack.pop()
+        tag = node.tag
+        self.counts[tag] -= 1
+        if tag in BLOCK:
+            self.blocks.pop()
+        if tag in ENDS_P:
+            self.enders.pop()
+        elif tag in INLINE:
+            self.enders[-1][tag] -= 1
+        return node
+
+    def close(self, names) -> None:
+        """Close elements up to the first of ``names``, itself included."""
+        while self.pop().tag not in names:
+            pass
+
+    def paragraph(self) -> bool:
+        """Whether a paragraph is open with no other block in it."""
+        return bool(self.blocks) and self.blocks[-1] == "p"
+
+    def within(self, names, bounds) -> bool:
+        if not any(self.counts.get(x) for x in names):
+            return False
+        for node in reversed(self.stack):
+            if node.tag in names:
+                return True
+            if node.tag in bounds:
+                return False
+        return False
+
+
 def parse(page: str) -> Node:
     """The page's tree; its items are nodes and strings, in page order. Tags that don't match are closed where the standard closes them."""
-    root = now = Node("html", "", None)
-    at = 0
-    for m in iter_tags(page):
-        start, end, close, name, attrs, selfclosing = m
+    root = Node("html", "", None)
+    now, at = _Open(root), 0
+    for start, end, close, name, attrs, selfclosing in iter_tags(page):
         if start > at:
-            now.items.append(page[at:start])
+            now.stack[-1].items.append(page[at:start])
         at = end
         if name is None:
             continue
         if close:
-            if name == "p" and not _open(now, {"p"}, BLOCK - {"p"}):
+            if name == "p" and not now.paragraph() or not now.counts.get(name) or name in INLINE and not now.enders[-1].get(name):  # a stray inline end doesn't close blocks
                 continue
-            walker = now
-            while walker is not None and walker.tag != name:
-                if name in INLINE and walker.tag in ENDS_P:  # a stray inline end doesn't close blocks
-                    walker = None
-                    break
-                walker = walker.up
-            if walker is not None and walker.up is not None:
-                now = walker.up
+            now.close((name,))
             continue
-        if name in ("html", "body") and now.up is None:
-            if name == "html":
-                continue
-        if name in ENDS_P and (p := _open(now, {"p"}, BLOCK - {"p"})):
-            now = p.up
-        if name in CLOSES and (x := _open(now, *CLOSES[name])):
-            now = x.up
-        node = Node(name, attrs, now)
-        now.items.append(node)
+        if name == "html" and len(now.stack) == 1:
+            continue
+        if name in ENDS_P and now.paragraph():
+            now.close(("p",))
+        if name in CLOSES and now.within(*CLOSES[name]):
+            now.close(CLOSES[name][0])
+        node = Node(name, attrs, now.stack[-1])
+        now.stack[-1].items.append(node)
         if name not in VOID and not selfclosing and name not in RAW:
-            now = node
+            now.push(node)
     if at < len(page):
-        now.items.append(page[at:])
+        now.stack[-1].items.append(page[at:])
     return root
 
 
 def iter_tags(page: str) -> Iterator[tuple]:
     """(start, end, is end tag, name or None, attributes, closes itself); raw-text elements are one tag with their content."""
-    at = 0
-    while m := _TAG.search(page, at):
-        start, end, name = m.start(), m.end(), m[2]
-        if name is None:
-            yield start, end, False, None, "", False
-        else:
-            name = name.lower()
-            if name in RAW and not m[1] and not m[4]:
-                found = re.compile(rf"</{re.escape(name)}[\s/>][^>]*>?|</{re.escape(name)}>", re.I).search(page, end)
-                if found:
-                    end = found.end()
-                elif name in ("script", "style", "textarea", "title"):
-                    end = len(page)
-            yield start, end, bool(m[1]), name, m[3], bool(m[4])
-        at = end
+    at, last, no_end = 0, page.rfind(">"), set()
+    quotes, plain = {q: page.rfind(q) for q in "\"'"}, False
+    while (start := page.find("<", at)) >= 0:
+        at = start + 1
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4) if last > start else -1
+            at = end + 3 if end >= 0 else len(page)
+            yield start, at, False, None, "", False
+            continue
+        if start > last:  # no tag ends any more; a comment still could
+            if page.find("<!--", start) < 0:
+                return
+            continue
+        if page.startswith("<![CDATA[", start) and "cdata" not in no_end:
+            end = page.find("]]>", start)
+            if end < 0:
+                no_end.add("cdata")
+            else:
+                at = end + 3
+                yield start, at, False, None, "", False
+                continue
+        if page[at : at + 1] in ("!", "?"):
+            at = page.find(">", start) + 1
+            yield start, at, False, None, "", False
+            continue
+        m = _NAME.match(page, at)
+        if m is None:
+            continue
+        end = -1 if plain else _tag_end(page, m.end(), quotes)
+        if end < 0:  # quotes hide all ends from here on: from now on the next one counts, quoted or not
+            plain, end = True, page.find(">", start)
+        attrs, name = page[m.end() : end], m[2].lower()
+        selfclosing, at = attrs.endswith("/"), end + 1
+        if name in RAW and not m[1] and not selfclosing and name not in no_end:
+            found = _raw_end(name).search(page, at)
+            if found:
+                at = found.end()
+            else:
+                no_end.add(name)
+        if name in no_end and name in ("script", "style", "textarea", "title") and not m[1] and not selfclosing:
+            at = len(page)
+        yield start, at, bool(m[1]), name, attrs, selfclosing
+
+
+@lru_cache(maxsize=None)
+def _raw_end(name: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(name)}(?:\s[^>]*|/[^>]*)?>", re.I)
 
 
-def _open(now: Node, names: set, bounds) -> Node | None:
-    while now is not None:
-        if now.tag in names:
-            return now
-        if now.tag in bounds:
-            return None
-        now = now.up
-    return None
+_MARK = re.compile("[>\"']")
+
+
+def _tag_end(page: str, at: int, quotes: dict[str, int]) -> int:
+    """Place of the first > outside of quotes, -1 if there is none; a quote without a second one is an ordinary character."""
+    while m := _MARK.search(page, at):
+        c, at = m[0], m.end()
+        if c == ">":
+            return m.start()
+        if quotes[c] >= at:
+            at = page.find(c, at) + 1
+    return -1
 
 
 def _is_cut(node: Node) -> bool:
     tag = node.tag
     if tag in CUT_TAGS:
         return True
-    if tag in ("html", "body", "article", "main") and not node.attrs:
-        return False
-    if node.attrs:
-        words: set[str] = set()
+    if node.attrs and tag not in ("html", "body"):
         for m in _ATTR.finditer(node.attrs):
             key, value = m[1].lower(), m[2] or m[3] or m[4] or ""
             if key in ("class", "id"):
-                words.update(w.lower() for w in _WORDS.findall(value))
+                if tag not in MARKS and any(_names_clutter(x, tag) for x in value.split()):
+                    return True
             elif key == "role" and value.strip().lower() in CUT_ROLES or key == "hidden" or key == "aria-hidden" and value.lower() == "true" or key == "style" and _HIDDEN.search(value):
-                return tag not in ("html", "body")
-        if words & CUT_WORDS and tag not in ("html", "body", "main") and not (tag == "article" and words & {"post", "article", "entry", "content"}):
-            return True
+                return True
     return False
 
 
-def _prune(node: Node, inside: bool) -> None:
+def _names_clutter(name: str, tag: str) -> bool:
+    """Whether one class or id consists of words for what isn't the article."""
+    words = [w.lower() for w in _WORDS.findall(name) if not w.isdigit()]
+    known = CUT_TEXT if tag in TEXT_TAGS else CUT_WORDS
+    if any(w in OWN for w in words):
+        known, words = known & OF_OWN, [w for w in words if w not in OWN]
+    return any(w in known for w in words) and all(w in known or w in BESIDE for w in words)
+
+
+def _prune(node: Node, inside: bool, half: float, marked: set[int] | None) -> None:
+    """Cut what can't be the article, unless it holds more than ``half`` characters outside of links and, if the page has ``marked`` elements, one of these."""
     kept = []
     for x in node.items:
         if isinstance(x, Node):
-            if x.tag == "header":  # an article's own header is its title
-                if inside:
-                    x.items = [y for y in x.items if isinstance(y, Node) and re.fullmatch("h[1-6]|hgroup", y.tag)]
-                else:
+            bulk = x.tag not in RAW and x.chars - x.link_chars > half and (marked is None or id(x) in marked)
+            if x.tag == "header" and not bulk:  # an article's own header is its title, perhaps with a standfirst
+                if not inside:
                     continue
-            elif _is_cut(x):
+                x.items = [y for y in x.items if isinstance(y, Node) and (re.fullmatch("h[1-6]|hgroup", y.tag) or y.chars - y.link_chars > y.link_chars and len(_text(y).split()) >= STANDFIRST)]
+            elif _is_cut(x) and not bulk:
                 continue
-            elif x.tag == "article" and inside and _open(node, {"article"}, ()) is not None and re.search("comment|reply", x.attrs, re.I):
+            elif x.tag == "article" and inside and not bulk and re.search("comment|reply", x.attrs, re.I):
                 continue
-            _prune(x, inside or x.tag in ("article", "main"))
+            _prune(x, inside or x.tag in MARKS, half, marked)
         kept.append(x)
     node.items = kept
 
 
+def _text(node: Node) -> str:
+    return " ".join(_text(x) if isinstance(x, Node) else x for x in node.items)
+
+
 def _measure(node: Node, in_link: bool) -> None:
     node.chars = node.link_chars = node.link_tags = 0
     node.tags, node.inline = 0, node.tag in RUN
@@ -269,7 +368,14 @@ def extract(page: str) -> str:
         return " ".join(_html.unescape(page).split())
     root = parse(page)
     body = next((x for x in _walk(root) if x.tag == "body"), root)
-    _prune(body, False)
+    _measure(body, False)
+    marked: set[int] = set()  # article and main elements and what they lie in
+    for x in _walk(body):
+        if x.tag in MARKS:
+            while x is not None and id(x) not in marked:
+                marked.add(id(x))
+                x = x.up
+    _prune(body, False, (body.chars - body.link_chars) / 2, marked or None)
     _measure(body, False)
     if not body.chars:
         return ""

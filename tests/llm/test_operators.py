@@ -8,6 +8,7 @@ import itertools
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -518,3 +519,68 @@ def test_html_density_chooses_in_articles_too():
     # Text beside blocks and inside of lines stays whole.
     bare = "Bare text of the article, set without a paragraph around it, <b>but long enough</b> to be read as such."
     assert html_text.extract(f"<body><article>{bare}<br>{bare}<div>{''.join(paragraphs)}</div><p>{bare}</p></article></body>") == words([bare, bare, *paragraphs, bare])
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<noscript>", "<b>", '<a "', "<!--", "<p><b>", "<li>", "<div class='x", "</b></p>", "<script>", "<![CDATA[", "<td>"])
+def test_html_takes_linear_time_on_broken_pages(piece):
+    begun = time.perf_counter()
+    html_text._depth_safe("<body><p>Some words before it all.</p>" + piece * (300_000 // len(piece)))
+    assert time.perf_counter() - begun < 12
+
+
+PROSE = "The river rose in the night and by the morning the lower road was under water. Nobody had expected it so early in the year, and the boats were still in the sheds behind the mill. "
+
+
+def test_html_class_words_alone_do_not_drop_prose():
+    page = (
+        f"<body><nav><ul><li><a href='/a'>Home</a></li><li><a href='/b'>News</a></li></ul></nav><div class='cookie-notice'>We use cookies here.</div><article><header><h1>The flood</h1><p>A standfirst of more than eight words stands in here first.</p><p>By A. Writer</p></header>"
+        f"<div class='post-form'><p>First part. {PROSE}</p></div><section id='search-results-study'><p>Second part. {PROSE}</p></section><p class='responses'>Third part. {PROSE}</p>"
+        f"<div class='ad-banner'><p>Buy boats now.</p></div></article><section class='comments'><p>First! {PROSE}</p></section><footer>Imprint</footer></body>"
+    )
+    got = html_text.extract(page)
+    assert all(x in got for x in ("The flood", "A standfirst", "First part.", "Second part.", "Third part.")) and got.count("rose in the night") == 3
+    assert not any(x in got for x in ("cookies", "Buy boats", "First!", "Imprint", "News", "By A."))
+    # A form around the whole page, or a class on all of it, cuts nothing.
+    for wrap in ("<form action='/'>{}</form>", "<div class='sidebar'>{}</div>", "<aside>{}</aside>"):
+        assert "rose in the night" in html_text.extract("<body>" + wrap.format(f"<div><p>{PROSE}</p><p>{PROSE}</p></div>") + "<nav><a href='/'>Home</a></nav></body>")
+
+
+def density_by_hand(node, c_body, lc_body):
+    """Composite density of every element by the formula, and the path's threshold, on plain nested lists (tag, children)."""
+    tag, kids = node
+    c = sum(len(x.strip()) if isinstance(x, str) else density_by_hand(x, c_body, lc_body)["c"] for x in kids)
+    subs = [density_by_hand(x, c_body, lc_body) for x in kids if not isinstance(x, str)]
+    lc = c if tag == "a" else sum(s["lc"] for s in subs)
+    t, lt = sum(s["t"] + 1 for s in subs), sum(s["lt"] + (s["tag"] == "a") for s in subs)
+    d = 0.0
+    if c:
+        base = math.log(c / max(1, c - lc) * max(1, lc) + lc_body / c_body * c + math.e)
+        d = c / max(1, t) * math.log(max(1 + 1e-9, c / max(1, lc) * max(1, t) / max(1, lt))) / math.log(max(base, 1 + 1e-9)) if base > 0 else 0.0
+    return {"tag": tag, "c": c, "lc": lc, "t": t, "lt": lt, "d": d, "subs": subs}
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.recursive(st.text("abc ", min_size=1, max_size=30), lambda kids: st.tuples(st.sampled_from(["div", "section", "p", "a", "span"]), st.lists(kids, min_size=1, max_size=4)), max_leaves=14))
+def test_html_densities_equal_the_formula(tree):
+    tree = ("body", [tree if isinstance(tree, str) else ("div", [tree])])
+    write = lambda x: x if isinstance(x, str) else f"<{x[0]}>" + "".join(map(write, x[1])) + f"</{x[0]}>"
+
+    def built(x, up=None):
+        node = html_text.Node(x[0], "", up)
+        node.items = [k if isinstance(k, str) else built(k, node) for k in x[1]]
+        return node
+
+    body = built(tree)
+    html_text._measure(body, False)
+    if not body.chars:
+        return
+    html_text._densities(body, body.link_chars / body.chars)
+    want = density_by_hand(tree, body.chars, body.link_chars)
+
+    def same(node, w, in_link):
+        if not in_link:
+            assert (node.chars, node.link_chars, node.tags, node.link_tags) == (w["c"], w["lc"], w["t"], w["lt"]) and node.density == pytest.approx(w["d"])
+        for x, y in zip((k for k in node.items if not isinstance(k, str)), w["subs"], strict=True):
+            same(x, y, in_link or node.tag == "a")
+
+    same(body, want, False)
