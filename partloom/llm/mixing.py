@@ -1,9 +1,8 @@
 """Mixing sources to target weights by Sainte-Laguë apportionment.
 
 Targets come by water-filling: a source gets words in proportion to its weight, but three times its own size at most; what
-is left over is shared again among the others.  The words are dealt in blocks of equal size.  A source's quota of blocks is what the
-method of highest quotients gives it: with the block itself as divisor that is its target over the block, rounded, for the house of
-all quotas together.  Each source is cut into shards of one expected size by a seeded hash, and the shards into about as many groups as a group has shards;
+is left over is shared again among the others.  The words are dealt in blocks of equal size.  The house of all blocks is apportioned to the
+sources by highest quotients, with targets as weights.  Each source is cut into shards of one expected size by a seeded hash, and the shards into about as many groups as a group has shards;
 its quota is apportioned to the groups and theirs to the shards by highest quotients again, with sizes as weights and the quota above as the house.  A shard's documents lie on
 a tape in seeded order; the quota takes the tape's blocks from the start, going round again where it exceeds the tape.
 
@@ -16,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import WORD_RE, settle
+from ._common import WORD_RE, new_folder, settle
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 32
@@ -74,16 +73,17 @@ def sainte_lague(parties: DataFrame, group: list[str], weight: str, house: str,
     return base.join(moved, on, "left").withColumn("seats", F.col("__base") + F.coalesce("__moved", F.lit(0))).select(*parties.columns, "seats")
 
 
-def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """One row per row of ``docs``: id, size, source_size, target and taken (words the mix takes, repeats counted).
+def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 17, weights: tuple[int, ...] = WEIGHTS, block_words: int = BLOCK_WORDS, key: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: id, size, source_size, target and taken (words the mix takes, repeats counted), and the column ``key`` if given.
 
     Null text has size 0 and gives nothing; a null source is a source of its own, last in order; repeated rows each take part.
     No document gives more than three times its size. The same rows and seed give the same result, however they are partitioned.
     """
-    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"))
+    rows = docs.select(docs[id_col].alias("id"), docs[source_col].alias("source"), n_words(docs[text_col]).alias("size"), F.xxhash64(docs[text_col]).alias("text_hash"), *([docs[key].alias("key")] if key else []))
     rows = settle(rows.withColumn("dealt", F.xxhash64(F.lit(seed), F.col("id"), F.col("source"))))
     sources = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights)
-    sources = sources.withColumn("quota", F.floor(F.col("target") / block_words + 0.5).cast("long"))
+    house = F.floor(F.sum("source_size").over(Window.partitionBy(F.lit(0))) / block_words + 0.5).cast("long")
+    sources = sainte_lague(sources.withColumn("house", house), ["house"], "target", "house", ["source"]).withColumnRenamed("seats", "quota")
     n_groups = F.greatest(F.lit(1), F.ceil(F.sqrt(F.ceil(F.col("source_size") / F.lit(float(SHARD_WORDS)))))).cast("long")
     n_shards = n_groups * F.greatest(F.lit(1), F.ceil(F.col("source_size") / F.lit(float(SHARD_WORDS)) / n_groups)).cast("long")
     sources = settle(sources.select(F.col("source").alias("s"), "source_size", "target", "quota", n_groups.alias("n_groups"), n_shards.alias("n_shards")))
@@ -97,25 +97,28 @@ def mix_plan(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     # A shard gives three times its words at most; going round the tape, whole turns count for every document.
     give = F.least(F.col("seats") * block_words, F.col("words") * MAX_REPEAT)
     shards = shards.withColumn("tape", F.greatest(F.lit(1), F.col("words"))).select(F.col("source").alias("s"), F.col("shard").alias("h"), F.floor(give / F.col("tape")).cast("long").alias("turns"), (give % F.col("tape")).cast("long").alias("rest"))
-    tape = Window.partitionBy("source", "shard").orderBy("dealt", "id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    tape = Window.partitionBy("source", "shard").orderBy("dealt", "id", "size", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("before", F.coalesce(F.sum("size").over(tape), F.lit(0)))
     out = placed.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("shard") == F.col("h")))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
     taken = F.when(F.col("size") > 0, F.col("size") * F.coalesce("turns", F.lit(0)) + F.coalesce(part, F.lit(0))).otherwise(F.lit(0))
-    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return out.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.cast("long").alias("taken"), *([F.col("key").alias(key)] if key else []))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mix itself, with the columns of ``docs``: a document is repeated as often as it is taken whole, and one that
-    is taken in part follows with its first words only (one document in a shard at most); what isn't taken goes. Ids are expected to be unique."""
-    plan = mix_plan(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).where("taken > 0")
-    plan = plan.select(F.col(id_col).alias("__id"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    out = docs.join(plan, docs[id_col].eqNullSafe(plan["__id"]))
-    parts = F.transform(F.sequence(F.lit(0), F.ceil(F.col("__taken") / F.col("__size")).cast("int") - 1), lambda i: F.least(F.col("__size"), F.col("__taken") - i * F.col("__size")))
-    out = out.withColumn("__part", F.explode(parts))
-    some = F.array_join(F.slice(F.regexp_extract_all(F.col(text_col), F.lit(WORD_RE), F.lit(0)), 1, F.col("__part").cast("int")), " ")
-    cut = F.when(F.col("__part") < F.col("__size"), some).otherwise(F.col(text_col))
-    changed = {text_col: cut}
-    if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(F.col("__part") < F.col("__size"), F.length(cut).cast(dict(docs.dtypes)["n_chars"])).otherwise(F.col("n_chars"))
-    return out.withColumns(changed).select(*docs.columns)
+    """The mix itself, with the columns of ``docs``: a document is there as often as it is taken, whole each time. One that the plan takes in part (one in a shard at most) is taken whole once more if that part is half of it or
+    more, and not otherwise, so a shard's words are off by half of one document at most. What isn't taken goes; rows that repeat an id each take part.
+
+    The rows are written to the shared folder with a key of their own, by which they meet their plan.
+    """
+    spark, key = docs.sparkSession, "__row"
+    while key in docs.columns:
+        key = f"_{key}"
+    folder = new_folder(spark, "mix")
+    docs.withColumn(key, F.monotonically_increasing_id()).write.parquet(folder)
+    rows = spark.read.parquet(folder)
+    plan = mix_plan(rows, id_col=id_col, text_col=text_col, source_col=source_col, key=key, **options).where("taken > 0")
+    copies = F.floor(F.col("taken") / F.col("size")) + F.when(2 * (F.col("taken") % F.col("size")) >= F.col("size"), 1).otherwise(0)
+    plan = plan.select(F.col(key).alias("__key"), copies.cast("int").alias("__copies")).where("__copies > 0")
+    out = rows.join(plan, rows[key] == plan["__key"])
+    return out.select(*[rows[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("__copy")).drop("__copy")
