@@ -8,7 +8,7 @@
 * Tables.  A pair that shares (A_i, B_j) shares A_i and B_j; keys that one class alone has are dropped from each collection before the product is formed, which
   for most documents leaves nothing to form.  In each table a class is linked to the table's least class only: a star, no pairs.
 * Clusters.  Components of these stars are closed under meeting in a table, so all candidate pairs lie inside clusters.
-* Verification.  In a cluster of more than ``chunk`` classes each class is first compared in full with the stars it shares most tables with, in groups of bounded size.
+* Verification.  A class counts as much as ``CHUNK_SHINGLES`` / ``chunk`` shingles at least, and as its shingles beyond that, so that a chunk is bounded in classes and in bytes.  In a cluster of more than a chunk each class is first compared in full with the stars it shares most tables with, in groups of bounded size.
   What these links connect is a part; the cluster's largest part needs no comparing within itself, which is all of the cluster if its texts are alike.
   The classes left over, with their full sets, are dealt to chunks by a hash, and so are those of the largest part; each pair of chunks of which one is left over is one task of bounded size.
   A task compares signatures (all candidates that could reach the threshold, five standard deviations allowed), then full sets, and skips what is
@@ -30,7 +30,9 @@ from ..operators.connectivity import components
 from ._common import settle, shuffle_partitions, text_of
 
 SHINGLE = 5
-CHUNK = 1024
+#: Classes of a chunk, and shingles (8 bytes each).
+CHUNK = 512
+CHUNK_SHINGLES = 1 << 22
 #: Stars that a class of a large cluster is compared with before the rest is compared exhaustively.
 STARS = 4
 _M64 = (1 << 64) - 1
@@ -272,10 +274,11 @@ def _dealt(rows: DataFrame, sizes: DataFrame) -> DataFrame:
 
 
 def _verified(docs: DataFrame, members: DataFrame, stars: DataFrame, id_col: str, text_col: str, numerator: int, denominator: int, chunk: int) -> DataFrame:
-    """a, b: confirmed links between classes. members: node, id (of one document of the class), cluster; stars: node, star, tables."""
+    """a, b: confirmed links between classes. members: node, id (of one document of the class), n_shingles, cluster; stars: node, star, tables."""
     spark = docs.sparkSession
-    sizes = members.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).select(F.struct("cluster").alias("k"), "n")
-    placed = settle(members.withColumn("k", F.struct("cluster")).join(sizes, "k").select("node", "id", "cluster", "n"))
+    members = members.withColumn("cost", F.greatest(F.lit(1), F.ceil(F.col("n_shingles") * float(chunk) / CHUNK_SHINGLES)).cast("long"))
+    sizes = members.groupBy("cluster").agg(F.sum("cost").alias("n")).select(F.struct("cluster").alias("k"), "n")
+    placed = settle(members.withColumn("k", F.struct("cluster")).join(sizes, "k").select("node", "id", "cluster", "cost", "n"))
     # A small cluster is one task.
     small = _full_sets(docs, placed.where(F.col("n") <= chunk), id_col, text_col)
     tasks = small.select(F.xxhash64("cluster", F.lit(0), F.lit(0)).alias("task"), "cluster", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "node", F.col("node").alias("part"), "shingles")
@@ -284,9 +287,9 @@ def _verified(docs: DataFrame, members: DataFrame, stars: DataFrame, id_col: str
         held = settle(_full_sets(docs, large, id_col, text_col))
         first = settle(_star_links(held, stars, numerator, denominator, chunk))
         roots = components(first, "a", "b").select(F.col("node_id").alias("x"), F.col("component").alias("root"))
-        parts = large.select("node", "cluster").distinct().join(roots, F.col("node") == F.col("x"), "left").select("node", "cluster", F.coalesce("root", "node").alias("part"))
+        parts = large.select("node", "cluster", "cost").distinct().join(roots, F.col("node") == F.col("x"), "left").select("node", "cluster", "cost", F.coalesce("root", "node").alias("part"))
         parts = settle(parts)
-        by_part = parts.groupBy("cluster", "part").agg(F.count(F.lit(1)).alias("n"))
+        by_part = parts.groupBy("cluster", "part").agg(F.sum("cost").alias("n"))
         main = by_part.groupBy("cluster").agg(F.max(F.struct("n", "part")).alias("top"), F.sum("n").alias("n"))
         chunks = lambda x: F.ceil(x / float(chunk)).cast("int")
         main = settle(main.select("cluster", F.col("top.part").alias("largest"), chunks(F.col("n") - F.col("top.n")).alias("rest"), chunks(F.col("top.n")).alias("bulk")))
@@ -330,11 +333,11 @@ def near_groups(
     """
     m = tables_for(numerator / denominator, k, miss)
     rows = settle(sketch(docs, id_col, text_col, k, m))
-    classes = rows.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("id"), F.first("a_keys").alias("a_keys"), F.first("b_keys").alias("b_keys"))
+    classes = rows.where("digest is not null").groupBy(F.col("digest").alias("node")).agg(F.min("id").alias("id"), F.first("n_shingles").alias("n_shingles"), F.first("a_keys").alias("a_keys"), F.first("b_keys").alias("b_keys"))
     classes = settle(classes)
     stars = settle(candidate_stars(classes))
     clusters = components(stars, "node", "star")
-    members = clusters.select(F.col("node_id").alias("node"), F.col("component").alias("cluster")).join(classes.select("node", "id"), "node")
+    members = clusters.select(F.col("node_id").alias("node"), F.col("component").alias("cluster")).join(classes.select("node", "id", "n_shingles"), "node")
     links = settle(_verified(docs, members, stars, id_col, text_col, numerator, denominator, chunk))
     roots = components(links, "a", "b").select(F.col("node_id").alias("node"), F.col("component").alias("root"))
     labels = classes.select("node", "id").join(roots, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
