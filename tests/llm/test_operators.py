@@ -232,6 +232,54 @@ def test_pii_base_and_added(docs, empty):
     assert set(base) <= set(found) and [k for k, _, _ in found].count(2) == 2 and [k for k, _, _ in found].count(3) == 1
 
 
+def segmentations(n, scored):
+    """Every way to cover atoms 0..n-1 by single atoms and scored segments, with its score."""
+    if n == 0:
+        yield 0.0, ()
+        return
+    for rest in segmentations(n - 1, scored):
+        yield rest
+    for (a, b), (s, k) in scored.items():
+        if b == n:
+            for value, found in segmentations(a, scored):
+                yield value + s, (*found, (k, a, b))
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.text(alphabet=st.sampled_from("12345 .-@+(a)"), min_size=1, max_size=11), st.integers(0, 10**6))
+def test_pii_decoding_is_the_best_segmentation(t, seed):
+    w = np.random.default_rng(seed).normal(size=pii.trained().shape) * 2
+    atoms, segments = pii._segments(t, "")
+    scored = {}
+    for a, b, f in segments:
+        s = w[:, f].sum(axis=1)
+        scored[a, b] = float(s.max()), int(s.argmax())
+    ends = [0, *(hi for _, hi in atoms)]
+    best = max(v for v, _ in segmentations(len(atoms), scored))
+    place = {e: i for i, e in enumerate(ends)}
+    got = pii.decode(t, "", w)
+    chosen = [(place[lo], place[hi]) for _, lo, hi in got]
+    assert sum(scored[x][0] for x in chosen) == pytest.approx(best) and all(k == scored[x][1] for x, (k, _, _) in zip(chosen, got, strict=True)) and all(a[1] <= b[0] for a, b in itertools.pairwise(chosen))
+
+
+def test_pii_on_sentences_of_another_generator():
+    """Written by templates that training doesn't know."""
+    rng, weights, hit, all_, false, clean = random.Random(9), pii.trained(), 0, 0, 0, 0
+    num = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    name = lambda: rng.choice(("maria", "jonas", "petra", "olaf", "ines"))
+    for _ in range(300):
+        kind, s = rng.choice((("email", f"{name()}.{name()}{num(2)}@{name()}.org"), ("email", f"{name()} dot {name()} at {name()}{num(1)} dot net"), ("ip", ".".join(str(rng.randint(1, 254)) for _ in range(4))), ("phone", f"+{rng.randint(20, 99)} {num(3)} {num(3)} {num(4)}"), ("phone", f"({num(3)}) {num(3)}-{num(4)}")))
+        t = rng.choice(("Yesterday {} was written on the wall.", "Please use {} before noon, thanks", "Nobody answers under {} any more."))
+        lo = t.index("{")
+        spans = pii.all_spans(t.format(s), weights)[1]
+        all_ += 1
+        hit += any(pii.KINDS[k] == kind and a == lo and b == lo + len(s) for k, a, b in spans)
+        plain = rng.choice((f"The {num(4)} edition costs {num(2)}.{num(2)} and has {num(3)} pages.", f"In {rng.randint(1900, 2020)} they sold {num(1)},{num(3)},{num(3)} of them.", f"Version {num(1)}.{num(2)}.{num(1)} fixes {num(3)} bugs."))
+        clean += 1
+        false += bool(pii.all_spans(plain, weights)[1])
+    assert hit >= 0.85 * all_ and false <= 0.05 * clean, (hit, all_, false, clean)
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet=st.sampled_from("a1.@-+ (b2"), max_size=40))
 def test_pii_base_property(t):
@@ -310,7 +358,38 @@ def test_token_file_views(docs):
 @given(st.text(alphabet=st.sampled_from("Ab'sS1.,!?é \n ́日\x1c\x85-"), max_size=60))
 def test_word_table_equals_library(t):
     e = word_encoder()
-    assert np.frombuffer(e(t), e.kind).tolist() == e.tokenizer.encode(t, add_special_tokens=False).ids
+    assert np.frombuffer(e(t), e.kind).tolist() == untouched().encode(t, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("t", ["hello <|endoftext|> world", "<|startoftext|>A b", "x<|endoftext|>y.", "<|ENDOFTEXT|> Word", "<|endoftext", "a <|EndOfText|><|endoftext|>"])
+def test_added_tokens_are_the_librarys(t):
+    e = word_encoder()
+    assert np.frombuffer(e(t), e.kind).tolist() == untouched().encode(t, add_special_tokens=False).ids
+
+
+def untouched(cache=[]):  # noqa: B006
+    if not cache:
+        import public_tokenizers as p
+        from tokenizers import Tokenizer
+
+        cache.append(Tokenizer.from_file(p.path("word_bpe_49k.json")))
+    return cache[0]
+
+
+def test_token_files_end_at_their_size(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(rng.choice((0, 3, 60, 2500))))) for i in range(120)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    manifest = token_files.write_token_files(d, seq_len=8, files=2, file_bytes=4000)
+    sizes = [r["n_tokens"] for r in manifest.orderBy("file").collect()]
+    assert len(sizes) > 6 and sum(x * 2 >= 4000 for x in sizes) >= len(sizes) - 2
+    want, at = [], 0
+    for i, t in rows:
+        ids = [*untouched().encode(t, add_special_tokens=False).ids, 2]
+        want.append((i, at, len(ids), ids))
+        at += len(ids)
+    got = token_files.read_token_files(manifest, digests=False).orderBy("start").collect()
+    assert [(r["doc_id"], r["start"], r["n_tokens"], r["ids"]) for r in got] == want
 
 
 def word_encoder(cache=[]):  # noqa: B006
@@ -356,11 +435,24 @@ def test_mixing(spark, docs, empty, monkeypatch, shard_words):
         taken[s] += r["taken"]
     assert all(abs(taken[s] - want[s]) <= max(40, 0.02 * want[s]) for s in sizes) and len(got) == len(data)
     assert sorted(map(tuple, mixing.mix_plan(d.repartition(7)).collect())) == sorted(map(tuple, got))
-    mixed = mixing.mix(d)
-    assert mixed.columns == d.columns and sum(len(r["text"].split()) for r in mixed.collect()) == sum(taken.values())
+    mixed = mixing.mix(d).collect()
+    size = {i: len(text(t).split()) for i, t, _ in data}
+    copies, plan = Counter(r["doc_id"] for r in mixed), {r["doc_id"]: r["taken"] for r in got}
+    assert all(r["text"] == data[min(r["doc_id"], 900 + (r["doc_id"] > 5000))][1] for r in mixed if r["doc_id"] < 900)  # whole texts
+    assert all(copies[i] == plan[i] // n + (2 * (plan[i] % n) >= n) for i, n in size.items() if n) and max(copies.values()) <= 3
     assert mixing.mix_plan(docs).count() == len(rows_of()) and mixing.mix_plan(empty).count() == 0 and mixing.mix(empty).count() == 0
 
 
+def test_mixing_blocks_are_all_dealt_and_repeated_ids_take_part_once_each(spark):
+    rng = random.Random(5)
+    data = [(i // 4, " ".join("w" * rng.randint(1, 3) for _ in range(8)), rng.choice("ab")) for i in range(400)]
+    d = spark.createDataFrame(data, "doc_id long, text string, source string")
+    plan, total = mixing.mix_plan(d), 8 * len(data)
+    assert plan.count() == len(data) and abs(plan.agg(F.sum("taken")).first()[0] - total) <= 2 * mixing.BLOCK_WORDS
+    mixed = mixing.mix(d).collect()
+    assert abs(8 * len(mixed) - total) <= 0.02 * total and {(r["doc_id"], r["text"], r["source"]) for r in mixed} <= set(data)
+
+
 @settings(max_examples=8, deadline=None)
 @given(st.lists(st.integers(0, 60), min_size=1, max_size=9), st.integers(0, 40))
 def test_highest_quotients(spark_session, weights, house):
@@ -426,6 +518,33 @@ def test_near_dedup(spark, docs, empty, num, chunk):
     assert kept.columns == docs.columns
 
 
+@pytest.mark.parametrize("chunk", [512, 8])
+def test_near_groups_equal_brute_force_on_a_table(spark, chunk):
+    """All pairs of sf0.001's documents and all of sf0.01's, by an inverted index of shingles."""
+    d = spark.read.parquet(f"/root/testdata/sf{'0.01' if chunk == 512 else '0.001'}/documents.parquet").select("doc_id", "text")
+    lower, sets, index = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}), {}, {}
+    for r in d.collect():
+        w = re.findall(r"[^\x20\x09-\x0D]+", text(r["text"]).translate(lower))
+        sets[r["doc_id"]] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+        for g in sets[r["doc_id"]]:
+            index.setdefault(g, []).append(r["doc_id"])
+    both, up = Counter(), {i: i for i in sets}
+    for ids in index.values():
+        both.update(itertools.combinations(sorted(ids), 2))
+
+    def find(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for (a, b), n in both.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n) and find(a) != find(b):
+            a, b = sorted((find(a), find(b)))
+            up[b] = a
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_dedup.near_groups(d, chunk=chunk).collect()}
+    assert got == {i: (len(s), find(i)) for i, s in sets.items()} and sum(find(i) != i for i in up) > 10
+
+
 def test_tables_reach_the_miss_asked_for():
     for t in (0.8, 0.85):
         m = near_dedup.tables_for(t, 4, 1e-5)
