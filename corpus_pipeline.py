@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from partloom.llm import bpe, exact_dedup, mixing, near_dedup, quality
-from partloom.llm._common import documents, shared_dir
+from partloom.llm._common import documents, new_folder, remove_folder
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,9 +46,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other; each but the last is written to the shared folder and read again, as later stages read their input several times."""
-    docs, folder = documents(spark, sf_dir), f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    """The stages one after the other; each but the last is written to the shared folder and read again, as later stages read their input several times. What the next stage's output replaces is removed."""
+    docs, folder = documents(spark, sf_dir), new_folder(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
+        if i:
+            remove_folder(spark, f"{folder}/{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)
