@@ -31,8 +31,8 @@ from ._common import settle, shuffle_partitions, text_of
 
 SHINGLE = 5
 #: Classes of a chunk, and shingles (8 bytes each).
-CHUNK = 512
-CHUNK_SHINGLES = 1 << 22
+CHUNK = 1024
+CHUNK_SHINGLES = 1 << 24
 #: Stars that a class of a large cluster is compared with before the rest is compared exhaustively.
 STARS = 4
 _M64 = (1 << 64) - 1

@@ -518,10 +518,10 @@ def test_near_dedup(spark, docs, empty, num, chunk):
     assert kept.columns == docs.columns
 
 
-@pytest.mark.parametrize("chunk", [512, 8])
+@pytest.mark.parametrize("chunk", [1024, 8])
 def test_near_groups_equal_brute_force_on_a_table(spark, chunk):
-    """All pairs of sf0.001's documents and all of sf0.01's, by an inverted index of shingles."""
-    d = spark.read.parquet(f"/root/testdata/sf{'0.01' if chunk == 512 else '0.001'}/documents.parquet").select("doc_id", "text")
+    """All pairs of a table's documents, by an inverted index of shingles."""
+    d = spark.read.parquet(f"/root/testdata/sf{'0.01' if chunk == 1024 else '0.001'}/documents.parquet").select("doc_id", "text")
     lower, sets, index = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)}), {}, {}
     for r in d.collect():
         w = re.findall(r"[^\x20\x09-\x0D]+", text(r["text"]).translate(lower))
