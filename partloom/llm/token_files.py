@@ -48,9 +48,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        self.library = Tokenizer.from_file(local_copy(path))
-        self.added = [x.content for x in self.library.get_added_tokens_decoder().values()]
+        self.path, self.library = path, None
         self.tokenizer = Tokenizer.from_file(local_copy(path))
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.tokenizer.encode_special_tokens = True  # for words: lower-casing may make such a token's string of one that isn't
         self.code = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.kind = np.dtype("<u2" if self.code == "H" else "<u4")
@@ -72,12 +72,19 @@ class WordEncoder:
         for w, core, end in parts:
             table[w] = table[core] + table[end]
 
+    def _by_library(self, text: str) -> bytes:
+        if self.library is None:
+            from tokenizers import Tokenizer
+
+            self.library = Tokenizer.from_file(local_copy(self.path))
+        return array(self.code, self.library.encode(text, add_special_tokens=False).ids).tobytes()
+
     def batch(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, little-endian."""
         table = self.table
         if len(table) > WORD_TABLE:
             table.clear()
-        whole = {i: array(self.code, self.library.encode(t, add_special_tokens=False).ids).tobytes() for i, t in enumerate(texts) if any(a in t for a in self.added)}
+        whole = {i: self._by_library(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}
         split = [() if i in whole else t.encode().lower().split() for i, t in enumerate(texts)]
         new: dict[bytes, None] = {}
         for words in split:
