@@ -15,10 +15,13 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from ._common import local_copy, text_of, tokenizer_path
@@ -28,6 +31,8 @@ LEAF_IDS = 512
 #: White space of the pattern's \s; only these ASCII ones serve as fixed points, which is enough for the proof.
 _ASCII_SPACE = frozenset(" \t\n\r\x0b\x0c")
 WINDOW = 32
+#: Bytes of text after which a worker hands on what it has encoded.
+SLICE_BYTES = 1 << 20
 
 
 class TreeCodec:
@@ -123,6 +128,18 @@ def load_codec(path: str, pattern: str, leaf_chars: int = LEAF_CHARS) -> TreeCod
     return TreeCodec(own.encode_ordinary, table, leaf_chars)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of pieces of a batch that end with the text that fills ``SLICE_BYTES``, so that ids of one piece only are held at a time."""
+    lo = total = 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist(), 1):
+        total += n
+        if total >= SLICE_BYTES:
+            yield lo, i - lo
+            lo, total = i, 0
+    if lo < len(texts):
+        yield lo, len(texts) - lo
+
+
 def encode_decode(
     docs: DataFrame, path: str | None = None, pattern: str | None = None, *, id_col: str = "doc_id", text_col: str = "text",
     leaf_chars: int = LEAF_CHARS, with_ids: bool = True, digests: bool = True,
@@ -130,7 +147,7 @@ def encode_decode(
     """One row per row of ``docs``: its id, n_tokens, ``ids`` (array<int>, unless ``with_ids`` is false) and, with ``digests``, sha256 of the ids in decimal and of the bytes that decoding them gives.
 
     Null text counts as empty: no ids, the digests of nothing. A null id stays null; repeated rows give repeated
-    rows; other columns are not read. Needs no shuffle; a worker holds one batch of texts.
+    rows; other columns are not read. Needs no shuffle; a worker holds one batch of texts and the ids of ``SLICE_BYTES`` of them, or of one longer text.
     """
     import public_tokenizers
 
@@ -140,22 +157,24 @@ def encode_decode(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = load_codec(path, pattern, leaf_chars)
-        names: list[str] = []
+        names = [str(i) for i in range(len(codec.token_bytes))] if digests else []
         for batch in batches:
-            counts, all_ids, sums, back = [], [], [], []
-            if not names:
-                names = [str(i) for i in range(len(codec.token_bytes))]
-            for text in batch.column(1).to_pylist():
-                ids = codec.encode(text)
-                counts.append(len(ids))
+            for lo, n in _slices(batch.column(1)):
+                part = batch.slice(lo, n)
+                counts, flat, sums, back = [], array("i"), [], []
+                for text in part.column(1):
+                    ids = codec.encode(text.as_py())
+                    counts.append(len(ids))
+                    if with_ids:
+                        flat.extend(ids)
+                    if digests:
+                        sums.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
+                        back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
+                columns = [part.column(0), pa.array(counts, pa.int64())]
                 if with_ids:
-                    all_ids.append(ids)
-                if digests:
-                    sums.append(hashlib.sha256(" ".join(map(names.__getitem__, ids)).encode()).hexdigest())
-                    back.append(hashlib.sha256(codec.decode(ids)).hexdigest())
-            columns = [batch.column(0), pa.array(counts, pa.int64())]
-            columns += [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
-            columns += [pa.array(sums, pa.string()), pa.array(back, pa.string())] * digests
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * digests])
+                    ends = np.cumsum([0, *counts]).astype(np.int32)
+                    columns.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32))))
+                columns += [pa.array(sums, pa.string()), pa.array(back, pa.string())] * digests
+                yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", *["ids"] * with_ids, *["ids_sha256", "decoded_sha256"] * digests])
 
     return docs.select(docs[id_col].alias(id_col), text_of(docs, text_col).alias("__text")).mapInArrow(run, schema)
