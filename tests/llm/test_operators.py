@@ -13,6 +13,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -74,6 +75,17 @@ def test_bpe_equals_library(docs, empty):
     assert bpe.encode_decode(empty).count() == 0
 
 
+def test_bpe_slices_hold_every_row_once(spark):
+    size = bpe.SLICE_BYTES
+    for lengths in ([], [0], [0, 0, 3], [size], [size, 0], [1, size - 2, 1, 1], [3 * size, 1, 0, size]):
+        pieces = list(bpe._slices(pa.array(["x" * n for n in lengths], pa.string())))
+        assert [i for lo, n in pieces for i in range(lo, lo + n)] == list(range(len(lengths)))
+        assert all(sum(lengths[lo : lo + n - 1]) < size for lo, n in pieces)
+    rows = [(i, None if i % 7 == 0 else "" if i % 7 == 1 else f"né {i} some words\n" * 4000) for i in range(60)]
+    got = bpe.encode_decode(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), digests=False).collect()
+    assert {r["doc_id"]: r["ids"] for r in got} == {i: plain_cached().encode_ordinary(t or "") for i, t in rows} and len(got) == len(rows)
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.text(alphabet=st.sampled_from("ab'sd 1\n\t.é 日🙂 llve "), max_size=120), st.integers(2, 20))
 def test_bpe_tree_is_exact_for_any_leaf(t, leaf):
