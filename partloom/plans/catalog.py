@@ -444,22 +444,36 @@ EDGE_MODES = {"minimal": {}, "full": {"minimal_mode": False}, "sampled": {"minim
 
 
 def _held(g: _Graph, runs: dict[str, tuple[Callable, dict]], unit: bool) -> DataFrame:
-    """For each run: its vertices, how many are different, blocks used, whether every load is within the capacity and the cut is below that of hashed blocks."""
-    edges = settle(g.edges.withColumn("weight", F.lit(1).cast("long")) if unit else g.edges)
+    """For each run: its vertices, how many are different, blocks used, whether every load is within the capacity and the cut is below that of hashed blocks.
+
+    Runs in one task read the same packed graph. A vertex's blocks of all runs are one row, and one number beside an edge, so that edges meet their ends once for all runs.
+    """
+    edges = g.edges.withColumn("weight", F.lit(1).cast("long")) if unit else g.edges
     nodes = settle(g.nodes.withColumn("weight", F.lit(1).cast("long")) if unit else g.nodes)
-    assigned = None
-    for name, (run, options) in {"hash": (lambda e, n, c: node.baseline(e, n, "hashing", K), {}), **runs}.items():
-        one = run(edges, nodes, PartitionConfig(k=K, **options)).select(F.lit(name).alias("run"), "id", "block")
-        assigned = one if assigned is None else assigned.unionByName(one)
-    assigned = settle(assigned)
-    w = nodes.select(F.col("node_id").alias("id"), "weight")
-    loads = assigned.where("run <> 'hash'").join(w, "id").groupBy("run", "block").agg(F.sum("weight").alias("load"), F.count(F.lit(1)).alias("n"))
-    distinct = assigned.groupBy("run").agg(F.count_distinct("id").alias("different"))
-    ends = lambda a, b: assigned.select("run", F.col("id").alias(a), F.col("block").alias(b))
-    cut = edges.where("src < dst").join(ends("src", "own"), "src").join(ends("dst", "other"), ["run", "dst"]).groupBy("run").agg(F.sum(F.when(F.col("own") != F.col("other"), F.col("weight")).otherwise(0)).alias("cut"))
-    base = cut.where("run = 'hash'").select(F.col("cut").alias("hashed"))  # one row
+    whole = (node.partition, node.partition_bisected)
+    if packed := any(run in whole for run, _ in runs.values()):
+        pieces = settle(node.as_pieces(edges, nodes))
+    else:
+        edges = settle(edges)
+    names, assigned = ["hash", *runs], node.baseline(edges, nodes, "hashing", K).select(F.lit(0).alias("run"), "id", "block")
+    for i, (run, options) in enumerate(runs.values(), 1):
+        one = run(edges, nodes, PartitionConfig(k=K, **options), *([pieces] if packed and run in whole else []))
+        assigned = assigned.unionByName(one.select(F.lit(i).alias("run"), "id", "block"))
+    mine = [F.col("run") == i for i in range(len(names))]
+    blocks = settle(assigned.repartition("id").groupBy("id").agg(*[F.max(F.when(m, F.col("block"))).alias(f"b{i}") for i, m in enumerate(mine)], *[F.count_if(m).alias(f"c{i}") for i, m in enumerate(mine)]))
+    each = F.explode(F.array(*[F.struct(F.lit(name).alias("run"), F.col(f"b{i}").alias("block"), F.col(f"c{i}").alias("rows")) for i, name in enumerate(names) if i])).alias("e")
+    placed = blocks.join(nodes.select(F.col("node_id").alias("id"), "weight"), "id").select("weight", each).select("weight", "e.*").where("rows > 0")
+    loads = placed.groupBy("run", "block").agg(F.sum(F.col("weight") * F.col("rows")).alias("load"), F.sum("rows").alias("n"), F.count(F.lit(1)).alias("different"))
+    # The blocks of all runs as the digits of a number; K stands for none.
+    digit = lambda c, i: F.expr(f"{c} div {(K + 1) ** i} % {K + 1}")
+    code = sum((F.coalesce(F.col(f"b{i}"), F.lit(K)).cast("long") * (K + 1) ** i for i in range(1, len(names))), F.coalesce(F.col("b0"), F.lit(K)).cast("long"))
+    ends = lambda a, b: blocks.select(F.col("id").alias(a), code.alias(b))
+    both = edges.where("src < dst").join(ends("src", "own"), "src").select("dst", "weight", "own").join(ends("dst", "other"), "dst")
+    crosses = lambda i: (digit("own", i) != digit("other", i)) & (digit("own", i) < K) & (digit("other", i) < K)
+    cut = both.agg(*[F.coalesce(F.sum(F.when(crosses(i), F.col("weight")).otherwise(0)), F.lit(0)).alias(f"cut{i}") for i in range(len(names))])  # one row
+    cut = cut.select(F.col("cut0").alias("hashed"), F.explode(F.array(*[F.struct(F.lit(name).alias("run"), F.col(f"cut{i}").alias("cut")) for i, name in enumerate(names) if i])).alias("e")).select("hashed", "e.*")
     total = nodes.agg(F.sum("weight")).first()[0]
-    return loads.groupBy("run").agg(F.sum("n").alias("vertices"), F.count(F.lit(1)).alias("blocks"), (F.max("load") <= capacity(total, K, 3.0, True)).alias("within_capacity")).join(distinct, "run").join(cut, "run").join(base).select("run", "vertices", "different", "blocks", "within_capacity", (F.col("cut") < F.col("hashed")).alias("below_hashed"))
+    return loads.groupBy("run").agg(F.sum("n").alias("vertices"), F.sum("different").alias("different"), F.count(F.lit(1)).alias("blocks"), (F.max("load") <= capacity(total, K, 3.0, True)).alias("within_capacity")).join(cut, "run").select("run", "vertices", "different", "blocks", "within_capacity", (F.col("cut") < F.col("hashed")).alias("below_hashed"))
 
 
 def _held_sql(names) -> str:

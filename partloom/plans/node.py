@@ -2,7 +2,8 @@
 
 Three ways:
 
-* ``partition`` streams a whole graph through one task: the order of the stream is part of the result's definition, so this is exact for every mode. For graphs that fit in a task.
+* ``partition`` streams a whole graph through one task: the order of the stream is part of the result's definition, so this is exact for every mode. For graphs whose vertices fit in a task;
+  arcs come packed and lie on its disk.
 * ``partition_batched`` gives the same result for plain batches with memory for one batch only: arcs are written once by batch, each batch reads its own part, its model is solved in one task
   of batch + k vertices, and its blocks are appended to a table. For large graphs, as far as batches one after the other can go.
 * ``partition_distributed`` is capped label propagation in supersteps: parallel throughout, capacity is kept, results differ from the stream's.
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import new_folder, settle
 from ..kernel import batches, fennel
 from ..kernel.buffer import Stream
-from ..kernel.csr import Csr, from_arcs
+from ..kernel.csr import LISTED, Csr, Spool, from_arcs
 from ..kernel.multilevel import recursive_bisection
 from ..operators import graph, scoring
 from .config import PartitionConfig, alpha_gamma, batch_slack, capacity, model_bound, refinement_weight
@@ -37,7 +38,6 @@ def bounds_of(n: int, cfg: PartitionConfig):
 def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
     """Blocks of all vertices, by the mode the configuration asks for."""
     n, m = g.n, int(len(g.dst) // 2)
-    weighted = bool(np.any(g.w != 1) or np.any(g.node_w != 1))
     if n == 0:
         return np.empty(0, np.int32)
     ag = alpha_gamma(n, m, cfg.k)
@@ -47,7 +47,7 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
     weight_of = lambda remaining: refinement_weight(cfg, remaining, m)
     mode = cfg.mode()
     if mode == "buffered":
-        if weighted:
+        if not g.unit():
             raise ValueError("the priority buffer takes graphs without weights")
         stream = Stream(g.rows()[0], cfg, ag, caps_of(total, cfg), bounds_of(n, cfg), weight_of)
         size = cfg.batch_length(n)
@@ -60,43 +60,105 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
     return batches.partition(g, cfg, ag, bounds_of(n, cfg), cfg.batch_length(n), weight_of)
 
 
-def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
-    """The graph of rows (src, dst, weight); rows without dst are vertices. A further column place keeps the order of lists, which is ascending without it."""
-    tables = [b for b in batches_in if b.num_rows]
-    t = pa.Table.from_batches(tables) if tables else None
-    if t is None:
-        return from_arcs(0, [], [])
-    src, w = t.column("src").to_numpy(), t.column("weight").to_numpy()
-    dst = t.column("dst").fill_null(-1).to_numpy()
-    is_node = dst < 0
-    n = int(is_node.sum())
-    if sorted(set(src[is_node].tolist())) != list(range(n)):
-        raise ValueError("vertex ids must be dense from 0")
-    node_w = np.ones(n, np.int64)
-    node_w[src[is_node]] = w[is_node]
-    place = t.column("place").fill_null(-1).to_numpy()[~is_node] if "place" in t.column_names else None
-    return from_arcs(n, src[~is_node], dst[~is_node], w[~is_node], node_w, both=False, place=place)
+#: A piece of a graph: vertices and lists as arrays, and the place of the first of them in the stream.
+PIECE = {"first": "long", "at": "long", "ids": "binary", "weights": "binary", "owners": "binary", "counts": "binary", "dst": "binary", "w": "binary"}
+Arcs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
+#: Vertices that go to one packing task together; no piece holds more of them.
+SPAN = 1024
 
 
-def as_rows(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Arcs and vertices in one table, for one task."""
-    v = nodes.select(F.col("node_id").cast("long").alias("src"), F.lit(None).cast("long").alias("dst"), F.col("weight").cast("long").alias("weight"))
-    names = ["src", "dst", "weight", *(["place"] if "place" in edges.columns else [])]
-    return edges.select(*[F.col(c).cast("long").alias(c) for c in names]).unionByName(v, allowMissingColumns=True).repartition(1)
+def _merged(batches_in: Iterator[pa.RecordBatch]) -> Iterator[Arcs]:
+    """(src, dst, weight, dst) of sorted rows, parallel arcs summed; the last one of a batch waits for its parallels."""
+    held = None
+    for b in batches_in:
+        if not b.num_rows:
+            continue
+        src, at, w = (b.column(c).to_numpy() for c in ("src", "at", "weight"))
+        if held is not None:
+            src, at, w = (np.concatenate(x) for x in zip(held, (src, at, w), strict=True))
+        first = np.flatnonzero(np.concatenate([[True], (src[1:] != src[:-1]) | (at[1:] != at[:-1])]))
+        if np.any(at[first][np.diff(np.append(first, len(src))) > 1] < 0):
+            raise ValueError("vertex ids must be dense from 0")
+        src, at, w = src[first], at[first], np.add.reduceat(w, first)
+        held = src[-1:], at[-1:], w[-1:]
+        if len(src) > 1:
+            yield src[:-1], at[:-1], w[:-1], at[:-1]
+    if held is not None:
+        yield *held, held[1]
+
+
+def _pack(rows: Iterator[Arcs]) -> Iterator[pa.RecordBatch]:
+    for whole in rows:
+        if np.any(whole[0] == whole[3]):
+            raise ValueError("the graph has a self-loop")
+        cuts = np.flatnonzero(np.diff(whole[0] // SPAN)) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(whole[0])], strict=True):
+            src, at, w, dst = (x[lo:hi] for x in whole)
+            node = dst < 0
+            owner, d, arc_w = src[~node], dst[~node], w[~node]
+            run = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
+            narrow = not len(d) or d.max() <= np.iinfo(np.int32).max
+            cells = src[node], w[node], owner[run], np.diff(np.append(run, len(owner))), d.astype(np.int32 if narrow else np.int64), arc_w if np.any(arc_w != 1) else arc_w[:0]
+            yield pa.RecordBatch.from_arrays([pa.array(src[:1]), pa.array(at[:1]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in cells)], list(PIECE))
+
+
+def as_pieces(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Arcs and vertices, sorted and packed by many tasks. Lists ascend, parallel arcs are summed; a further column place keeps the order of lists and what they hold."""
+    merge = "place" not in edges.columns
+    arcs = edges.select(F.col("src").cast("long").alias("src"), F.col("dst" if merge else "place").cast("long").alias("at"), F.col("weight").cast("long").alias("weight"), *([] if merge else [F.col("dst").cast("long").alias("dst")]))
+    none = F.lit(-1).cast("long")
+    rows = arcs.unionByName(nodes.select(F.col("node_id").cast("long").alias("src"), none.alias("at"), F.col("weight").cast("long").alias("weight"), *([] if merge else [none.alias("dst")])))
+
+    def run(batches_in: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole = (tuple(b.column(c).to_numpy() for c in ("src", "at", "weight", "dst")) for b in batches_in if b.num_rows)
+        yield from _pack(_merged(batches_in) if merge else whole)
+
+    return rows.repartition(F.floor(F.col("src") / SPAN)).sortWithinPartitions("src", "at").mapInArrow(run, ", ".join(f"{c} {t}" for c, t in PIECE.items()))
+
+
+def as_rows(edges: DataFrame, nodes: DataFrame, pieces: DataFrame | None = None) -> DataFrame:
+    """A graph's pieces in the order of the stream, for one task. ``pieces``: settled ones, where several runs read one graph."""
+    return (as_pieces(edges, nodes).repartition(1) if pieces is None else pieces.coalesce(1)).sortWithinPartitions("first", "at")
 
 
-def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
+def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
+    """The graph of pieces in order. Long arrays of arcs lie on the task's disk, so memory is needed for vertices only."""
+    dst, w, cells = Spool(), None, {c: [np.empty(0, np.int64)] for c in ("ids", "weights", "owners", "counts")}
+    for b in batches_in:
+        for i in range(b.num_rows):
+            for c, kept in cells.items():
+                kept.append(np.frombuffer(b.column(c)[i].as_py(), np.int64))
+            m, raw, weights = int(cells["counts"][-1].sum()), b.column("dst")[i].as_py(), np.frombuffer(b.column("w")[i].as_py(), np.int64)
+            if w is None and len(weights):
+                w = Spool(np.int64)
+                for lo in range(0, dst.size, LISTED):
+                    w.add(np.ones(min(LISTED, dst.size - lo), np.int64))
+            if w is not None:
+                w.add(weights if len(weights) else np.ones(m, np.int64))
+            dst.add(np.frombuffer(raw, np.int32 if len(raw) == 4 * m else np.int64))
+    ids, node_w, owners, counts = (np.concatenate(x) for x in cells.values())
+    n, ends = len(ids), dst.whole()
+    if not np.array_equal(ids, np.arange(n)):
+        raise ValueError("vertex ids must be dense from 0")
+    if any(len(x) and x[i : i + LISTED].max() >= n for x in (owners, ends) for i in range(0, len(x), LISTED)):
+        raise ValueError("an arc ends at no vertex")
+    indptr = np.zeros(n + 1, np.int64)
+    np.add.at(indptr, owners + 1, counts)
+    return Csr(np.cumsum(indptr), ends, np.broadcast_to(np.int64(1), len(ends)) if w is None else w.whole(), node_w)
+
+
+def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig, pieces: DataFrame | None = None) -> DataFrame:
     """id, block of every vertex, exactly as the stream defines them."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = run_kernel(whole_graph(rows), cfg)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(block)), pa.int64()), pa.array(block, pa.int32())], ["id", "block"])
 
-    return as_rows(edges, nodes).mapInArrow(run, "id long, block int")
+    return as_rows(edges, nodes, pieces).mapInArrow(run, "id long, block int")
 
 
-def partition_bisected(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig) -> DataFrame:
-    """id, block of every vertex by recursive bisection of the whole graph, in one task. For graphs that fit in a task."""
+def partition_bisected(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig, pieces: DataFrame | None = None) -> DataFrame:
+    """id, block of every vertex by recursive bisection of the whole graph, in one task. For graphs whose vertices fit in a task."""
 
     def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         g = whole_graph(rows)
@@ -104,7 +166,7 @@ def partition_bisected(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig)
         block = recursive_bisection(g, cfg.k, cap, alpha_gamma, label_rounds=cfg.label_rounds, refine_rounds=cfg.refine_rounds, sqrt_mode=cfg.sqrt_mode, ties=cfg.ties, seed=cfg.seed, matcher=cfg.matcher, improve_initial=cfg.improve_initial)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(g.n), pa.int64()), pa.array(block, pa.int32())], ["id", "block"])
 
-    return as_rows(edges, nodes).mapInArrow(run, "id long, block int")
+    return as_rows(edges, nodes, pieces).mapInArrow(run, "id long, block int")
 
 
 def baseline(edges: DataFrame, nodes: DataFrame, kind: str, k: int, imbalance: float = 3.0) -> DataFrame:
