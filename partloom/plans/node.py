@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.tables import new_folder, settle
 from ..kernel import batches, fennel
 from ..kernel.buffer import Stream
-from ..kernel.csr import LISTED, Csr, Spool, from_arcs
+from ..kernel.csr import LISTED, Csr, Spool, Weights, from_arcs
 from ..kernel.multilevel import recursive_bisection
 from ..operators import graph, scoring
 from .config import PartitionConfig, alpha_gamma, batch_slack, capacity, model_bound, refinement_weight
@@ -123,18 +123,13 @@ def as_rows(edges: DataFrame, nodes: DataFrame, pieces: DataFrame | None = None)
 
 def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
     """The graph of pieces in order. Long arrays of arcs lie on the task's disk, so memory is needed for vertices only."""
-    dst, w, cells = Spool(), None, {c: [np.empty(0, np.int64)] for c in ("ids", "weights", "owners", "counts")}
+    dst, w, cells = Spool(), Weights(), {c: [np.empty(0, np.int64)] for c in ("ids", "weights", "owners", "counts")}
     for b in batches_in:
         for i in range(b.num_rows):
             for c, kept in cells.items():
                 kept.append(np.frombuffer(b.column(c)[i].as_py(), np.int64))
             m, raw, weights = int(cells["counts"][-1].sum()), b.column("dst")[i].as_py(), np.frombuffer(b.column("w")[i].as_py(), np.int64)
-            if w is None and len(weights):
-                w = Spool(np.int64)
-                for lo in range(0, dst.size, LISTED):
-                    w.add(np.ones(min(LISTED, dst.size - lo), np.int64))
-            if w is not None:
-                w.add(weights if len(weights) else np.ones(m, np.int64))
+            w.add(weights if len(weights) else np.ones(m, np.int64))
             dst.add(np.frombuffer(raw, np.int32 if len(raw) == 4 * m else np.int64))
     ids, node_w, owners, counts = (np.concatenate(x) for x in cells.values())
     n, ends = len(ids), dst.whole()
@@ -144,7 +139,7 @@ def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
         raise ValueError("an arc ends at no vertex")
     indptr = np.zeros(n + 1, np.int64)
     np.add.at(indptr, owners + 1, counts)
-    return Csr(np.cumsum(indptr), ends, np.broadcast_to(np.int64(1), len(ends)) if w is None else w.whole(), node_w)
+    return Csr(np.cumsum(indptr), ends, w.whole(), node_w)
 
 
 def partition(edges: DataFrame, nodes: DataFrame, cfg: PartitionConfig, pieces: DataFrame | None = None) -> DataFrame:
