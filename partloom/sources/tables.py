@@ -34,8 +34,10 @@ def customer_part(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
 
 def supplier_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Suppliers with more parts in common than an average pair that has any."""
-    pairs = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct()
-    other = pairs.select("l_partkey", F.col("l_suppkey").alias("v"))
-    u = pairs.join(other, "l_partkey").where("l_suppkey < v").groupBy(F.col("l_suppkey").alias("u"), "v").agg(F.count(F.lit(1)).alias("weight"))
+    lines = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey is not null and l_suppkey is not null")
+    lists = lines.repartition("l_partkey").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
+    # A supplier travels with those after it in a part's list, and pairs are made where they are counted: shuffled one by one they fill the disk.
+    after = lists.select("s", F.posexplode("s").alias("i", "u")).select("u", F.slice("s", F.col("i") + 2, F.size("s")).alias("v")).where("size(v) > 0")
+    u = after.repartition("u").select("u", F.explode("v").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"))
     u = u.join(u.agg(F.avg("weight").alias("mean"))).where("weight > mean").select("u", "v", "weight")  # one row on the right
     return u, _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(1).cast("long").alias("weight"))
