@@ -60,11 +60,22 @@ def run_kernel(g: Csr, cfg: PartitionConfig) -> np.ndarray:
     return batches.partition(g, cfg, ag, bounds_of(n, cfg), cfg.batch_length(n), weight_of)
 
 
-#: A piece of a graph: vertices and lists as arrays, and the place of the first of them in the stream.
+#: A piece of a graph: vertices and lists as arrays, and the place of the first of them in the stream. ``dst`` is ``_short``.
 PIECE = {"first": "long", "at": "long", "ids": "binary", "weights": "binary", "owners": "binary", "counts": "binary", "dst": "binary", "w": "binary"}
 Arcs = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
-#: Vertices that go to one packing task together; no piece holds more of them.
-SPAN = 1024
+#: Vertices that go to one packing task together; no piece holds more of them. Few, so that tasks sort about as many arcs each where lists are long.
+SPAN = 128
+
+
+def _short(ends: np.ndarray) -> bytes:
+    """The size of a number, then steps from each end to the next, compressed: a fourth of the plain numbers for long ascending lists, and all pieces meet in one task."""
+    kind = np.dtype(np.int32 if not len(ends) or ends.max() <= np.iinfo(np.int32).max else np.int64)
+    return bytes([kind.itemsize]) + pa.compress(np.diff(ends, prepend=0).astype(kind).tobytes(), codec="zstd", asbytes=True)
+
+
+def _long(short: bytes, m: int) -> np.ndarray:
+    """The ``m`` ends that were made short."""
+    return np.cumsum(np.frombuffer(pa.decompress(short[1:], short[0] * m, codec="zstd"), f"i{short[0]}"), dtype=f"i{short[0]}")
 
 
 def _merged(batches_in: Iterator[pa.RecordBatch]) -> Iterator[Arcs]:
@@ -97,9 +108,9 @@ def _pack(rows: Iterator[Arcs]) -> Iterator[pa.RecordBatch]:
             node = dst < 0
             owner, d, arc_w = src[~node], dst[~node], w[~node]
             run = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]])) if len(owner) else np.empty(0, np.int64)
-            narrow = not len(d) or d.max() <= np.iinfo(np.int32).max
-            cells = src[node], w[node], owner[run], np.diff(np.append(run, len(owner))), d.astype(np.int32 if narrow else np.int64), arc_w if np.any(arc_w != 1) else arc_w[:0]
-            yield pa.RecordBatch.from_arrays([pa.array(src[:1]), pa.array(at[:1]), *(pa.array([np.ascontiguousarray(x).tobytes()], pa.binary()) for x in cells)], list(PIECE))
+            plain = lambda x: np.ascontiguousarray(x).tobytes()
+            cells = plain(src[node]), plain(w[node]), plain(owner[run]), plain(np.diff(np.append(run, len(owner)))), _short(d), plain(arc_w if np.any(arc_w != 1) else arc_w[:0])
+            yield pa.RecordBatch.from_arrays([pa.array(src[:1]), pa.array(at[:1]), *(pa.array([x], pa.binary()) for x in cells)], list(PIECE))
 
 
 def as_pieces(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -128,9 +139,9 @@ def whole_graph(batches_in: Iterator[pa.RecordBatch]) -> Csr:
         for i in range(b.num_rows):
             for c, kept in cells.items():
                 kept.append(np.frombuffer(b.column(c)[i].as_py(), np.int64))
-            m, raw, weights = int(cells["counts"][-1].sum()), b.column("dst")[i].as_py(), np.frombuffer(b.column("w")[i].as_py(), np.int64)
+            m, weights = int(cells["counts"][-1].sum()), np.frombuffer(b.column("w")[i].as_py(), np.int64)
             w.add(weights if len(weights) else np.ones(m, np.int64))
-            dst.add(np.frombuffer(raw, np.int32 if len(raw) == 4 * m else np.int64))
+            dst.add(_long(b.column("dst")[i].as_py(), m))
     ids, node_w, owners, counts = (np.concatenate(x) for x in cells.values())
     n, ends = len(ids), dst.whole()
     if not np.array_equal(ids, np.arange(n)):

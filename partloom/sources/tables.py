@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..kernel import pairs
+
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -36,8 +38,9 @@ def supplier_supplier(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Data
     """Suppliers with more parts in common than an average pair that has any."""
     lines = _read(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").where("l_partkey is not null and l_suppkey is not null")
     lists = lines.repartition("l_partkey").groupBy("l_partkey").agg(F.sort_array(F.collect_set("l_suppkey")).alias("s"))
-    # A supplier travels with those after it in a part's list, and pairs are made where they are counted: shuffled one by one they fill the disk.
-    after = lists.select("s", F.posexplode("s").alias("i", "u")).select("u", F.slice("s", F.col("i") + 2, F.size("s")).alias("v")).where("size(v) > 0")
-    u = after.repartition("u").select("u", F.explode("v").alias("v")).groupBy("u", "v").agg(F.count(F.lit(1)).alias("weight"))
-    u = u.join(u.agg(F.avg("weight").alias("mean"))).where("weight > mean").select("u", "v", "weight")  # one row on the right
+    # A supplier travels with those after it in a part's list, and pairs are made and counted where they meet: shuffled one by one they fill the disk, and a table of all of a task's
+    # pairs its memory. So they are counted supplier by supplier, twice, as the mean must be known.
+    after = lists.select("s", F.posexplode("s").alias("i", "u")).select("u", F.slice("s", F.col("i") + 2, F.size("s")).alias("v")).where("size(v) > 0").repartition("u")
+    mean = after.sortWithinPartitions("u").mapInArrow(pairs.totals, "pairs long, every long").agg(F.try_divide(F.sum("every"), F.sum("pairs")).alias("mean"))  # one row
+    u = after.join(F.broadcast(mean)).sortWithinPartitions("u").mapInArrow(pairs.above, "u long, v long, weight long")
     return u, _read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id"), F.lit(1).cast("long").alias("weight"))
